@@ -14,7 +14,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     both = edges.select("a", "b")
     if larger:
         both = both.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
     linked = both.join(low, "a")
     if larger:
         out = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
