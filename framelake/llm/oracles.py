@@ -17,4 +17,22 @@ SQL = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op7_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+        win AS (SELECT doc_id, s, array_to_string(w[s:s + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
+        twice AS (SELECT doc_id, win FROM win GROUP BY ALL HAVING count(*) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT s + k) AS n FROM win JOIN twice USING (doc_id, win), range(5) AS r(k) GROUP BY doc_id),
+        line AS (SELECT doc_id, l, list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+        worded AS (SELECT doc_id, l, len(lw) AS nw, len(array_to_string(lw, '')) AS solid,
+                   len(l) - len(regexp_replace(l, '[#*$%&|<>]', '', 'g')) AS sym, len(l) - len(regexp_replace(l, '[|»>•·›]', '', 'g')) AS items FROM line WHERE len(lw) > 0),
+        judged AS (SELECT *, sym > 0.1 * solid OR (items >= 3 AND nw - items <= 2.5 * (items + 1))
+                   OR (nw <= 25 AND regexp_matches(l, '(?i)all rights reserved|terms (of|and) (use|service|conditions)|privacy policy|cookie(s| policy| settings)|sign (up|in) (for|to|now)|log ?in to|subscribe (to|now)|newsletter|click here|read more|share (this|on)|powered by|enable javascript|javascript is (disabled|required)|lorem ipsum|skip to (main )?content|back to top'))
+                   OR NOT regexp_matches(l, '[.!?…:;。！？।؟]["''”’»)\]}}*_ \t\r]*$') AS bad FROM worded),
+        per_line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup, coalesce(sum(nw) FILTER (bad), 0) AS lost FROM judged GROUP BY doc_id),
+        base AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                 coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+                 FROM d LEFT JOIN per_line USING (doc_id) LEFT JOIN rep USING (doc_id)),
+        failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 * n_words AND n_words - lost >= 10 AS kept FROM failed
+    """,
 }

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.llm.bpe import bpe_encode
+from framelake.llm.quality_rules import quality_rules
 from framelake.llm.substring_dedup import substring_dedup
 
 
@@ -15,3 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated windows of 13 words, cut from all but the smallest doc_id."""
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the text that they decode to."""
+    coded = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decode=True)
+    return coded.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the line-first verdict on every document."""
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules(table(spark, sf_dir, "documents")).select(*columns)
