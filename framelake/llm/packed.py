@@ -17,8 +17,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-#: Facts that one grouped task holds at a time, about (36 bytes each while they are sorted).
-FACTS_A_BUCKET = 1 << 20
+#: Facts that one grouped task holds at a time, about (70 bytes each while they are sorted).
+FACTS_A_BUCKET = 1 << 21
 LEAST_BUCKETS = 64
 #: settled: the block is an owner (8 bytes) and what was found for it inside its own batch, and only passes through.
 BLOCK_SCHEMA = "bucket int, settled boolean, block binary"
@@ -28,8 +28,8 @@ HASH_BYTES = 7
 
 
 def buckets_for(facts: int) -> int:
-    """A power of two, so that buckets hold about FACTS_A_BUCKET facts at any size of input."""
-    return max(LEAST_BUCKETS, 1 << max(0, int(facts // FACTS_A_BUCKET)).bit_length())
+    """So many that a bucket holds about FACTS_A_BUCKET facts at any size of input."""
+    return max(LEAST_BUCKETS, int(facts // FACTS_A_BUCKET))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -81,7 +81,7 @@ def blocks(hashes: np.ndarray, second: np.ndarray, owners: np.ndarray, positions
     """(bucket, False, block) of facts in (owner, position) order; `second` is an independent hash that picks the bucket."""
     if not len(hashes):
         return
-    bucket = (second & np.uint64(n_buckets - 1)).astype(np.int64)
+    bucket = (second % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ends = np.cumsum(np.bincount(bucket, minlength=n_buckets))
     begin = 0
@@ -102,7 +102,7 @@ def owner_runs(owners: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
 
 def settled_rows(found: Iterator[tuple[int, bytes]], n_buckets: int) -> Iterator[tuple[int, bool, bytes]]:
     for owner, data in found:
-        yield owner & (n_buckets - 1), True, owner.to_bytes(8, "little", signed=True) + data
+        yield owner % n_buckets, True, owner.to_bytes(8, "little", signed=True) + data
 
 
 def record_batches(rows: Iterator[tuple[int, bool, bytes]], size: int = 1024) -> Iterator[pa.RecordBatch]:
