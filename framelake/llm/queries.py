@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framelake.llm.bpe import bpe_encode
 from framelake.llm.quality_rules import quality_rules
 from framelake.llm.substring_dedup import substring_dedup
+from framelake.llm.toxicity import score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +31,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the line-first verdict on every document."""
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules(table(spark, sf_dir, "documents")).select(*columns)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy-or toxicity of every document."""
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
