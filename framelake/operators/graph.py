@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators.skew import join_group_value
 from framelake.sources.scratch import drop, materialise
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
+def _star(edges: DataFrame, larger: bool, total: int) -> DataFrame:
     """One star step over (a, b) with a > b: every neighbour on one side of a node is linked to the node's minimum.
-    The grouped minimum is combined before the shuffle, so a node with very many neighbours costs one row a task."""
+    The grouped minimum is combined before the shuffle and sent to a hub's neighbours by broadcast, so a node with very
+    many neighbours costs one row a task."""
     both = edges.select("a", "b")
     if larger:
         both = both.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    linked = both.join(low, "a")
+    low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("m", "a"))
+    linked = join_group_value(both, low, ["a"], "degree", total * (1 + larger))
     if larger:
         out = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -36,12 +38,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         present.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "edges",
     )
-    mark = None
+    mark, total = None, current.count()
     for _ in range(max_rounds):
-        after = materialise(_star(_star(current, True), False), "edges")
+        wide = materialise(_star(current, True, total), "edges")
+        after = materialise(_star(wide, False, total), "edges")
+        drop(wide)
         seen = after.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         drop(current)
-        current = after
+        current, total = after, seen[0]
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
