@@ -35,4 +35,16 @@ SQL = {
         failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 * n_words AND n_words - lost >= 10 AS kept FROM failed
     """,
+    "op9_ngram_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS s FROM d)),
+        size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+        sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(s, v) AS (SELECT DISTINCT a, a FROM sym UNION SELECT s, b FROM reach JOIN sym ON v = a),
+        comp AS (SELECT s, min(v) AS c FROM reach GROUP BY s)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id
+        FROM d LEFT JOIN size USING (doc_id) LEFT JOIN comp ON s = d.doc_id
+    """,
 }

@@ -126,3 +126,23 @@ def grouped(sent: DataFrame, settle) -> DataFrame:
         return pa.table({"owner": pa.array([x[0] for x in out], pa.int64()), "found": pa.array([x[1] for x in out], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, FOUND_SCHEMA)
+
+
+def grouped_edges(sent: DataFrame, settle) -> DataFrame:
+    """As grouped(), for found lists of 8-byte smaller ids: rows (a, b), a > b."""
+    def run(table: pa.Table) -> pa.Table:
+        a, b, parts = [], [], []
+        for settled, block in zip(table.column("settled").to_pylist(), table.column("block").to_pylist(), strict=True):
+            if settled:
+                b.append(np.frombuffer(block, "<i8", offset=8))
+                a.append(np.full(len(b[-1]), int.from_bytes(block[:8], "little", signed=True)))
+            else:
+                parts.append(unpack(block))
+        if parts:
+            for owner, found in settle(*(np.concatenate(x) for x in zip(*parts, strict=True))):
+                b.append(np.frombuffer(found, "<i8"))
+                a.append(np.full(len(b[-1]), owner))
+        pairs = np.unique(np.stack([np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (a, b)], 1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return sent.groupBy("bucket").applyInArrow(run, "a long, b long")

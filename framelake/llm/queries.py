@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.bpe import bpe_encode
+from framelake.llm.ngram_join import Similarity, ngram_jaccard_join
 from framelake.llm.quality_rules import quality_rules
 from framelake.llm.substring_dedup import substring_dedup
 from framelake.llm.toxicity import score_toxicity
@@ -37,3 +38,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy-or toxicity of every document."""
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked at a Jaccard similarity of 0.9 over 3-word shingles."""
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), Similarity(width=3, num=9, den=10))
