@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.bpe import bpe_encode
+from framelake.llm.hilbert_shards import hilbert_shards
 from framelake.llm.ngram_join import Similarity, ngram_jaccard_join
 from framelake.llm.quality_rules import quality_rules
 from framelake.llm.substring_dedup import substring_dedup
@@ -43,3 +44,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked at a Jaccard similarity of 0.9 over 3-word shingles."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), Similarity(width=3, num=9, den=10))
+
+
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents along a Hilbert curve over language, source and size, cut into 16 runs of equal row counts."""
+    sharded = hilbert_shards(table(spark, sf_dir, "documents"))
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
