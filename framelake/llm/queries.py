@@ -12,6 +12,7 @@ from framelake.llm.ngram_join import Similarity, ngram_jaccard_join
 from framelake.llm.quality_rules import quality_rules
 from framelake.llm.substring_dedup import substring_dedup
 from framelake.llm.toxicity import score_toxicity
+from framelake.llm.url_rules import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,3 +51,12 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents along a Hilbert curve over language, source and size, cut into 16 runs of equal row counts."""
     sharded = hilbert_shards(table(spark, sf_dir, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+#: (verdict, host, path) of the listed rules.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed rule's verdict on every URL, else that of the association rules mined from the URLs that they label."""
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).withColumn("matched", F.array_join("matched", " "))
