@@ -13,6 +13,7 @@ from framelake.llm.quality_rules import quality_rules
 from framelake.llm.substring_dedup import substring_dedup
 from framelake.llm.toxicity import score_toxicity
 from framelake.llm.url_rules import judge_urls
+from framelake.llm.warc import warc_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +61,8 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed rule's verdict on every URL, else that of the association rules mined from the URLs that they label."""
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).withColumn("matched", F.array_join("matched", " "))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives and back."""
+    return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
