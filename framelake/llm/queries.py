@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.bpe import bpe_encode
+from framelake.llm.decontaminate import contaminated
 from framelake.llm.hilbert_shards import hilbert_shards
 from framelake.llm.ngram_join import Similarity, ngram_jaccard_join
 from framelake.llm.quality_rules import quality_rules
@@ -66,3 +67,8 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through WARC archives and back."""
     return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item, with the item and the alignment."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
