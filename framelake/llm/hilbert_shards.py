@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.sources.scratch import materialise
+from framelake.operators.rank import global_rank
 
 SHARDS = 16
 #: Bits of each dimension on the curve.
@@ -80,15 +78,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str,
     slim = docs.select("doc_id", *[c for c in docs.columns if c in dimensions and c != "n_bytes"], F.octet_length(text).cast("long").alias("n_bytes"), F.crc32(text).alias("text_crc32"))
     keyed = hilbert_keys(slim, [c for c in dimensions if c in slim.columns], bits)
     ordered = keyed.select("doc_id", (F.col("n_bytes") + 1).alias("size"), "text_crc32", "curve")
-    # Row number over a range sort without one task for all: partition and place, then counts of the partitions before.
-    parts = ordered.repartitionByRange("curve", "doc_id", "text_crc32", "size").sortWithinPartitions("curve", "doc_id", "text_crc32", "size")
-    placed = materialise(parts.withColumn("at", F.monotonically_increasing_id()), "curve")
-    placed = placed.withColumns({"part": F.shiftright("at", 33), "place": F.col("at").bitwiseAND((1 << 33) - 1)})
-    counts = sorted(placed.groupBy("part").count().collect())  # one row a sort partition
-    starts = dict(zip([r["part"] for r in counts], accumulate((r["count"] for r in counts), initial=0), strict=False))
-    total = sum(r["count"] for r in counts)
-    offsets = placed.sparkSession.createDataFrame(list(starts.items()), "part long, offset long")
-    ranked = placed.join(F.broadcast(offsets), "part").withColumn("rank", F.col("place") + F.col("offset"))
+    ranked, total = global_rank(ordered, ["curve", "doc_id", "text_crc32", "size"])
     shard = F.expr(f"(rank * {shards}L) div {max(total, 1)}L")
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
     return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("rank") - first).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")

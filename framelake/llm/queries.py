@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framelake.llm.bpe import bpe_encode
 from framelake.llm.decontaminate import contaminated
 from framelake.llm.hilbert_shards import hilbert_shards
+from framelake.llm.line_dedup import line_dedup, without_lines
 from framelake.llm.ngram_join import Similarity, ngram_jaccard_join
 from framelake.llm.quality_rules import quality_rules
 from framelake.llm.substring_dedup import substring_dedup
@@ -72,3 +73,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, with the item and the alignment."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated and nearly repeated lines of all documents, cut from all but the first place."""
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    kept = F.coalesce(without_lines(), F.lit(""))
+    return found.select("doc_id", lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
