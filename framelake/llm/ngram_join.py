@@ -182,11 +182,12 @@ def _sets(width: int):
 def ngram_jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reachable over links.
 
-    Reads doc_id (unique, not null) and text; other columns are ignored. A text without words, or null, has an empty
-    set and links with nothing. Documents of equal sets are one class and go on as its smallest doc_id; between classes
+    Reads doc_id and text; other columns are ignored. Rows with a null doc_id are left out; rows of one doc_id are each
+    returned, as one document. A text without words, or null, has an empty set and links with nothing. Documents of equal sets are one class and go on as its smallest doc_id; between classes
     no link is lost. Ids of shingles are 64-bit hashes. An empty table gives no rows.
     """
     small_batches(docs.sparkSession, 1024)
+    docs = docs.filter("doc_id is not null").select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rate = 4 * (sim.den - sim.num) / (sim.den + sim.num)
     sent = materialise(text_bytes(docs).mapInArrow(_sent(sim, packed.buckets_for(int(size / 6 * rate))), SENT), "keys")
@@ -206,7 +207,8 @@ def ngram_jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), task_shi
     linked = materialise(connected_components(links), "components").toDF("rep", "component")
     labelled = copies.join(linked, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     alone = linked.join(copies.select(F.col("doc_id").alias("rep")), "rep", "left_anti").select(F.col("rep").alias("doc_id"), "component")
-    return sizes.select("doc_id", F.col("n").alias("n_shingles")).join(labelled.unionByName(alone), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    component = labelled.unionByName(alone).groupBy("doc_id").agg(F.min("component").alias("component"))
+    return sizes.select("doc_id", F.col("n").alias("n_shingles")).join(component, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:

@@ -74,7 +74,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     small_batches(docs.sparkSession, 2048)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = packed.buckets_for(size // 6)
-    return packed.grouped(text_bytes(docs).mapInArrow(_window_blocks(window, n_buckets), packed.BLOCK_SCHEMA), _later_holders).toDF("doc_id", "starts")
+    return packed.grouped(text_bytes(docs.filter("doc_id is not null")).mapInArrow(_window_blocks(window, n_buckets), packed.BLOCK_SCHEMA), _later_holders).toDF("doc_id", "starts")
 
 
 def _cut(window: int):
@@ -101,7 +101,8 @@ def _cut(window: int):
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Remove every word that a window of `window` words covers which also begins in a document with a smaller doc_id.
 
-    Reads doc_id (unique, not null) and text; other columns are ignored. Words are runs of anything but ASCII white
+    Reads doc_id and text; other columns are ignored. Rows with a null doc_id lose nothing and take nothing; repeated rows
+    of a document are returned each. Words are runs of anything but ASCII white
     space; a null or empty text has none. Windows are judged on the input. Returns doc_id, n_words, n_removed,
     kept_text (kept words joined by one space) and removed_spans (maximal [first, last) word ranges). Within one
     document repeats are kept. An empty table gives no rows; texts under `window` words lose nothing.
