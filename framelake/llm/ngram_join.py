@@ -202,7 +202,8 @@ def ngram_jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), task_shi
     candidates = materialise(candidates.select("a", F.coalesce("rep", "b").alias("b")).filter("a <> b").distinct(), "candidates")
     drop(sent)
     families = materialise(connected_components(candidates), "families").toDF("doc_id", "family")
-    members = text_bytes(docs).join(families, "doc_id").select("family", "doc_id", "text").mapInArrow(_sets(sim.width), "family long, id long, payload binary, weight long")
+    # Families grow with the documents: a sort-merge join at any size.
+    members = text_bytes(docs).join(families.hint("merge"), "doc_id").select("family", "doc_id", "text").mapInArrow(_sets(sim.width), "family long, id long, payload binary, weight long")
     links = link_families(members, tile_linker(sim), pivot_distance(sim), task_shingles, 1 - sim.num / sim.den + 1e-9)
     linked = materialise(connected_components(links), "components").toDF("rep", "component")
     labelled = copies.join(linked, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
@@ -214,4 +215,4 @@ def ngram_jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), task_shi
 def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their group of linked documents."""
     found = ngram_jaccard_join(docs, sim)
-    return docs.join(found.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.filter("doc_id <> component_id").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
