@@ -383,9 +383,10 @@ def best_params(spark, sf_dir):
     return tune.best(one, ["threshold", "cons"]).select("threshold", "cons", r6("f1"))
 
 
-@query(f"WITH {SCORES} SELECT threshold, cons, round(max(f1), 6) AS best_f1 FROM sc GROUP BY CUBE (threshold, cons)")
+@query(f"WITH {SCORES} SELECT coalesce(threshold, -1) AS threshold, coalesce(cons, -1) AS cons, round(max(f1), 6) AS best_f1 FROM sc GROUP BY CUBE (threshold, cons)")
 def grid_marginals(spark, sf_dir):
-    return tune.marginals(scored_grid(spark, sf_dir), ["threshold", "cons"]).select("threshold", "cons", r6("best_f1"))
+    best = tune.marginals(scored_grid(spark, sf_dir), ["threshold", "cons"])
+    return best.select(F.coalesce("threshold", F.lit(-1.0)).alias("threshold"), F.coalesce("cons", F.lit(-1)).alias("cons"), r6("best_f1"))
 
 
 @query("WITH v AS (SELECT DISTINCT label::BIGINT AS video_id FROM embeddings) SELECT a.video_id AS cv, b.video_id, a.video_id <> b.video_id AS trains FROM v a, v b")
@@ -436,7 +437,7 @@ def _is_folder(spark, path):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL HAVING start + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 1 hour FROM events)")
+@query("SELECT * FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 1 hour FROM events)")
 def tumbling_activity(spark, sf_dir):
     got = streamed(spark, sf_dir, lambda s: online.tumbling_activity(s, "1 hour", "1 hour"))
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
