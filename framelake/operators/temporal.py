@@ -92,6 +92,6 @@ def average_waveform(waves: DataFrame, video: str = "video_id") -> DataFrame:
 def decay_time(wave: DataFrame, level: float, key: list[str]) -> DataFrame:
     """Last tenth of a frame after the peak at which the linearly interpolated wave exceeds `level`."""
     w = Window.partitionBy(*key).orderBy("rel")
-    seg = wave.withColumns({"nxt": F.lead("v").over(w)}).filter("nxt is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    at = seg.select(*key, (F.col("rel") + F.col("k") / 10).alias("at"), (F.col("v") + (F.col("nxt") - F.col("v")) * F.col("k") / 10).alias("v"))
+    seg = wave.withColumn("_next", F.lead("v").over(w)).filter("_next is not null").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    at = seg.select(*key, (F.col("rel") + F.col("_k") / 10).alias("at"), (F.col("v") + (F.col("_next") - F.col("v")) * F.col("_k") / 10).alias("v"))
     return at.filter((F.col("at") >= 0) & (F.col("v") > level)).groupBy(*key).agg(F.max("at").alias("decay"))

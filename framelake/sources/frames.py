@@ -54,7 +54,7 @@ def densify(frames: DataFrame, multiple: int = 8) -> DataFrame:
     """All cells of each video's grid, its sides rounded up to `multiple`, with 0 where there was none."""
     dims = video_dims(frames)
     up = lambda c: (F.ceil(F.col(c) / multiple) * multiple - 1).cast("int")
-    grid = dims.select("video_id", F.explode(F.sequence(F.lit(0), (F.col("nt") - 1).cast("int"))).cast("long").alias("t"), "lx", "ly")
+    grid = dims.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nt").cast("long") - 1)).alias("t"), "lx", "ly")
     grid = grid.select("video_id", "t", F.explode(F.sequence(F.lit(0), up("lx"))).alias("x"), "ly").select("video_id", "t", "x", F.explode(F.sequence(F.lit(0), up("ly"))).alias("y"))
     return grid.join(frames.select("video_id", "t", F.col("x").cast("int"), F.col("y").cast("int"), "v"), ["video_id", "t", "x", "y"], "left").fillna(0.0, ["v"])
 
