@@ -29,6 +29,11 @@ def bucket_threshold(thresh_pmap: Column | int) -> Column:
     return (F.lit(thresh_pmap) + 1) / 256
 
 
+def masked(frames: DataFrame, mask: DataFrame) -> DataFrame:
+    """V times its pixel's weight in mask (x, y, w); pixels without weight become 0."""
+    return frames.join(mask, ["x", "y"], "left").withColumn("v", F.col("v") * F.coalesce("w", F.lit(0.0))).drop("w")
+
+
 def logistic_score(snr: Column, centre: float = 3.0, scale: float = 1.0) -> Column:
     """A score frame without any model: logistic in the SNR."""
     return 1 / (1 + F.exp(-(snr - centre) / scale))

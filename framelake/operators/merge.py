@@ -116,7 +116,12 @@ def run_filter(m: Masks, threshold_mask: float, cons: int) -> Masks:
 
 
 def complete(regions: DataFrame, ly: int, params: dict) -> Masks:
-    """M7: all merges over the regions of a batch of frames; without regions the result is empty."""
+    """M7: all merges over the regions of a batch of frames, then the run filter; without regions the result is empty."""
+    return run_filter(merged(regions, ly, params), params["thresh_mask"], params["cons"])
+
+
+def merged(regions: DataFrame, ly: int, params: dict) -> Masks:
+    """M8: the merges without the run filter, for one window of frames."""
     segments, pixels, times = numbered(regions)
     segments = materialise(segments.filter(F.col("area") > params["min_area"]), "segments")
     m = gather(pixels, times, cluster(segments, params["thresh_com0"], nearest=False))
@@ -126,7 +131,7 @@ def complete(regions: DataFrame, ly: int, params: dict) -> Masks:
     m = iou_merge(Masks(materialise(m.pixels, "pixels"), materialise(m.times, "times")), params["thresh_mask"], params["thresh_iou"])
     m = Masks(materialise(m.pixels, "pixels"), materialise(m.times, "times"))
     m = containment_merge(m, params["thresh_mask"], params["avg_area"], params.get("thresh_consume", (1 + params["thresh_iou"]) / 2))
-    return run_filter(Masks(materialise(m.pixels, "pixels"), materialise(m.times, "times")), params["thresh_mask"], params["cons"])
+    return Masks(materialise(m.pixels, "pixels"), materialise(m.times, "times"))
 
 
 def matches(new: DataFrame, old: DataFrame, threshold_iou: float, threshold_consume: float) -> DataFrame:

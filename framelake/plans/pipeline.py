@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.scalar import logistic_score
-from framelake.operators.baseline import frame_median_subtract, median_normalise, snr
+from framelake.operators.baseline import frame_median_subtract, mad_snr, median_normalise, snr
+from framelake.operators.joins import MASK, silenced
 from framelake.operators.merge import Masks, complete
 from framelake.operators.score import high_pass
 from framelake.operators.segment import frame_regions
-from framelake.operators.temporal import fir_filter
+from framelake.operators.temporal import aligned_waveforms, average_waveform, decay_time, fir_filter, spikes
 from framelake.sources.frames import clipped, pack, unpack
 
 DEFAULTS = {"min_area": 30, "avg_area": 177, "thresh_mask": 0.5, "thresh_com0": 2.0, "thresh_com": 6.0, "thresh_iou": 0.5, "cons": 1}
@@ -35,3 +36,16 @@ def find_regions(frames: DataFrame, ly: int, params: dict, kernel: list[float] |
     ready = preprocess(frames, kernel)
     active = ready.filter(logistic_score(F.col("snr")) > probability)
     return complete(frame_regions(active, ly), ly, DEFAULTS | params)
+
+
+def build_template(traces: DataFrame, masks: DataFrame, low: float = 5.0, high: float = 6.0, before: int = 5, after: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(waveform (rel, v), decay (video_id, tau, half_life)): the mean shape of lone spikes of masks that no overlapping
+    mask disturbs. traces (video_id, mask_id, t, v), masks (video_id, mask_id, px)."""
+    z = mad_snr(traces, MASK).filter("snr is not null")
+    quiet = silenced(z.filter(F.col("snr") > low).select(*MASK, "t"), masks)
+    lone = spikes(z, MASK, low, high, before, after).join(quiet, [*MASK, "t"], "left_semi")
+    waves = aligned_waveforms(traces, lone.select(*MASK, "t"), MASK, before, after)
+    by_video = waves.groupBy("video_id", "rel").agg(F.avg("v").alias("v"))
+    tau = decay_time(by_video, 0.36787944117144233, ["video_id"]).withColumnRenamed("decay", "tau")
+    half = decay_time(by_video, 0.5, ["video_id"]).select("video_id", (F.col("decay") / F.log(F.lit(2.0))).alias("half_life"))
+    return average_waveform(waves), tau.join(half, "video_id", "left")

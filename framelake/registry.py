@@ -459,3 +459,71 @@ def stream_fir_equals_batch(spark, sf_dir):
     out = new_path(spark, "stream")
     online.run_available(online.streaming_fir(stream, KERNEL, ["pix"]), f"{out}/rows", f"{out}/state")
     return spark.read.schema("pix long, t long, v double").parquet(f"{out}/rows").select("pix", "t", r6("v"))
+
+
+@query(f"WITH {EMB} SELECT video_id, max(t) + 1 AS nt, max(x) + 1 AS lx, max(y) + 1 AS ly FROM emb GROUP BY video_id")
+def video_dims(spark, sf_dir):
+    dims = src.video_dims(v_emb(spark, sf_dir))
+    return dims.select("video_id", "nt", F.col("lx").cast("long").alias("lx"), F.col("ly").cast("long").alias("ly"))
+
+
+@query(f"WITH {EMB} SELECT x, y, video_id, round(avg(v), 6) AS v FROM emb GROUP BY ALL")
+def mean_image(spark, sf_dir):
+    return baseline.mean_image(v_emb(spark, sf_dir)).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "video_id", r6("v"))
+
+
+@query(f"WITH {EMB} SELECT video_id, threshold::DOUBLE AS threshold, round(avg((v > threshold)::INTEGER), 6) AS ratio FROM emb, (VALUES (0.05), (0.1), (0.15), (0.2)) g(threshold) GROUP BY ALL HAVING avg((v > threshold)::INTEGER) <= 0.12")
+def active_ratio(spark, sf_dir):
+    return tune.sparse_enough(v_emb(spark, sf_dir).withColumnRenamed("v", "p"), [0.05, 0.1, 0.15, 0.2], 0.12).select("video_id", "threshold", r6("ratio"))
+
+
+@query(f"WITH {EMB} SELECT video_id, t, count(*) AS cells, round(sum(v), 5) AS total FROM emb GROUP BY ALL")
+def pack_round_trip(spark, sf_dir):
+    back = src.unpack(src.pack(v_emb(spark, sf_dir), 8), 8)
+    return src.crop(back, 8, 8).groupBy("video_id", "t").agg(F.count("*").alias("cells"), F.round(F.sum("v"), 5).alias("total"))
+
+
+@query(f"WITH {VD}, g AS (SELECT max(t) + 1 AS nt, (max(x) // 8 + 1) * 8 AS lx, (max(y) // 8 + 1) * 8 AS ly FROM vid) SELECT t::BIGINT AS t, (SELECT lx * ly FROM g)::BIGINT AS cells, round(sum(v), 4) AS total FROM vid GROUP BY t")
+def densified_grid(spark, sf_dir):
+    dense = src.densify(v_day(spark, sf_dir).drop("pix"))
+    return dense.groupBy("t").agg(F.count("*").alias("cells"), F.round(F.sum("v"), 4).alias("total"))
+
+
+@query(f"WITH {VD} SELECT x, y, t::BIGINT AS t, round(v * CASE WHEN (x + y) % 2 = 0 THEN 0.5 ELSE 0 END, 6) AS v FROM vid")
+def masked_frames(spark, sf_dir):
+    v = v_day(spark, sf_dir)
+    mask = v.filter((F.col("x") + F.col("y")) % 2 == 0).select("x", "y", F.lit(0.5).alias("w")).distinct()
+    return scalar.masked(v, mask).select("x", "y", "t", r6("v"))
+
+
+HOURS = "CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS BIGINT)"
+
+
+def by_hour(events: DataFrame, kind: str, name: str) -> DataFrame:
+    hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / HOUR)
+    return events.filter(F.col("event_type") == kind).select(F.lit(0).cast("long").alias("video_id"), F.col("user_id").alias("mask_id"), hour.cast("long").alias(name)).distinct()
+
+
+@query(
+    f"WITH m AS (SELECT DISTINCT user_id AS id, {HOURS} AS p FROM events WHERE event_type = 'error'), act AS (SELECT DISTINCT user_id AS id, {HOURS} AS t FROM events WHERE event_type = 'purchase'), pr AS (SELECT DISTINCT a.id AS a, b.id AS b FROM m a JOIN m b ON a.p = b.p AND a.id <> b.id) SELECT id, t FROM act WHERE NOT EXISTS (SELECT 1 FROM pr JOIN act o ON o.id = pr.b WHERE pr.a = act.id AND o.t = act.t)"
+)
+def silenced_frames(spark, sf_dir):
+    """Purchase hours of users in which no user buys who shares an error hour with them."""
+    e = table(spark, sf_dir, "events")
+    masks = joins.as_masks(by_hour(e, "error", "p"))
+    return joins.silenced(by_hour(e, "purchase", "t"), masks).select(F.col("mask_id").alias("id"), "t")
+
+
+@query("WITH u AS (SELECT DISTINCT user_id AS eid FROM events), done AS (SELECT user_id AS eid FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 14) SELECT eid FROM u WHERE eid NOT IN (SELECT eid FROM done) AND eid <= 100")
+def unfinished_work(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    plan = e.select(F.col("user_id").alias("eid")).distinct()
+    done = e.filter("event_type = 'error'").groupBy(F.col("user_id").alias("eid")).count().filter("count > 14").select("eid")
+    return src.unfinished(plan, done, ["eid"], 100)
+
+
+@query()
+def lone_spikes(spark, sf_dir):
+    """Lone peaks of users' hourly sums by the smallest and largest score."""
+    z = baseline.snr(v_hour(spark, sf_dir))
+    return temporal.spikes(z.select("pix", "t", "snr"), ["pix"], 2.0, 6.0, 2, 3).select("pix", "t", r6("peak"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framelake.operators.baseline import baseline
+from framelake.operators.merge import Masks, final_merge, merge_into, merged
+from framelake.operators.segment import frame_regions
+from framelake.sources.frames import PIXEL
+
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """A file stream of events with ts as an event-time column."""
@@ -56,3 +61,35 @@ def merge_windows(stream: DataFrame, merge_batch, checkpoint: str) -> None:
     """Each micro-batch of frames is merged into a state table by merge_batch(batch, batch_id), which must write
     under the batch's id, so that a batch that runs again replaces its own result."""
     stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def initial_baseline(frames: DataFrame, first_frames: int) -> DataFrame:
+    """Medians and noise of the first frames, to normalise the stream by (a stream-static join)."""
+    return baseline(frames.filter(F.col("t") < first_frames))
+
+
+def online_snr(stream: DataFrame, known: DataFrame) -> DataFrame:
+    """R2: z-scores of streamed frames against a fixed baseline."""
+    z = F.when(F.col("noise").isNull(), F.lit(0.0)).otherwise((F.col("v") - F.col("med")) / F.col("noise"))
+    return stream.join(known, PIXEL).withColumn("snr", z).drop("med", "noise")
+
+
+class OnlineMasks:
+    """Masks found so far, as a table with one version a window. Each window's frames are segmented and merged (M8),
+    and the result joins the version before (M9). A window that runs again writes the same version again."""
+
+    def __init__(self, spark: SparkSession, folder: str, ly: int, params: dict, active: Callable[[DataFrame], DataFrame]):
+        self.spark, self.folder, self.ly, self.params, self.active = spark, folder.rstrip("/"), ly, params, active
+
+    def version(self, k: int) -> Masks:
+        return Masks(self.spark.read.parquet(f"{self.folder}/pixels/{k}"), self.spark.read.parquet(f"{self.folder}/times/{k}"))
+
+    def merge_batch(self, frames: DataFrame, k: int) -> None:
+        new = merged(frame_regions(self.active(frames), self.ly), self.ly, self.params)
+        out = merge_into(self.version(k - 1), new, self.params) if k else new
+        out.pixels.write.mode("overwrite").parquet(f"{self.folder}/pixels/{k}")
+        out.times.write.mode("overwrite").parquet(f"{self.folder}/times/{k}")
+
+    def finish(self, k: int) -> Masks:
+        """M11 on the last version."""
+        return final_merge(self.version(k), self.params)

@@ -203,3 +203,42 @@ def test_grid_search_scores_every_combination(spark):
     lists = {"min_area": [2], "avg_area": [50], "thresh_pmap": [150], "thresh_com": [2.0], "thresh_iou": [0.5], "cons": [1, 4, 5]}
     got = {r.cons: r.f1 for r in tune.grid_search(pmap, gt, 8, lists, {"thresh_mask": 0.5, "thresh_com0": 1.0}).collect()}
     assert got == {1: 1.0, 4: 1.0, 5: 0.0}
+
+
+def test_template_of_lone_spikes(spark):
+    from framelake.plans.pipeline import build_template
+
+    rng = np.random.default_rng(2)
+    shape = {0: 6.0, 1: 4.0, 2: 2.5, 3: 1.5, 4: 0.8}
+    rows = []
+    for m in range(3):
+        v = rng.normal(10, 0.1, 200)
+        for at in (40, 90, 150):
+            for k, h in shape.items():
+                v[at + k] += h * 0.1 * 1.5
+        rows += [(0, m, t, float(x)) for t, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "video_id long, mask_id long, t long, v double")
+    masks = spark.createDataFrame([(0, m, [m]) for m in range(3)], "video_id long, mask_id long, px array<long>")
+    wave, decay = build_template(df, masks, 4.0, 14.0, 2, 4)
+    got = {r.rel: r.v for r in wave.collect()}
+    assert got[0] == pytest.approx(1.0) and got[0] > got[1] > got[2] and decay.count() == 1
+
+
+def test_online_versions_end_as_one_mask(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from framelake.streaming.online import OnlineMasks, initial_baseline, merge_windows, online_snr
+
+    rows = [(0, t, x, y, 9.0 if 2 <= x < 5 and 2 <= y < 5 and t % 5 < 4 else float((x + y + t) % 2)) for t in range(15) for x in range(8) for y in range(8)]
+    frames = spark.createDataFrame(rows, "video_id long, t long, x int, y int, v double")
+    for k in range(3):
+        frames.filter((F.col("t") >= 5 * k) & (F.col("t") < 5 * k + 5)).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    params = {"min_area": 2, "avg_area": 50, "thresh_mask": 0.5, "thresh_com0": 1.0, "thresh_com": 2.0, "thresh_iou": 0.5, "cons": 4}
+    state = OnlineMasks(spark, f"{tmp_path}/state", 8, params, lambda f: f.filter("v > 5"))
+    stream = spark.readStream.schema(frames.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    merge_windows(stream, state.merge_batch, f"{tmp_path}/ck")
+    state.merge_batch(frames.filter("t >= 10"), 2)  # a repeated batch replaces its own version
+    last = state.finish(2)
+    assert last.pixels.count() == 9 and last.times.count() == 12 and last.pixels.select("id").distinct().count() == 1
+    z = online_snr(frames.filter("t >= 10"), initial_baseline(frames, 10))
+    assert z.count() == 5 * 64 and z.filter("snr is null").count() == 0
