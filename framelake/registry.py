@@ -310,11 +310,12 @@ def mask_traces(spark, sf_dir):
     return traces.mask_traces(v, grouped_pixels(v), WIDTH).select("mask_id", "t", r6("raw"))
 
 
-NEAR = "mk AS (SELECT pix AS mask_id, pix AS p FROM (SELECT DISTINCT pix FROM vid) WHERE pix % 4 = 0), bg AS (SELECT m.mask_id, v.t, quantile_cont(v.v, 0.5) AS bg FROM mk m JOIN vid v ON sqrt((v.x - m.p // 15) ** 2 + (v.y - m.p % 15) ** 2) < 2 AND v.pix <> m.p GROUP BY ALL)"
+NEAR = "mk AS (SELECT pix AS mask_id, pix AS p FROM (SELECT DISTINCT pix FROM vid)), bg AS (SELECT m.mask_id, v.t, quantile_cont(v.v, 0.5) AS bg FROM mk m JOIN vid v ON sqrt((v.x - m.p // 15) ** 2 + (v.y - m.p % 15) ** 2) < 2 AND v.pix <> m.p GROUP BY ALL)"
 
 
 def single_pixels(v: DataFrame) -> DataFrame:
-    return v.filter("pix % 4 = 0").select("video_id", F.col("pix").alias("mask_id"), F.col("pix").alias("p")).distinct()
+    """Every pixel is a mask of its own."""
+    return v.select("video_id", F.col("pix").alias("mask_id"), F.col("pix").alias("p")).distinct()
 
 
 @query(f"WITH {VD}, {NEAR} SELECT mask_id, t::BIGINT AS t, round(bg, 6) AS bg FROM bg")
@@ -514,12 +515,12 @@ def silenced_frames(spark, sf_dir):
     return joins.silenced(by_hour(e, "purchase", "t"), masks).select(F.col("mask_id").alias("id"), "t")
 
 
-@query("WITH u AS (SELECT DISTINCT user_id AS eid FROM events), done AS (SELECT user_id AS eid FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 14) SELECT eid FROM u WHERE eid NOT IN (SELECT eid FROM done) AND eid <= 100")
+@query("WITH u AS (SELECT DISTINCT user_id AS eid FROM events), done AS (SELECT user_id AS eid FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 14) SELECT eid FROM u WHERE eid NOT IN (SELECT eid FROM done)")
 def unfinished_work(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     plan = e.select(F.col("user_id").alias("eid")).distinct()
     done = e.filter("event_type = 'error'").groupBy(F.col("user_id").alias("eid")).count().filter("count > 14").select("eid")
-    return src.unfinished(plan, done, ["eid"], 100)
+    return src.unfinished(plan, done, ["eid"])
 
 
 @query()
