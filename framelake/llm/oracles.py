@@ -4,6 +4,9 @@ from __future__ import annotations
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+#: Value of the k-th 5 bits of a string of 0 and 1.
+BASE32_DIGIT = " + ".join(f"substr(bits, 5 * k + {j + 1}, 1)::INTEGER * {16 >> j}" for j in range(5))
+
 SQL = {
     "op1_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
@@ -47,4 +50,13 @@ SQL = {
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id
         FROM d LEFT JOIN size USING (doc_id) LEFT JOIN comp ON s = d.doc_id
     """,
+    "op3_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top,
+              array_to_string(list_transform(string_split(sha1(h), ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + {BASE32_DIGIT})::BIGINT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM g
+    """,
 }
