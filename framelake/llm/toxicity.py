@@ -80,34 +80,71 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(bags: list[list[set[str]]], labels: list[int], setting: Training) -> dict:
+class Bags:
+    """Labelled documents as arrays: for each sentence the numbers of its distinct words."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.sentences: list[np.ndarray] = []
+        self.bag_of: list[int] = []
+        self.labels: list[int] = []
+
+    def add(self, text: str, label: int, most_words: int) -> None:
+        n = 0
+        for _, words in sentences(text):
+            self.sentences.append(np.array([self.words.setdefault(w, len(self.words)) for w in sorted(words)], np.int32))
+            self.bag_of.append(len(self.labels))
+            n += len(words)
+            if n > most_words:
+                break
+        self.labels.append(label)
+
+
+def evidence(bags: Bags, least_documents: int, least_evidence: float) -> dict[str, list[int]]:
+    """Features whose presence in documents and the label depend on each other -> the words that have them."""
+    number: dict[str, int] = {}
+    of_word = [np.array([number.setdefault(f, len(number)) for f in features(w)], np.int32) for w in bags.words]
+    n, p = np.zeros(len(number)), np.zeros(len(number))
+    cut = np.searchsorted(bags.bag_of, np.arange(len(bags.labels) + 1))
+    for d, y in enumerate(bags.labels):
+        if cut[d + 1] > cut[d]:
+            inside = np.unique(np.concatenate(bags.sentences[cut[d] : cut[d + 1]]))
+            found = np.unique(np.concatenate([of_word[w] for w in inside]))
+            n[found] += 1
+            p[found] += y
+    n_pos, total = max(1.0, float(sum(bags.labels))), max(2.0, float(len(bags.labels)))
+    n_neg = max(1.0, total - n_pos)
+    cells = np.stack([p, n - p, np.maximum(n_pos - p, 0), np.maximum(n_neg - n + p, 0)])
+    expected = np.stack([n * n_pos, n * n_neg, (total - n) * n_pos, (total - n) * n_neg]) / total
+    ratio = 2 * (cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9))).sum(0)
+    good = (n >= least_documents) & (ratio >= least_evidence)
+    out: dict[str, list[int]] = {}
+    for k, w in enumerate(bags.words):
+        if good[of_word[k]].any():
+            for f in features(w):
+                if good[number[f]]:
+                    out.setdefault(f, []).append(k)
+    return out
+
+
+def fit(bags: Bags, setting: Training) -> dict:
     """{leak, bias, weights by feature}. A sentence with features has p = sigmoid(bias + sum of their weights), any
     other 0; a document has P = 1 - (1 - leak) * product of (1 - p). The leak takes up labels that no sentence explains,
     so that a document's length alone says nothing."""
-    y = np.asarray(labels, np.float64)
-    inside: dict[str, list[int]] = {}
-    for d, bag in enumerate(bags):
-        for w in {f for w in {w for s in bag for w in s} for f in features(w)}:
-            inside.setdefault(w, []).append(d)
-    n_pos = max(1.0, y.sum())
-    n_neg = max(1.0, len(y) - y.sum())
-    chosen = []
-    for w, where in inside.items():
-        if len(where) >= setting.least_documents:
-            p = y[where].sum()
-            cells = np.array([[p, len(where) - p], [n_pos - p, n_neg - len(where) + p]])
-            expected = cells.sum(1, keepdims=True) * cells.sum(0, keepdims=True) / cells.sum()
-            if 2 * (cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9))).sum() >= setting.least_evidence:
-                chosen.append(w)
-    chosen.sort()
-    index = {w: i for i, w in enumerate(chosen)}
+    y = np.asarray(bags.labels, np.float64)
+    n_pos, n_neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
+    chosen = evidence(bags, setting.least_documents, setting.least_evidence)
+    index = {f: i for i, f in enumerate(sorted(chosen))}
+    of_word: dict[int, list[int]] = {}
+    for f, i in index.items():
+        for w in chosen[f]:
+            of_word.setdefault(w, []).append(i)
     row, col, bag_of = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            if known := [index[f] for w in sorted(s) for f in features(w) if f in index]:
-                row += [len(bag_of)] * len(known)
-                col += known
-                bag_of.append(d)
+    for d, sentence in zip(bags.bag_of, bags.sentences, strict=True):
+        if known := [i for w in sentence.tolist() if w in of_word for i in of_word[w]]:
+            row += [len(bag_of)] * len(known)
+            col += known
+            bag_of.append(d)
     row, col, bag_of = (np.asarray(x, np.int64) for x in (row, col, bag_of))
     theta = np.append(np.zeros(len(index)), [-3.0, -3.0])  # weights, bias, logit of the leak
     m, v = np.zeros(len(theta)), np.zeros(len(theta))
@@ -116,7 +153,7 @@ def fit(bags: list[list[set[str]]], labels: list[int], setting: Training) -> dic
         z = theta[-2] + np.bincount(row, theta[col], len(bag_of))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         leak = 1 / (1 + np.exp(-theta[-1]))
-        clean = np.bincount(bag_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags)) + np.log1p(-leak)
+        clean = np.bincount(bag_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + np.log1p(-leak)
         # Slope of the log likelihood along any log(1 - p): -(1 - P) / P for label 1, 1 for label 0.
         by_doc = np.where(y == 1, np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), -1.0) * weight
         by_sentence = by_doc[bag_of] * p
@@ -134,18 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, setting: Training = Training()) ->
         docs.select("doc_id", F.substring("text", 1, 12 * setting.most_words).alias("text"))
         .join(F.broadcast(sample), "doc_id")  # at most most_documents rows of two numbers
         .orderBy("doc_id")
-        .collect()
+        .toLocalIterator()
     )
-    bags = []
+    bags = Bags()
     for r in rows:
-        bag, n = [], 0
-        for _, words in sentences(r.text or ""):
-            bag.append(words)
-            n += len(words)
-            if n > setting.most_words:
-                break
-        bags.append(bag)
-    return fit(bags, [int(r.toxic) for r in rows], setting)
+        bags.add(r.text or "", int(r.toxic), setting.most_words)
+    return fit(bags, setting)
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, offending array<struct<sentence:int,score:double,text:string>>"
