@@ -4,6 +4,8 @@ from __future__ import annotations
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+#: A-Z of a text in lower case.
+ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: Value of the k-th 5 bits of a string of 0 and 1.
 BASE32_DIGIT = " + ".join(f"substr(bits, 5 * k + {j + 1}, 1)::INTEGER * {16 >> j}" for j in range(5))
 
@@ -59,4 +61,31 @@ SQL = {
                CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
         FROM g
     """,
+    "op6_url_rules": rf"""
+        WITH r AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, url, {ASCII_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+        j AS (SELECT *, CASE WHEN suffix(concat('.', host), '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                             WHEN suffix(concat('.', host), '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                             WHEN suffix(concat('.', host), '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                             WHEN suffix(concat('.', host), '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                             WHEN suffix(concat('.', host), '.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM h),
+        v AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS listed FROM j),
+        tok AS (SELECT DISTINCT page_id, listed, rule, unnest(list_concat(
+                  [concat('scheme=', {ASCII_LOWER.format("split_part(url, '://', 1)")}), concat('top=', string_split(host, '.')[-1])],
+                  list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: concat('host=', x)),
+                  list_transform(list_filter(string_split_regex({ASCII_LOWER.format("path")}, '[/.\-_]'), lambda x: x <> ''), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN concat('number=', x[1]) ELSE concat('path=', x) END),
+                  list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: concat('query=', split_part(x, '=', 1))))) AS t
+                FROM v WHERE host <> ''),
+        combo AS (SELECT page_id, listed, [t] AS items FROM tok
+                  UNION ALL SELECT a.page_id, a.listed, [a.t, b.t] FROM tok a JOIN tok b ON a.page_id = b.page_id AND a.t < b.t
+                  UNION ALL SELECT a.page_id, a.listed, [a.t, b.t, c.t] FROM tok a JOIN tok b ON a.page_id = b.page_id AND a.t < b.t JOIN tok c ON c.page_id = a.page_id AND b.t < c.t),
+        whole AS (SELECT items, count(*) AS n FROM combo WHERE listed IS NOT NULL GROUP BY items),
+        strong AS (SELECT items, listed AS label, count(*) AS m, count(*) / any_value(n) AS confidence FROM combo JOIN whole USING (items) WHERE listed IS NOT NULL GROUP BY ALL
+                   HAVING count(*) >= ceil(0.005 * (SELECT count(*) FROM v WHERE listed IS NOT NULL)) AND count(*) / any_value(n) >= 0.9),
+        mined AS (SELECT * FROM strong s WHERE NOT EXISTS (SELECT 1 FROM strong p WHERE p.label = s.label AND len(p.items) < len(s.items) AND list_has_all(s.items, p.items))),
+        best AS (SELECT page_id, label, items, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, m DESC, label = 'allow' DESC, label DESC, items DESC) AS k
+                 FROM combo JOIN mined USING (items) WHERE combo.listed IS NULL)
+        SELECT v.page_id, host, path, rule, coalesce(listed, label, 'allow') AS verdict, array_to_string(items, ' ') AS matched
+        FROM v LEFT JOIN best ON best.page_id = v.page_id AND k = 1
+    """,
 }
