@@ -3,6 +3,7 @@ family size-ordered tiles with hashed bitmaps whose bit counts bound the overlap
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,6 @@ from framelake.sources.scratch import drop, materialise
 
 #: Shingles that one task holds in memory while it compares a family (8 bytes each, and as much again for bitmaps).
 TASK_SHINGLES = 1_000_000
-#: Empty parts of a set that give no key; see keys().
-SPARE = 2
 
 
 @dataclass(frozen=True)
@@ -32,7 +31,9 @@ class Similarity:
     num: int = 4
     den: int = 5
     #: Each band of set sizes ends at this multiple of its start.
-    band_ratio: float = 1.6
+    band_ratio: float = 1.25
+    #: Sets below this size give their smallest shingles as keys; parts of so small sets would stay empty too often.
+    small: int = 128
 
     def bands(self, top: int = 1 << 34) -> np.ndarray:
         limits = [1]
@@ -43,10 +44,15 @@ class Similarity:
     def linked(self, inter: int, n_a: int, n_b: int) -> bool:
         return self.den * inter >= self.num * (n_a + n_b - inter)
 
-    def parts(self, limit: int) -> int:
-        """Parts for a band of sets below `limit`: linked sets differ in at most (den-num)/(den+num) of their summed
-        sizes, so at least 1 + SPARE parts are equal."""
-        return (self.den - self.num) * 2 * (limit - 1) // (self.den + self.num) + 1 + SPARE
+    def parts(self, low: int, limit: int) -> tuple[int, int]:
+        """(parts, spare) for a band of sets from `low` below `limit`. Linked sets differ in at most (den-num)/(den+num) of
+        their summed sizes, so at least 1 + spare parts are equal. spare is 4 more than twice the parts that stay empty by
+        chance in the band's smallest sets, so that hardly any set has more empty parts."""
+        most, spare = (self.den - self.num) * 2 * (limit - 1) // (self.den + self.num), 4
+        for _ in range(30):
+            n = most + 1 + spare
+            spare = 4 + math.ceil(2 * n * math.exp(-low / n))
+        return most + 1 + spare, spare
 
 
 def shingles(raw: bytes, width: int) -> np.ndarray:
@@ -58,29 +64,63 @@ def shingles(raw: bytes, width: int) -> np.ndarray:
     return np.unique(mix(rolling(word_hashes(words), n) + np.uint64(n)))
 
 
-def keys(s: np.ndarray, sim: Similarity, limits: np.ndarray) -> np.ndarray:
-    """Keys of a set: in its band, and in each band that a larger linked set may lie in, one for each part of the hash
-    range, from the shingles in it. Linked sets share a key: of their equal parts, at least 1 + SPARE, one holds
-    shingles, or else both sets have more than SPARE empty parts, and only then empty parts give keys as well."""
-    n = len(s)
+def keys(s: np.ndarray, sim: Similarity, limits: np.ndarray, sizes: dict[int, tuple[int, int]], common: np.ndarray = np.empty(0, np.uint64)) -> np.ndarray:
+    """Keys of a set, such that linked sets share one.
+
+    A small set, or one that may link with a small set, gives the first shingles in the order of their hash, with all
+    common ones last: as many as a linked set can't do without, n - ceil(n * num / den) + 1. Any other gives, in its band and in each band that a larger linked set may lie
+    in, one key for each part of the hash range, from the shingles in it. Of the equal parts of linked sets, at least
+    1 + spare, one holds shingles, or else both sets have more than `spare` empty parts, and only then empty parts give
+    keys as well. Parts leave common shingles out, which keeps equal parts equal. Both hold for any set of common
+    shingles, as long as it is the same for all documents."""
+    n, out = len(s), []
+    is_common = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
+    rare = s[~is_common]
+    if n * sim.num < sim.small * sim.den:
+        ordered = np.concatenate([rare, s[is_common]])
+        out.append(mix(ordered[: n + 1 - -(-n * sim.num // sim.den)] + np.uint64(0x632BE59BD9B4E019)))
+    if n < sim.small:
+        return out[0]
     first = int(np.searchsorted(limits, n, "right")) - 1
     last = int(np.searchsorted(limits, n * sim.den // sim.num, "right")) - 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    high, out = s >> np.uint64(32), []
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(rare ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+    high = rare >> np.uint64(32)
     for band in range(first, last + 1):
-        n_parts = sim.parts(int(limits[band + 1]))
+        n_parts, spare = sizes[band] if band in sizes else sizes.setdefault(band, sim.parts(int(limits[band]), int(limits[band + 1])))
         cut = np.searchsorted((high * np.uint64(n_parts)) >> np.uint64(32), np.arange(n_parts + 1, dtype=np.uint64))
         key = mix(total[cut[1:]] - total[cut[:-1]] + mix(np.arange(n_parts, dtype=np.uint64) + np.uint64(band << 40)))
         full = cut[1:] > cut[:-1]
-        out.append(key if n_parts - int(full.sum()) > SPARE else key[full])
+        out.append(key if n_parts - int(full.sum()) > spare else key[full])
     return np.concatenate(out)
 
 
+#: Shingles are common if at least one in so many documents holds them. So there are at most COMMON times the mean set's
+#: size of them (5 MB for sets of 600), a bound for their broadcast.
+COMMON = 1000
+#: Documents of one batch that must share a shingle before the batch reports it.
+REPORTED = 4
+
+
+def common_shingles(docs: DataFrame, sim: Similarity) -> np.ndarray:
+    """Sorted hashes of common shingles, counted over all documents; what few documents of a batch share isn't reported."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.concatenate([shingles(x, sim.width) for x in binary_column(batch, "text")] or [np.empty(0, np.uint64)]), return_counts=True)
+            found, n = found[n >= REPORTED], n[n >= REPORTED]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64())], names=["h", "n", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([batch.num_rows], pa.int64())], names=["h", "n", "rows"])
+
+    counts = materialise(text_bytes(docs).mapInArrow(run, "h long, n long, rows long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")), "common")
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    rows = counts.filter(F.col("h").isNotNull() & (F.col("n") * COMMON >= total)).select("h").collect()
+    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+
+
 SENT = packed.BLOCK_SCHEMA + ", doc_id long, n long, digest binary"
 
 
-def _sent(sim: Similarity, n_buckets: int):
-    def rows(batch: pa.RecordBatch, limits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sent(sim: Similarity, n_buckets: int, shared=None):
+    def rows(batch: pa.RecordBatch, limits: np.ndarray, parts: dict, common: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(batch.column("doc_id").to_pylist(), np.int64)
         order = np.argsort(ids, kind="stable")
         texts = binary_column(batch, "text")
@@ -90,7 +130,7 @@ def _sent(sim: Similarity, n_buckets: int):
         nothing = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.bool_()), pa.nulls(len(ids), pa.binary())
         names = ["bucket", "settled", "block", "doc_id", "n", "digest"]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array(ids[order]), pa.array(sizes), pa.array(digests, pa.binary())], names=names)
-        own = [keys(s, sim, limits) if len(s) else s for s in sets]
+        own = [keys(s, sim, limits, parts, common) if len(s) else s for s in sets]
         found = np.concatenate([*own, np.empty(0, np.uint64)])
         owners = np.repeat(ids[order], [len(k) for k in own])
         late, least = packed.shared(found, owners)
@@ -102,9 +142,9 @@ def _sent(sim: Similarity, n_buckets: int):
             yield _widened(b, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits = sim.bands()
+        limits, parts, common = sim.bands(), {}, shared.value if shared else np.empty(0, np.uint64)
         for batch in batches:
-            yield from rows(batch, limits)
+            yield from rows(batch, limits, parts, common)
 
     return run
 
@@ -190,7 +230,8 @@ def ngram_jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), task_shi
     docs = docs.filter("doc_id is not null").select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rate = 4 * (sim.den - sim.num) / (sim.den + sim.num)
-    sent = materialise(text_bytes(docs).mapInArrow(_sent(sim, packed.buckets_for(int(size / 6 * rate))), SENT), "keys")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, sim))
+    sent = materialise(text_bytes(docs).mapInArrow(_sent(sim, packed.buckets_for(int(size / 6 * rate)), common), SENT), "keys")
     sizes = materialise(sent.filter("doc_id is not null").select("doc_id", "n", "digest"), "sizes")
     star = packed.grouped_edges(sent.filter("block is not null").select("bucket", "settled", "block"), _star).distinct()
     classes = materialise(sizes.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")

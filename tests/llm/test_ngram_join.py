@@ -54,17 +54,18 @@ def test_equals_brute_force_with_small_and_split_families(spark, sim, bound):
     assert got == brute(texts, sim)
 
 
-def test_linked_sets_always_share_a_key():
-    rng, sim = random.Random(2), Similarity(3, 9, 10)
-    limits = sim.bands()
+@pytest.mark.parametrize("sim", [Similarity(3, 9, 10), Similarity(5, 4, 5)])
+def test_linked_sets_always_share_a_key(sim):
+    rng = random.Random(2)
+    limits, parts = sim.bands(), {}
     for _ in range(400):
         n = rng.choice([1, 2, 5, 9, 10, 19, 40, 41, 300, 900])
         pool = np.array([rng.getrandbits(64) for _ in range(2 * n)], np.uint64)
         a = np.unique(pool[:n])
-        most = max(0, int(n * 0.1 / 0.9))
+        most = max(0, int(n * (sim.den - sim.num) / sim.num))
         b = np.unique(np.concatenate([a[rng.randint(0, most) :] if rng.random() < 0.5 else a, pool[n : n + rng.randint(0, most)]]))
         if sim.linked(len(np.intersect1d(a, b)), len(a), len(b)):
-            assert set(keys(a, sim, limits).tolist()) & set(keys(b, sim, limits).tolist())
+            assert set(keys(a, sim, limits, parts).tolist()) & set(keys(b, sim, limits, parts).tolist())
 
 
 def test_shingles_of_short_texts():
