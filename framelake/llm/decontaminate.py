@@ -1,4 +1,4 @@
-"""Operator 2: benchmark decontamination. Rare n-grams of test items are seeds that find candidate passages; Smith-Waterman
+"""Operator 2: benchmark decontamination. All n-grams of test items are seeds that find candidate passages; Smith-Waterman
 alignment over words scores how much of an item each passage holds, so edited copies count too."""
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from framelake.llm.text import binary_column, mix, rolling, small_batches, text_bytes, word_hashes
 from framelake.sources.scratch import materialise
@@ -24,9 +23,6 @@ SEPARATORS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punc
 class Matching:
     #: Words of a seed.
     seed: int = 3
-    #: A seed is rare if at most this share of the documents hold it, or at most twice as many as hold the median seed of
-    #: its item that any holds; else an item that leaked into very many documents would have none.
-    rare: float = 0.0005
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -70,16 +66,12 @@ class Block:
         at = np.minimum(np.searchsorted(self.seeds, grams[maybe]), len(self.seeds) - 1)
         return maybe[self.seeds[at] == grams[maybe]]
 
-    def rarest(self, frequency: dict[int, int], most: float) -> Block:
-        """The block with its rare seeds only."""
-        df = np.array([frequency.get(int(k), 0) for k in self.keys], np.int64)
-        middle = np.zeros(len(self.ids))
-        for i in range(len(self.ids)):
-            own = np.sort(df[(self.item == i) & (df > 0)])
-            middle[i] = own[(len(own) - 1) // 2] if len(own) else 0
-        keep = (df > 0) & ((df <= most) | (df <= 2 * middle[self.item]))
-        self._set(self.keys[keep], self.item[keep], self.place[keep])
-        return self
+
+def most_score(present: np.ndarray, m: Matching) -> int:
+    """No alignment of an item scores more than this, given which of its words the passage holds at all: it covers a run of
+    the item's words, where a held word gives a match at most and any other costs a mismatch or a gap."""
+    total = np.concatenate([[0], np.cumsum(np.where(present, m.match, max(m.mismatch, m.gap)))])
+    return int((total - np.minimum.accumulate(total)).max())
 
 
 def align(a: np.ndarray, b: np.ndarray, m: Matching) -> tuple[int, int, int]:
@@ -122,21 +114,6 @@ def _seed_places(lengths: np.ndarray, words: np.ndarray, block: Block) -> tuple[
     return doc, at - (ends - lengths)[doc], grams[at]
 
 
-def _seed_counts(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        for batch in batches:
-            _, lengths, words = _batch_words(batch)
-            doc, _, seeds = _seed_places(lengths, words, block)
-            order = np.lexsort((doc, seeds))
-            doc, seeds = doc[order], seeds[order]
-            first = np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (doc[1:] != doc[:-1])])[: len(seeds)]
-            kinds, counts = np.unique(seeds[first], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(counts.astype(np.int64))], names=["seed", "n"])
-
-    return run
-
-
 FOUND = "doc_id long, item_id long, score double, first_word long, last_word long, n_seeds long"
 
 
@@ -171,8 +148,13 @@ def _aligned(shared, m: Matching):
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 d, i = int(doc[a]), int(item[a])
                 text, whole = words[begins[d] : begins[d] + lengths[d]], m.match * len(block.words[i])
-                score, first, last = max((s, x + f, x + e) for x, y in passages(place[a:b], offset[a:b], len(block.words[i]), len(text)) for s, f, e in [align(block.words[i], text[x:y], m)])
-                if score >= m.least_score * whole:
+                least, best = m.least_score * whole, None
+                for x, y in passages(place[a:b], offset[a:b], len(block.words[i]), len(text)):
+                    if most_score(np.isin(block.words[i], text[x:y]), m) >= least:
+                        s, f, e = align(block.words[i], text[x:y], m)
+                        best = max(best or (s, x + f, x + e), (s, x + f, x + e))
+                if best and best[0] >= least:
+                    score, first, last = best
                     rows.append((ids[d].as_py(), block.ids[i], score / whole, first, last, int(b - a)))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
@@ -199,22 +181,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, matching: Matching = Mat
     """(doc_id, item_id, score, first_word, last_word, n_seeds): documents that hold a copy, whole or edited, of a test item.
 
     score is the alignment's score over that of a whole copy; the words first_word up to last_word of the document
-    align best. The test items are the query set: they are taken in blocks of bounded size, each against all documents
-    in two passes (how many documents hold each seed; then alignment around rare seeds), without shuffling texts.
+    align best, and the document holds n_seeds seeds of the item. The test items are the query set: they are taken in blocks of
+    bounded size, each against all documents in one pass, without shuffling texts. However many documents hold a seed, each
+    passage around one is aligned, unless the words that it shares with the item can't reach the score.
     Reads doc_id and text of docs, item_id and text of benchmark; other columns are ignored. Null texts hold nothing;
     items with a null id or fewer words than a seed can't be looked for; repeated items and rows are each reported. With
     either table empty there are no rows.
     """
     spark = docs.sparkSession
     small_batches(spark, 1024)
-    texts, found, n_docs = text_bytes(docs), [], None
+    texts, found = text_bytes(docs), []
     for block in _blocks(benchmark, matching):
-        n_docs = docs.count() if n_docs is None else n_docs
         shared = spark.sparkContext.broadcast(block)
-        counts = texts.mapInArrow(_seed_counts(shared), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        frequency = {r.seed & 0xFFFFFFFFFFFFFFFF: r.n for r in counts.collect()}  # at most block_words seeds
-        rare = spark.sparkContext.broadcast(block.rarest(frequency, matching.rare * n_docs))
-        found.append(materialise(texts.mapInArrow(_aligned(rare, matching), FOUND), "contaminated"))
+        found.append(materialise(texts.mapInArrow(_aligned(shared, matching), FOUND), "contaminated"))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FOUND)
 
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from framelake.llm.decontaminate import Matching, align, contaminated, keep_uncontaminated, words_of
+from framelake.llm.decontaminate import Matching, align, contaminated, keep_uncontaminated, most_score, words_of
 from framelake.llm.queries import op2_decontaminate
 from framelake.llm.text import word_hashes
 from tests.conftest import SF
@@ -65,3 +65,20 @@ def test_edited_copies_blocks_and_odd_rows(spark):
     assert sorted(r.doc_id for r in keep_uncontaminated(df, bench).collect()) == [1, 4, 5, 6]
     assert contaminated(df.limit(0), bench).count() == 0
     assert contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_frequent_seeds_of_edited_copies_are_aligned(spark):
+    # As in a large corpus: the item's other seeds occur once (in a whole copy), those of the edited copies far more often.
+    words = [f"w{k}x" for k in range(22)]
+    edited = [f"other{k}" if k in (3, 7, 11, 18) else w for k, w in enumerate(words)]
+    docs = [(0, " ".join(words)), *((k, " ".join(["start", str(k), *edited])) for k in range(1, 61)), *((k, f"text number {k} of nothing") for k in range(61, 200))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert sorted(r.doc_id for r in contaminated(df, bench).collect()) == list(range(61))
+
+
+def test_the_bound_of_the_score_holds():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.randrange(30) for _ in range(rng.randint(1, 25))] for _ in range(2))
+        assert most_score(np.isin(np.array(a), np.array(b)), M) >= plain(a, b)
