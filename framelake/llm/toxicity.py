@@ -4,6 +4,8 @@ sentence is (noisy-or), so sentence scores are trained from document labels alon
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.text import small_batches, text_bytes
+from framelake.sources.scratch import materialise
 
 #: Sentences end at . ! ? or a line's end, also in other scripts.
 SENTENCE = re.compile(r"([.!?…。！？।؟\n]+)")
@@ -23,8 +26,6 @@ TOKEN = re.compile(r"\w+")
 class Training:
     #: Labelled documents that the fit reads at most: those of the smallest hash of their id.
     most_documents: int = 6000
-    #: Words of a training document that count at most, so that the sample's size is bounded.
-    most_words: int = 5000
     #: Training documents that a word must be in to be a feature.
     least_documents: int = 5
     #: Words become features if their presence and the label depend on each other at this log-likelihood ratio: at 20
@@ -80,72 +81,52 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-class Bags:
-    """Labelled documents as arrays: for each sentence the numbers of its distinct words."""
-
-    def __init__(self):
-        self.words: dict[str, int] = {}
-        self.sentences: list[np.ndarray] = []
-        self.bag_of: list[int] = []
-        self.labels: list[int] = []
-
-    def add(self, text: str, label: int, most_words: int) -> None:
-        n = 0
-        for _, words in sentences(text):
-            self.sentences.append(np.array([self.words.setdefault(w, len(self.words)) for w in sorted(words)], np.int32))
-            self.bag_of.append(len(self.labels))
-            n += len(words)
-            if n > most_words:
-                break
-        self.labels.append(label)
-
-
-def evidence(bags: Bags, least_documents: int, least_evidence: float) -> dict[str, list[int]]:
-    """Features whose presence in documents and the label depend on each other -> the words that have them."""
-    number: dict[str, int] = {}
-    of_word = [np.array([number.setdefault(f, len(number)) for f in features(w)], np.int32) for w in bags.words]
-    n, p = np.zeros(len(number)), np.zeros(len(number))
-    cut = np.searchsorted(bags.bag_of, np.arange(len(bags.labels) + 1))
-    for d, y in enumerate(bags.labels):
-        if cut[d + 1] > cut[d]:
-            inside = np.unique(np.concatenate(bags.sentences[cut[d] : cut[d + 1]]))
-            found = np.unique(np.concatenate([of_word[w] for w in inside]))
-            n[found] += 1
-            p[found] += y
-    n_pos, total = max(1.0, float(sum(bags.labels))), max(2.0, float(len(bags.labels)))
-    n_neg = max(1.0, total - n_pos)
-    cells = np.stack([p, n - p, np.maximum(n_pos - p, 0), np.maximum(n_neg - n + p, 0)])
-    expected = np.stack([n * n_pos, n * n_neg, (total - n) * n_pos, (total - n) * n_neg]) / total
-    ratio = 2 * (cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9))).sum(0)
-    good = (n >= least_documents) & (ratio >= least_evidence)
-    out: dict[str, list[int]] = {}
-    for k, w in enumerate(bags.words):
-        if good[of_word[k]].any():
-            for f in features(w):
-                if good[number[f]]:
-                    out.setdefault(f, []).append(k)
-    return out
-
-
-def fit(bags: Bags, setting: Training) -> dict:
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, documents that have it, toxic ones) of each batch of whole texts."""
+    for batch in batches:
+        n, p = Counter(), Counter()
+        for raw, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            found = {f for w in set().union(*(words for _, words in sentences(raw.decode("utf-8", "replace")))) for f in features(w)}
+            n.update(found)
+            if y:
+                p.update(found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([p[f] for f in n], pa.int64())], names=["feature", "n", "p"])
+
+
+def _telling(n_pos: float, total: float, least_evidence: float):
+    """Features whose presence in documents and the label depend on each other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_neg = max(1.0, total - n_pos)
+        for batch in batches:
+            n, p = (np.asarray(batch.column(k), np.float64) for k in ("n", "p"))
+            cells = np.stack([p, n - p, np.maximum(n_pos - p, 0), np.maximum(n_neg - n + p, 0)])
+            expected = np.stack([n * n_pos, n * n_neg, (total - n) * n_pos, (total - n) * n_neg]) / total
+            ratio = 2 * (cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9))).sum(0)
+            yield pa.RecordBatch.from_arrays([batch.column("feature").filter(pa.array(ratio >= least_evidence))], names=["feature"])
+
+    return run
+
+
+def _bags(index: dict[str, int]):
+    """(doc_id, label, for each sentence that has any the numbers of its words' features) of whole texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = []
+            for raw in batch.column("text").to_pylist():
+                found = ([index[f] for w in sorted(words) for f in features(w) if f in index] for _, words in sentences(raw.decode("utf-8", "replace")))
+                bags.append([x for x in found if x])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(bags, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "toxic", "sentences"])
+
+    return run
+
+
+def fit(index: dict[str, int], labels: list[int], bag_of: np.ndarray, row: np.ndarray, col: np.ndarray, setting: Training) -> dict:
     """{leak, bias, weights by feature}. A sentence with features has p = sigmoid(bias + sum of their weights), any
     other 0; a document has P = 1 - (1 - leak) * product of (1 - p). The leak takes up labels that no sentence explains,
-    so that a document's length alone says nothing."""
-    y = np.asarray(bags.labels, np.float64)
+    so that a document's length alone says nothing. index numbers the features, bag_of has each sentence's document, row
+    and col each sentence's features."""
+    y = np.asarray(labels, np.float64)
     n_pos, n_neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-    chosen = evidence(bags, setting.least_documents, setting.least_evidence)
-    index = {f: i for i, f in enumerate(sorted(chosen))}
-    of_word: dict[int, list[int]] = {}
-    for f, i in index.items():
-        for w in chosen[f]:
-            of_word.setdefault(w, []).append(i)
-    row, col, bag_of = [], [], []
-    for d, sentence in zip(bags.bag_of, bags.sentences, strict=True):
-        if known := [i for w in sentence.tolist() if w in of_word for i in of_word[w]]:
-            row += [len(bag_of)] * len(known)
-            col += known
-            bag_of.append(d)
-    row, col, bag_of = (np.asarray(x, np.int64) for x in (row, col, bag_of))
     theta = np.append(np.zeros(len(index)), [-3.0, -3.0])  # weights, bias, logit of the leak
     m, v = np.zeros(len(theta)), np.zeros(len(theta))
     weight = 0.25 / np.where(y == 1, n_pos, n_neg) + 0.5 / max(1, len(y))
@@ -164,19 +145,25 @@ def fit(bags: Bags, setting: Training) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame, setting: Training = Training()) -> dict:
-    """Fit on a bounded sample of labelled rows outside the held-out third: those with the smallest hash of the id."""
+    """Fit on whole texts of a bounded sample of labelled rows outside the held-out third: those with the smallest hash of the
+    id. Texts stay in tasks; the driver gets the features and, by sentence, which of them it has."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(setting.most_documents)
-    rows = (
-        docs.select("doc_id", F.substring("text", 1, 12 * setting.most_words).alias("text"))
-        .join(F.broadcast(sample), "doc_id")  # at most most_documents rows of two numbers
-        .orderBy("doc_id")
-        .toLocalIterator()
-    )
-    bags = Bags()
-    for r in rows:
-        bags.add(r.text or "", int(r.toxic), setting.most_words)
-    return fit(bags, setting)
+    texts = text_bytes(docs).join(F.broadcast(sample), "doc_id")  # at most most_documents rows of two numbers
+    texts = materialise(texts.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "training")
+    total, n_pos = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    counts = texts.mapInArrow(_presence, "feature string, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).filter(F.col("n") >= setting.least_documents)
+    told = counts.mapInArrow(_telling(max(1.0, float(n_pos)), max(2.0, float(total)), setting.least_evidence), "feature string").collect()
+    index = {f: i for i, f in enumerate(sorted(r.feature for r in told))}
+    labels, bag_of, sizes, col = [], array("q"), array("q"), array("q")
+    for r in texts.mapInArrow(_bags(index), "doc_id long, toxic int, sentences array<array<int>>").orderBy("doc_id").toLocalIterator():
+        for x in r.sentences:
+            bag_of.append(len(labels))
+            sizes.append(len(x))
+            col.extend(x)
+        labels.append(int(r.toxic))
+    bag_of, sizes, col = (np.array(x, np.int64) for x in (bag_of, sizes, col))
+    return fit(index, labels, bag_of, np.repeat(np.arange(len(sizes)), sizes), col, setting)
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, offending array<struct<sentence:int,score:double,text:string>>"

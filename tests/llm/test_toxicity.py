@@ -40,3 +40,11 @@ def test_offending_sentences_and_odd_rows(spark):
     assert not [r for r in got if r.doc_id in (1000, 1001, 1002) and r.predicted]
     assert score_toxicity(docs.limit(0), known).count() == 0
     assert len({r.score for r in score_toxicity(docs, known.limit(0), Training()).collect()}) == 1
+
+
+def test_toxic_sentences_late_in_long_texts_are_trained_on(spark):
+    filler = "fine plain words stand here. " * 2500  # over 60,000 characters
+    rows = [(d, filler + ("you blockhead." if d % 3 == 0 else "good day.")) for d in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([(d, int(d % 3 == 0)) for d in range(90)], "doc_id long, toxic int")
+    assert {r.doc_id: r.predicted for r in score_toxicity(docs, known).collect()} == {d: int(d % 3 == 0) for d in range(90)}
