@@ -1,13 +1,15 @@
 """Links inside candidate families.
 
 A family is a connected set of rows that share candidate keys; links can only exist inside one. Small families are
-compared whole, many to a task. A family above the bound is first compared with one pivot, which settles all of its
-rows that the pivot links; what is left is compared in pairs of blocks, so that no task holds the family and rows
-that are already in the pivot's class are never compared with each other.
+compared whole, many to a task. A family with too many rows or too much weight is first compared with one pivot, which
+settles all of its rows that the pivot links. What is left is dealt into blocks by bands of weight, and only blocks of
+the same or of neighbouring bands meet, so that no task holds the family, rows that are far apart in weight are never
+brought together, and rows that are already in the pivot's class are never compared with each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,11 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.sources.scratch import materialise
+from framelake.operators.skew import join_group_value
+from framelake.sources.scratch import drop, materialise
 
 EDGES = "a long, b long"
-#: linker(ids, payloads, open) -> edges: links enough to connect every class among the rows; with `open` given,
-#: pairs of two rows that aren't open are skipped.
+#: Rows of a family that is compared whole, and of a block.
+WHOLE_ROWS, BLOCK_ROWS = 2048, 1024
+#: Pairs of rows that one group of small families holds, about.
+PAIRS = 1 << 22
+#: linker(ids, payloads, sides) -> edges: links enough to connect every class among the rows; with `sides` given, pairs
+#: of the same side are skipped.
 Linker = Callable[[np.ndarray, list[bytes], np.ndarray | None], list[tuple[int, int]]]
 
 
@@ -27,33 +34,37 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([max(p) for p in pairs], pa.int64()), "b": pa.array([min(p) for p in pairs], pa.int64())})
 
 
-def link_families(members: DataFrame, linker: Linker, distance: Callable[[bytes, bytes], tuple[bool, float]], bound: int, slack: float | None = None) -> DataFrame:
+def link_families(members: DataFrame, linker: Linker, distance: Callable[[bytes, bytes], tuple[bool, float]], bound: int, ratio: float, slack: float | None = None) -> DataFrame:
     """members (family, id, payload, weight) -> edges (a, b) with a > b that connect what links.
 
-    bound: weight that a task holds. distance(pivot, row) -> (linked, distance). slack: if distances obey the triangle
-    inequality and links lie within it, rows of the pivot's class too far from all open rows are left out.
+    bound: weight that a task holds. ratio: the smaller of two linked rows has at least this share of the larger one's
+    weight. distance(pivot, row) -> (linked, distance). slack: if distances obey the triangle inequality and links lie
+    within it, rows of the pivot's class too far from all open rows are left out.
     """
     members = materialise(members, "members")
-    stats = materialise(members.groupBy("family").agg(F.sum("weight").alias("w")), "families")
-    total, n_big = stats.agg(F.sum("w"), F.count(F.when(F.col("w") > bound, 1))).first()
-    n_groups = max(8, 2 * int((total or 0) // bound))
+    stats = members.groupBy("family").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.max("weight").alias("top"))
+    stats = materialise(stats.withColumn("big", (F.col("n") > 1) & ((F.col("w") > bound) | (F.col("n") > WHOLE_ROWS))), "families")
+    weight, pairs, n_big = stats.agg(F.sum(F.when(~F.col("big"), F.col("w"))), F.sum(F.when(~F.col("big"), F.col("n") * F.col("n"))), F.count(F.when(F.col("big"), 1))).first()
+    n_groups = max(64, 2 * int((weight or 0) // bound), int((pairs or 0) // PAIRS))
 
     def small(table: pa.Table) -> pa.Table:
         table = table.sort_by([("family", "ascending"), ("id", "ascending")])
-        family, ids, payloads = np.asarray(table.column("family")), np.asarray(table.column("id")), table.column("payload").to_pylist()
+        family, ids, payloads = np.asarray(table.column("family")), np.asarray(table.column("id")), table.column("payload")
         cut = np.append(np.flatnonzero(np.concatenate([[True], family[1:] != family[:-1]])), len(family))
-        return _edges([p for x, y in zip(cut[:-1], cut[1:], strict=True) if y - x > 1 for p in linker(ids[x:y], payloads[x:y], None)])
+        return _edges([p for x, y in zip(cut[:-1], cut[1:], strict=True) if y - x > 1 for p in linker(ids[x:y], payloads.slice(x, y - x).to_pylist(), None)])
 
-    big = stats.filter(F.col("w") > bound)
+    big = stats.filter("big")
     quiet = members.join(big.select("family"), "family", "left_anti") if n_big else members
     edges = quiet.groupBy(F.pmod(F.xxhash64("family"), F.lit(n_groups)).alias("g")).applyInArrow(small, EDGES)
-    return materialise(edges.unionByName(_big_links(members, big, linker, distance, bound, slack)) if n_big else edges, "links")
+    out = materialise(edges.unionByName(_big_links(members, big, linker, distance, bound, ratio, slack)) if n_big else edges, "links")
+    drop(members)
+    return out
 
 
-def _big_links(members: DataFrame, big: DataFrame, linker: Linker, distance, bound: int, slack: float | None) -> DataFrame:
+def _big_links(members: DataFrame, big: DataFrame, linker: Linker, distance, bound: int, ratio: float, slack: float | None) -> DataFrame:
     rows = materialise(members.join(big, "family"), "big")
-    # The pivot's row goes to as many parts of its family as the family's weight asks for.
-    parts = F.ceil(F.col("w") / bound).cast("int")
+    # The pivot's row goes to as many parts of its family as the family's size asks for.
+    parts = F.greatest(F.ceil(F.col("w") / bound), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
     pivots = rows.filter(F.col("id") == F.col("family")).select("family", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("payload").alias("pivot"))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int"))
 
@@ -61,30 +72,31 @@ def _big_links(members: DataFrame, big: DataFrame, linker: Linker, distance, bou
         for batch in batches:
             found = [distance(p, x) for p, x in zip(batch.column("pivot").to_pylist(), batch.column("payload").to_pylist(), strict=True)]
             keep = [batch.column(k) for k in ("family", "id", "payload", "weight")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], names=["family", "id", "payload", "weight", "linked", "distance"])
-
-    held = materialise(dealt.join(pivots, ["family", "part"]).mapInArrow(compare, "family long, id long, payload binary, weight long, linked boolean, distance double"), "pivoted")
-    star = held.filter(F.col("linked") & (F.col("id") != F.col("family"))).select(F.col("id").alias("a"), F.col("family").alias("b"))
-    is_open = ~F.col("linked")
-    left = held.groupBy("family").agg(
-        F.sum(F.when(is_open, F.col("weight"))).alias("open_w"), F.min(F.when(is_open, F.col("distance"))).alias("nearest"), F.max(F.when(is_open, F.col("distance"))).alias("farthest"), F.sum(F.when(~is_open, F.col("weight"))).alias("shut_w")
-    ).filter("open_w is not null")
-    rest = held.join(left, "family")
+            yield pa.RecordBatch.from_arrays([*keep, pa.array([not x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], names=["family", "id", "payload", "weight", "open", "distance"])
+
+    held = materialise(dealt.join(pivots, ["family", "part"]).mapInArrow(compare, "family long, id long, payload binary, weight long, open boolean, distance double"), "pivoted")
+    star = held.filter(~F.col("open") & (F.col("id") != F.col("family"))).select(F.col("id").alias("a"), F.col("family").alias("b"))
+    # Linked weights are one band apart at most (a band is a little wider than the ratio, for rounding).
+    banded = held.withColumn("band", F.floor(F.log(F.greatest(F.col("weight"), F.lit(1))) / (math.log(1 / ratio) * 1.001)).cast("int"))
     if slack is not None:
-        rest = rest.filter(is_open | F.col("distance").between(F.col("nearest") - slack, F.col("farthest") + slack))
-    n_open, n_shut = F.ceil(F.col("open_w") * 2 / bound).cast("int"), F.ceil(F.col("shut_w") * 2 / bound).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(7)), F.when(is_open, n_open).otherwise(n_shut).cast("long")).cast("int")
-    rest = rest.withColumn("mine", mine)
-    # Tiles: each pair of open blocks, and each open block with each block of the pivot's class (marked by -1 - block).
-    every_open = F.sequence(F.lit(0), n_open - 1)
-    tiles = F.when(
-        is_open,
-        F.concat(F.transform(every_open, lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j"))), F.transform(F.sequence(F.lit(0), n_shut - 1), lambda k: F.struct(F.col("mine").alias("i"), (-1 - k).alias("j")))),
-    ).otherwise(F.transform(every_open, lambda k: F.struct(k.alias("i"), (-1 - F.col("mine")).alias("j"))))
-    placed = rest.select("family", "id", "payload", (~F.col("linked")).alias("open"), F.explode(tiles).alias("tile")).select("family", "id", "payload", "open", "tile.i", "tile.j")
+        reach = held.filter("open").groupBy("family").agg(F.min("distance").alias("nearest"), F.max("distance").alias("farthest"), F.count("*").alias("n_open"))
+        banded = join_group_value(banded, reach, ["family"], "n_open").filter(F.col("open") | F.col("distance").between(F.col("nearest") - slack, F.col("farthest") + slack))
+    banded = materialise(banded.select("family", "id", "payload", "weight", "open", "band"), "banded")
+    sizes = banded.groupBy("family", "band", "open").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(2 * F.col("w") / bound)).cast("int")
+    layout = sizes.groupBy("family").agg(F.collect_list(F.struct("band", "open", blocks.alias("n"))).alias("blocks"), F.sum("n").alias("n_rows")).filter(F.exists("blocks", lambda b: b.open))
+    placed = join_group_value(banded, layout, ["family"], "n_rows")
+    mine = F.filter("blocks", lambda b: (b.band == F.col("band")) & (b.open == F.col("open")))[0].n
+    placed = placed.withColumn("me", F.struct("band", "open", F.pmod(F.xxhash64("id", F.lit(7)), mine.cast("long")).cast("int").alias("salt")))
+    near = F.filter("blocks", lambda b: (F.abs(b.band - F.col("band")) <= 1) & (b.open | F.col("open")))
+    partners = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), b.n - 1), lambda k: F.struct(b.band.alias("band"), b.open.alias("open"), k.alias("salt")))))
+    tiles = F.transform(partners, lambda p: F.struct(F.least(p, F.col("me")).alias("i"), F.greatest(p, F.col("me")).alias("j"), (p == F.col("me")).alias("one"), (p < F.col("me")).alias("side")))
+    placed = placed.select("family", "id", "payload", F.explode(tiles).alias("tile"))
+    placed = placed.select("id", "payload", F.concat_ws("/", "family", F.to_json("tile.i"), F.to_json("tile.j")).alias("tile"), F.col("tile.one").alias("one"), F.col("tile.side").cast("int").alias("side"))
 
     def tile(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending")])
-        return _edges(linker(np.asarray(table.column("id")), table.column("payload").to_pylist(), np.asarray(table.column("open"))))
+        sides = None if table.column("one")[0].as_py() else np.asarray(table.column("side"))
+        return _edges(linker(np.asarray(table.column("id")), table.column("payload").to_pylist(), sides))
 
-    return star.unionByName(placed.groupBy("family", "i", "j").applyInArrow(tile, EDGES))
+    return star.unionByName(placed.groupBy("tile").applyInArrow(tile, EDGES))

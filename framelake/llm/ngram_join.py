@@ -1,11 +1,11 @@
-"""Operator 9: n-gram Jaccard join. Size bands, pigeonhole keys over parts of each shingle set, and inside a candidate
-family size-ordered tiles with hashed bitmaps whose bit counts bound the overlap before exact intersection."""
+"""Operator 9: n-gram Jaccard join. Two prefix filters over shingle hashes pick candidates without loss; inside a candidate
+family size-banded tiles with hashed bitmaps bound the overlap by bit counts before exact intersection."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +30,32 @@ class Similarity:
     width: int = 5
     num: int = 4
     den: int = 5
-    #: Each band of set sizes ends at this multiple of its start.
-    band_ratio: float = 1.25
-    #: Sets below this size give their smallest shingles as keys; parts of so small sets would stay empty too often.
-    small: int = 128
-
-    def bands(self, top: int = 1 << 34) -> np.ndarray:
-        limits = [1]
-        while limits[-1] <= top:
-            limits.append(max(limits[-1] + 1, int(limits[-1] * self.band_ratio)))
-        return np.array(limits, np.int64)
+    #: Share of a set by which its first prefix is longer than it must be. The more, the more shingles two documents must
+    #: have in common to become candidates, and the more are exchanged.
+    longer: Fraction = Fraction(1, 5)
 
     def linked(self, inter: int, n_a: int, n_b: int) -> bool:
         return self.den * inter >= self.num * (n_a + n_b - inter)
 
-    def parts(self, low: int, limit: int) -> tuple[int, int]:
-        """(parts, spare) for a band of sets from `low` below `limit`. Linked sets differ in at most (den-num)/(den+num) of
-        their summed sizes, so at least 1 + spare parts are equal. spare is 4 more than twice the parts that stay empty by
-        chance in the band's smallest sets, so that hardly any set has more empty parts."""
-        most, spare = (self.den - self.num) * 2 * (limit - 1) // (self.den + self.num), 4
-        for _ in range(30):
-            n = most + 1 + spare
-            spare = 4 + math.ceil(2 * n * math.exp(-low / n))
-        return most + 1 + spare, spare
+    def head(self, n: int) -> int:
+        """Length of the first prefix of a set of n: what a linked set can't do without, and a share more."""
+        return min(n, n - -(-n * self.num // self.den) + max(1, int(self.longer * n)))
+
+    def both(self, n: int) -> int:
+        """The least number of shingles that the heads of a set of n and of any set linked with it have in common."""
+        return max(1, int(self.longer * n * self.num / self.den))
+
+    def steps(self) -> int:
+        """Classes of SIZE_STEPS that the sizes of linked sets are apart at most, with one for rounding."""
+        return int(np.ceil(SIZE_STEPS * np.log2(self.den / self.num))) + 1
+
+
+#: Classes of sizes in an octave.
+SIZE_STEPS = 256
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(SIZE_STEPS * np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
 def shingles(raw: bytes, width: int) -> np.ndarray:
@@ -64,101 +67,120 @@ def shingles(raw: bytes, width: int) -> np.ndarray:
     return np.unique(mix(rolling(word_hashes(words), n) + np.uint64(n)))
 
 
-def keys(s: np.ndarray, sim: Similarity, limits: np.ndarray, sizes: dict[int, tuple[int, int]], common: np.ndarray = np.empty(0, np.uint64)) -> np.ndarray:
-    """Keys of a set, such that linked sets share one.
-
-    A small set, or one that may link with a small set, gives the first shingles in the order of their hash, with all
-    common ones last: as many as a linked set can't do without, n - ceil(n * num / den) + 1. Any other gives, in its band and in each band that a larger linked set may lie
-    in, one key for each part of the hash range, from the shingles in it. Of the equal parts of linked sets, at least
-    1 + spare, one holds shingles, or else both sets have more than `spare` empty parts, and only then empty parts give
-    keys as well. Parts leave common shingles out, which keeps equal parts equal. Both hold for any set of common
-    shingles, as long as it is the same for all documents."""
-    n, out = len(s), []
-    is_common = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
-    rare = s[~is_common]
-    if n * sim.num < sim.small * sim.den:
-        ordered = np.concatenate([rare, s[is_common]])
-        out.append(mix(ordered[: n + 1 - -(-n * sim.num // sim.den)] + np.uint64(0x632BE59BD9B4E019)))
-    if n < sim.small:
-        return out[0]
-    first = int(np.searchsorted(limits, n, "right")) - 1
-    last = int(np.searchsorted(limits, n * sim.den // sim.num, "right")) - 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(rare ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    high = rare >> np.uint64(32)
-    for band in range(first, last + 1):
-        n_parts, spare = sizes[band] if band in sizes else sizes.setdefault(band, sim.parts(int(limits[band]), int(limits[band + 1])))
-        cut = np.searchsorted((high * np.uint64(n_parts)) >> np.uint64(32), np.arange(n_parts + 1, dtype=np.uint64))
-        key = mix(total[cut[1:]] - total[cut[:-1]] + mix(np.arange(n_parts, dtype=np.uint64) + np.uint64(band << 40)))
-        full = cut[1:] > cut[:-1]
-        out.append(key if n_parts - int(full.sum()) > spare else key[full])
-    return np.concatenate(out)
-
-
-#: Shingles are common if at least one in so many documents holds them. So there are at most COMMON times the mean set's
-#: size of them (5 MB for sets of 600), a bound for their broadcast.
-COMMON = 1000
-#: Documents of one batch that must share a shingle before the batch reports it.
-REPORTED = 4
-
-
-def common_shingles(docs: DataFrame, sim: Similarity) -> np.ndarray:
-    """Sorted hashes of common shingles, counted over all documents; what few documents of a batch share isn't reported."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, n = np.unique(np.concatenate([shingles(x, sim.width) for x in binary_column(batch, "text")] or [np.empty(0, np.uint64)]), return_counts=True)
-            found, n = found[n >= REPORTED], n[n >= REPORTED]
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64())], names=["h", "n", "rows"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([batch.num_rows], pa.int64())], names=["h", "n", "rows"])
+def keys(n: int, shared: np.ndarray, sim: Similarity) -> np.ndarray:
+    """Keys of a set of n shingles, of whose head the hashes `shared` (sorted) occur in other documents.
 
-    counts = materialise(text_bytes(docs).mapInArrow(run, "h long, n long, rows long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")), "common")
-    total = counts.agg(F.sum("rows")).first()[0] or 0
-    rows = counts.filter(F.col("h").isNotNull() & (F.col("n") * COMMON >= total)).select("h").collect()
-    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+    Let a set's head be the first shingles in the order of hashes. The k-th common shingle of two linked sets stands in
+    either before place n - ceil(n * num / den) + k, so their heads have both(n) shingles in common at least, for the
+    smaller of their two k's. Sort each head anew, shingles of one document first: of so many common ones the first stands
+    before place head(n) - both(n) + 1 in either. Shingles of one document can't be the common one, so what is left of
+    these places for shared ones are the keys: none, if a document has enough shingles of its own.
+    """
+    own = sim.head(n) - len(shared)
+    return shared[: max(0, sim.head(n) - sim.both(n) + 1 - own)]
 
 
-SENT = packed.BLOCK_SCHEMA + ", doc_id long, n long, digest binary"
+#: First byte of what comes back: sizes of the sets of a batch (owner 0), or shared hashes of an owner.
+SIZES, SHARED = b"s", b"h"
 
 
-def _sent(sim: Similarity, n_buckets: int, shared=None):
-    def rows(batch: pa.RecordBatch, limits: np.ndarray, parts: dict, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _head_blocks(sim: Similarity, n_buckets: int):
+    """Texts -> blocks of the shingles of heads; what a batch can settle alone: which of them several of its documents
+    have; and sizes and digests of all sets."""
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, bytes]]:
         ids = np.asarray(batch.column("doc_id").to_pylist(), np.int64)
         order = np.argsort(ids, kind="stable")
         texts = binary_column(batch, "text")
         sets = [shingles(texts[i], sim.width) for i in order]
         sizes = np.array([len(s) for s in sets], np.int64)
-        digests = [int(mix(s).sum(dtype=np.uint64)).to_bytes(8, "little") + int(mix(s * np.uint64(3)).sum(dtype=np.uint64)).to_bytes(8, "little") for s in sets]
-        nothing = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.bool_()), pa.nulls(len(ids), pa.binary())
-        names = ["bucket", "settled", "block", "doc_id", "n", "digest"]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array(ids[order]), pa.array(sizes), pa.array(digests, pa.binary())], names=names)
-        own = [keys(s, sim, limits, parts, common) if len(s) else s for s in sets]
-        found = np.concatenate([*own, np.empty(0, np.uint64)])
-        owners = np.repeat(ids[order], [len(k) for k in own])
-        late, least = packed.shared(found, owners)
-        facts = packed.settled_rows(((d, np.unique(p).astype("<i8").tobytes()) for d, p in packed.owner_runs(owners[late], least[late])), n_buckets)
-        for b in packed.record_batches(facts):
-            yield _widened(b, names)
-        keep = ~late
-        for b in packed.record_batches(packed.blocks(found[keep], found[keep] >> np.uint64(24), owners[keep], np.zeros(int(keep.sum()), np.int64), n_buckets)):
-            yield _widened(b, names)
+        digests = np.array([[mix(s).sum(dtype=np.uint64), mix(s * np.uint64(3)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2)
+        yield from packed.settled_rows([(0, SIZES + np.column_stack([ids[order].view(np.uint64), sizes.view(np.uint64), digests]).tobytes())], n_buckets)
+        heads = [s[: sim.head(len(s))] for s in sets]
+        found = np.concatenate([*heads, np.empty(0, np.uint64)])
+        counts = np.array([len(h) for h in heads], np.int64)
+        owners, of_size = np.repeat(ids[order], counts), np.repeat(sizes, counts)
+        several, first = packed.repeated(found, owners)
+        yield from packed.settled_rows(((d, _reply(int(n[0]), h)) for d, h, n in packed.owner_runs(owners[several], found[several], of_size[several])), n_buckets)
+        yield from packed.blocks(found[first], mix(found[first]) >> np.uint64(8), owners[first], of_size[first], n_buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits, parts, common = sim.bands(), {}, shared.value if shared else np.empty(0, np.uint64)
-        for batch in batches:
-            yield from rows(batch, limits, parts, common)
+        return packed.record_batches(row for batch in batches for row in rows(batch))
 
     return run
 
 
-def _widened(b: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
-    n = b.num_rows
-    return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+def _reply(n: int, hashes: np.ndarray) -> bytes:
+    return SHARED + n.to_bytes(8, "little") + (hashes & np.uint64(packed.MASK)).astype("<u8").tobytes()
+
+
+def _shared_in_heads(hashes: np.ndarray, owners: np.ndarray, sizes: np.ndarray) -> list[tuple[int, bytes]]:
+    several, _ = packed.repeated(hashes, owners)
+    hashes, owners, sizes = hashes[several], owners[several], sizes[several]
+    order = np.argsort(owners, kind="stable")
+    return [(d, _reply(int(n[0]), h)) for d, h, n in packed.owner_runs(owners[order], hashes[order], sizes[order])]
+
+
+def _key_blocks(sim: Similarity, n_buckets: int):
+    """Rows (owner, found: all that came back for it) -> blocks of keys. Owners of one key in a batch whose sizes are near,
+    or are connected by such, are linked here, and only the ends of their range of sizes go on."""
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, bytes]]:
+        found, owners, sizes = [], [], []
+        for owner, replies in zip(batch.column("owner").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            by_size: dict[int, list[np.ndarray]] = {}  # several rows of one id are sets of their own
+            for r in replies:
+                by_size.setdefault(int.from_bytes(r[1:9], "little"), []).append(np.frombuffer(r, "<u8", offset=9))
+            for n, parts in by_size.items():
+                k = keys(n, np.unique(np.concatenate(parts)), sim)
+                found.append(k)
+                owners.append(np.full(len(k), owner, np.int64))
+                sizes.append(np.full(len(k), n, np.int64))
+        if not found:
+            return
+        found, owners, sizes = (np.concatenate(x) for x in (found, owners, sizes))
+        size = size_class(sizes)
+        runs, edges = chains(found, owners, size, size, sim.steps())
+        order = np.lexsort((edges[:, 1], edges[:, 0]))
+        yield from packed.settled_rows(((a, np.unique(b).astype("<i8").tobytes()) for a, b in packed.owner_runs(edges[order, 0], edges[order, 1])), n_buckets)
+        order = np.lexsort((runs[0], runs[1]))
+        h, own, low, high = (x[order] for x in runs)
+        yield from packed.blocks(h, mix(h) >> np.uint64(8), own, low << 16 | high, n_buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed.record_batches(row for batch in batches for row in rows(batch))
+
+    return run
+
+
+def chains(hashes: np.ndarray, owners: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Ranges of size classes under each hash that are at most `steps` apart become one. Returns the ranges (hash, smallest
+    owner, low, high) and edges (a, b), a > b, from every owner to the smallest one of its range."""
+    if not len(hashes):
+        return (hashes, owners, low, high), np.empty((0, 2), np.int64)
+    order = np.lexsort((low, hashes))
+    h, o, low, high = hashes[order], owners[order], low[order], high[order]
+    # The highest end so far under the hash: ends of other hashes are lifted out of reach.
+    group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)])) << 20
+    so_far = np.maximum.accumulate(high + group)
+    starts = np.flatnonzero(np.concatenate([[True], (low + group)[1:] > so_far[:-1] + steps]))
+    least = np.minimum.reduceat(o, starts)
+    edges = np.stack([o, np.repeat(least, np.diff(np.append(starts, len(h))))], 1)
+    ends = np.append(starts[1:], len(h)) - 1
+    return (h[starts], least, low[starts], (so_far - group)[ends]), np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
+
+
+def _star(sim: Similarity):
+    def run(hashes: np.ndarray, owners: np.ndarray, sizes: np.ndarray) -> list[tuple[int, bytes]]:
+        _, edges = chains(hashes, owners, sizes >> 16, sizes & 0xFFFF, sim.steps())
+        return [(a, b.astype("<i8").tobytes()) for a, b in packed.owner_runs(edges[:, 0], edges[:, 1])]
+
+    return run
 
 
-def _star(hashes: np.ndarray, owners: np.ndarray, _positions: np.ndarray) -> list[tuple[int, bytes]]:
-    late, least = packed.shared(hashes, owners)
-    owners, least = owners[late], least[late]
-    order = np.lexsort((least, owners))
-    return [(d, np.unique(p).astype("<i8").tobytes()) for d, p in packed.owner_runs(owners[order], least[order])]
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("found").to_pylist():
+            x = np.frombuffer(data, "<u8", offset=1).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].view(np.int64)), pa.array(x[:, 1].view(np.int64)), pa.array([r.tobytes() for r in x[:, 2:]], pa.binary())], names=["doc_id", "n", "digest"])
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -173,20 +195,21 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def tile_linker(sim: Similarity):
     """Compare the sets of one tile in order of size. Bits that only one of two bitmaps has stand for shingles that only
-    one set has, and so bound the overlap from above; pairs within the bound that aren't connected yet are intersected."""
-    def run(ids: np.ndarray, payloads: list[bytes], is_open: np.ndarray | None) -> list[tuple[int, int]]:
+    one set has, and so bound the overlap from above; pairs within the bound that aren't connected yet are
+    intersected."""
+    def run(ids: np.ndarray, payloads: list[bytes], sides: np.ndarray | None) -> list[tuple[int, int]]:
         sets = [np.frombuffer(p, "<u8") for p in payloads]
         sizes = np.array([len(s) for s in sets], np.int64)
         order = np.lexsort((ids, sizes))
         ids, sizes, sets = ids[order], sizes[order], [sets[k] for k in order]
-        is_open = np.ones(len(ids), bool) if is_open is None else is_open[order]
+        sides = np.arange(len(ids)) if sides is None else sides[order]
         maps = bitmaps(sets)
         root = np.arange(len(ids))
         edges = []
         for i in range(len(ids) - 1):
             end = int(np.searchsorted(sizes, sizes[i] * sim.den // sim.num, "right"))
             other = np.arange(i + 1, end)
-            other = other[(root[other] != root[i]) & (is_open[other] | is_open[i])]
+            other = other[(root[other] != root[i]) & (sides[other] != sides[i])]
             if not len(other):
                 continue
             only_i = np.bitwise_count(maps[i] & ~maps[other]).sum(1, dtype=np.int64)
@@ -223,29 +246,35 @@ def ngram_jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), task_shi
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reachable over links.
 
     Reads doc_id and text; other columns are ignored. Rows with a null doc_id are left out; rows of one doc_id are each
-    returned, as one document. A text without words, or null, has an empty set and links with nothing. Documents of equal sets are one class and go on as its smallest doc_id; between classes
-    no link is lost. Ids of shingles are 64-bit hashes. An empty table gives no rows.
+    returned, as one document. A text without words, or null, has an empty set and links with nothing. Documents of equal
+    sets are one class and go on as its smallest doc_id; between classes no link is lost. Ids of shingles are 64-bit
+    hashes. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession, 1024)
+    small_batches(docs.sparkSession)
     docs = docs.filter("doc_id is not null").select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rate = 4 * (sim.den - sim.num) / (sim.den + sim.num)
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, sim))
-    sent = materialise(text_bytes(docs).mapInArrow(_sent(sim, packed.buckets_for(int(size / 6 * rate)), common), SENT), "keys")
-    sizes = materialise(sent.filter("doc_id is not null").select("doc_id", "n", "digest"), "sizes")
-    star = packed.grouped_edges(sent.filter("block is not null").select("bucket", "settled", "block"), _star).distinct()
+    n_buckets = packed.buckets_for(int(size / 6 * sim.head(1 << 20) / (1 << 20)))
+    sent = text_bytes(docs).mapInArrow(_head_blocks(sim, n_buckets), packed.BLOCK_SCHEMA)
+    replies = materialise(packed.grouped(sent, _shared_in_heads), "heads")
+    is_sizes = F.substring("found", 1, 1) == F.lit(SIZES)
+    sizes = materialise(replies.filter(is_sizes).select("found").mapInArrow(_sizes, "doc_id long, n long, digest binary"), "sizes")
     classes = materialise(sizes.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     several = classes.filter("copies > 1")
     copies = materialise(join_group_value(sizes.select("doc_id", "digest", "n"), several, ["digest", "n"], "copies").select("doc_id", "rep"), "copies")
     # A copy's keys are its representative's, so the representative has the same candidates: links go between those.
-    others = copies.filter("doc_id <> rep")
-    candidates = star.join(others.select(F.col("doc_id").alias("a")), "a", "left_anti").join(others.select(F.col("doc_id").alias("b"), "rep"), "b", "left")
-    candidates = materialise(candidates.select("a", F.coalesce("rep", "b").alias("b")).filter("a <> b").distinct(), "candidates")
-    drop(sent)
+    repeated = materialise(sizes.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    others = copies.filter("doc_id <> rep").join(repeated, "doc_id", "left_anti")
+    asked = replies.filter(~is_sizes).join(others.select(F.col("doc_id").alias("owner")), "owner", "left_anti")
+    by_doc = asked.groupBy("owner").agg(F.collect_list("found").alias("found"))
+    star = packed.grouped_edges(by_doc.mapInArrow(_key_blocks(sim, n_buckets), packed.BLOCK_SCHEMA), _star(sim))
+    candidates = materialise(star.distinct(), "candidates")
+    drop(replies)
     families = materialise(connected_components(candidates), "families").toDF("doc_id", "family")
     # Families grow with the documents: a sort-merge join at any size.
     members = text_bytes(docs).join(families.hint("merge"), "doc_id").select("family", "doc_id", "text").mapInArrow(_sets(sim.width), "family long, id long, payload binary, weight long")
-    links = link_families(members, tile_linker(sim), pivot_distance(sim), task_shingles, 1 - sim.num / sim.den + 1e-9)
+    links = link_families(members, tile_linker(sim), pivot_distance(sim), task_shingles, sim.num / sim.den, 1 - sim.num / sim.den + 1e-9)
+    # An id of several rows is one document, and so connects the classes of all its sets.
+    links = links.unionByName(copies.filter("doc_id <> rep").join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     linked = materialise(connected_components(links), "components").toDF("rep", "component")
     labelled = copies.join(linked, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     alone = linked.join(copies.select(F.col("doc_id").alias("rep")), "rep", "left_anti").select(F.col("rep").alias("doc_id"), "component")
@@ -254,6 +283,7 @@ def ngram_jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), task_shi
 
 
 def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their group of linked documents."""
+    """The rows of docs that are the smallest doc_id of their group of linked documents. Rows with a null doc_id can't be
+    told apart or compared, and stay."""
     found = ngram_jaccard_join(docs, sim)
     return docs.join(found.filter("doc_id <> component_id").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)

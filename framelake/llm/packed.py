@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ BLOCK_SCHEMA = "bucket int, settled boolean, block binary"
 FOUND_SCHEMA = "owner long, found binary"
 #: Bytes of a hash that travel; the bucket adds its own independent bits.
 HASH_BYTES = 7
+MASK = (1 << 8 * HASH_BYTES) - 1
 
 
 def buckets_for(facts: int) -> int:
@@ -63,7 +65,7 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.cumsum(step)
     first = np.flatnonzero(new)
     positions = total - np.repeat(total[first] - step[first], np.diff(np.append(first, n)))
-    return wide.view("<u8").reshape(n), owners, positions
+    return wide.view("<u8").reshape(n), owners, positions & 0xFFFFFFFF
 
 
 def shared(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +79,19 @@ def shared(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return least < owners, least
 
 
+def repeated(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every fact: does its hash occur more than once here, and is it the first of them."""
+    order = np.argsort(hashes, kind="stable")
+    h = hashes[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, len(h)))
+    several, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    several[order] = np.repeat(counts > 1, counts)
+    first[order[starts]] = True
+    return several, first
+
+
 def blocks(hashes: np.ndarray, second: np.ndarray, owners: np.ndarray, positions: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bool, bytes]]:
     """(bucket, False, block) of facts in (owner, position) order; `second` is an independent hash that picks the bucket."""
     if not len(hashes):
@@ -101,8 +116,10 @@ def owner_runs(owners: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
 
 
 def settled_rows(found: Iterator[tuple[int, bytes]], n_buckets: int) -> Iterator[tuple[int, bool, bytes]]:
+    """Rows that only pass through, dealt by what they hold: an owner with very many of them has no task of its own."""
     for owner, data in found:
-        yield owner % n_buckets, True, owner.to_bytes(8, "little", signed=True) + data
+        block = owner.to_bytes(8, "little", signed=True) + data
+        yield crc32(block[:64]) % n_buckets, True, block
 
 
 def record_batches(rows: Iterator[tuple[int, bool, bytes]], size: int = 1024) -> Iterator[pa.RecordBatch]:

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 #: Odd multipliers of the rolling hashes (arithmetic is modulo 2**64).
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xD6E8FEB86659FD93
-#: Rows of whole texts in one Arrow batch; bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 512
+#: What one Arrow batch of whole texts holds at most: rows, and bytes (a longer single text is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Send whole texts to Python in batches of few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound a Python worker's memory by rows and bytes of a batch. Plans are lazy and the setting is the session's, so
+    every operator sets the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

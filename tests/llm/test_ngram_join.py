@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from framelake.llm.ngram_join import Similarity, keep_one, keys, ngram_jaccard_join, shingles
+from framelake.llm.ngram_join import Similarity, chains, keep_one, keys, ngram_jaccard_join, shingles
 
 
 def brute(texts, sim):
@@ -56,16 +56,44 @@ def test_equals_brute_force_with_small_and_split_families(spark, sim, bound):
 
 @pytest.mark.parametrize("sim", [Similarity(3, 9, 10), Similarity(5, 4, 5)])
 def test_linked_sets_always_share_a_key(sim):
+    """For any division of hashes into those that other documents hold and those that none does."""
     rng = random.Random(2)
-    limits, parts = sim.bands(), {}
-    for _ in range(400):
+    linked = 0
+    for _ in range(600):
         n = rng.choice([1, 2, 5, 9, 10, 19, 40, 41, 300, 900])
-        pool = np.array([rng.getrandbits(64) for _ in range(2 * n)], np.uint64)
+        pool = np.array([rng.getrandbits(56) for _ in range(2 * n)], np.uint64)
         a = np.unique(pool[:n])
         most = max(0, int(n * (sim.den - sim.num) / sim.num))
         b = np.unique(np.concatenate([a[rng.randint(0, most) :] if rng.random() < 0.5 else a, pool[n : n + rng.randint(0, most)]]))
         if sim.linked(len(np.intersect1d(a, b)), len(a), len(b)):
-            assert set(keys(a, sim, limits, parts).tolist()) & set(keys(b, sim, limits, parts).tolist())
+            linked += 1
+            heads = [s[: sim.head(len(s))] for s in (a, b)]
+            common = np.intersect1d(*heads)
+            assert len(common) >= max(sim.both(len(a)), sim.both(len(b)))
+            others = np.union1d(common, pool[np.array([rng.random() < 0.5 for _ in pool])])
+            found = [keys(len(s), np.intersect1d(h, others), sim) for s, h in zip((a, b), heads, strict=True)]
+            assert set(found[0].tolist()) & set(found[1].tolist())
+    assert linked > 200
+
+
+def test_chains_of_sizes_connect_like_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n, steps = 30, 5
+        h, o, low = rng.integers(0, 4, n).astype(np.uint64), rng.permutation(n), rng.integers(0, 60, n)
+        high = low + rng.integers(0, 4, n)
+        (keys_, least, lo, hi), edges = chains(h, o, low, high, steps)
+        root = np.arange(n)
+        for _ in range(n):
+            for i in range(n):
+                for j in range(n):
+                    if h[i] == h[j] and low[i] <= high[j] + steps and low[j] <= high[i] + steps:
+                        m = min(root[o[i]], root[o[j]])
+                        root[o[i]] = root[o[j]] = m
+        got = np.arange(n)
+        got[edges[:, 0]] = edges[:, 1]
+        assert (got == root).all()
+        assert sorted(zip(keys_.tolist(), least.tolist(), strict=True)) == sorted({(int(h[k]), int(root[o[k]])) for k in range(n)})
 
 
 def test_shingles_of_short_texts():
@@ -77,3 +105,9 @@ def test_keep_one_keeps_columns(spark):
     df = spark.createDataFrame([(2, "a b c d e f", "s"), (1, "A b c d e f", None), (3, None, None)], "doc_id long, text string, source string")
     assert sorted(keep_one(df).collect()) == [(1, "A b c d e f", None), (3, None, None)]
     assert keep_one(df.limit(0)).count() == 0
+
+
+def test_an_id_of_several_rows_is_one_document(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (3, b), (4, b), (4, b)], "doc_id long, text string")
+    assert sorted(ngram_jaccard_join(df, Similarity(3, 9, 10)).collect()) == [(1, 6, 1), (2, 6, 1), (3, 6, 1), (3, 6, 1), (4, 6, 1), (4, 6, 1)]
