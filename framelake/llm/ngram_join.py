@@ -68,25 +68,36 @@ def shingles(raw: bytes, width: int) -> np.ndarray:
 
 
 def keys(n: int, shared: np.ndarray, sim: Similarity) -> np.ndarray:
-    """Keys of a set of n shingles, of whose head the hashes `shared` (sorted) occur in other documents.
+    """Keys of a set of n shingles. shared: hashes of its head that other documents' heads have too, rarest first.
 
     Let a set's head be the first shingles in the order of hashes. The k-th common shingle of two linked sets stands in
     either before place n - ceil(n * num / den) + k, so their heads have both(n) shingles in common at least, for the
-    smaller of their two k's. Sort each head anew, shingles of one document first: of so many common ones the first stands
-    before place head(n) - both(n) + 1 in either. Shingles of one document can't be the common one, so what is left of
-    these places for shared ones are the keys: none, if a document has enough shingles of its own.
+    smaller of their two k's. Sort each head anew, by rarity, shingles of one document first: of so many common ones the
+    first stands before place head(n) - both(n) + 1 in either. Shingles of one document can't be the common one, so what
+    is left of these places for shared ones are the keys: none, if a document has enough shingles of its own. All this
+    holds for any measure of rarity, as long as a shingle's is the same for all documents.
     """
     own = sim.head(n) - len(shared)
     return shared[: max(0, sim.head(n) - sim.both(n) + 1 - own)]
 
 
-#: First byte of what comes back: sizes of the sets of a batch (owner 0), or shared hashes of an owner.
-SIZES, SHARED = b"s", b"h"
+#: First byte of a block: shingles of heads, or shingles that many documents of a batch have, with their number.
+FEW, MANY = b"f", b"m"
+#: First byte of what comes back: sizes of the sets of a batch (owner 0), shared hashes of an owner, or MANY hashes with
+#: their number in all documents (owner 0).
+SIZES, SHARED, COUNTS = b"s", b"h", b"c"
+#: A shingle of more documents of one batch is MANY: each of them then sends nothing for it, the batch one number.
+BATCH_HOLDERS = 8
+#: Of a MANY shingle the rarity is its number of documents if that is one in COMMON at least, and else BATCH_HOLDERS + 1.
+#: So at most COMMON times the mean head's size of them are broadcast.
+COMMON = 1000
+#: Bytes of a shared hash and its rarity (capped; 0 for MANY).
+REPLY = np.dtype([("h", "<u8"), ("n", "<u2")])
 
 
 def _head_blocks(sim: Similarity, n_buckets: int):
-    """Texts -> blocks of the shingles of heads; what a batch can settle alone: which of them several of its documents
-    have; and sizes and digests of all sets."""
+    """Texts -> blocks of the shingles of heads; what a batch can settle alone: which of them are MANY; and sizes and
+    digests of all sets."""
     def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, bytes]]:
         ids = np.asarray(batch.column("doc_id").to_pylist(), np.int64)
         order = np.argsort(ids, kind="stable")
@@ -99,9 +110,13 @@ def _head_blocks(sim: Similarity, n_buckets: int):
         found = np.concatenate([*heads, np.empty(0, np.uint64)])
         counts = np.array([len(h) for h in heads], np.int64)
         owners, of_size = np.repeat(ids[order], counts), np.repeat(sizes, counts)
-        several, first = packed.repeated(found, owners)
-        yield from packed.settled_rows(((d, _reply(int(n[0]), h)) for d, h, n in packed.owner_runs(owners[several], found[several], of_size[several])), n_buckets)
-        yield from packed.blocks(found[first], mix(found[first]) >> np.uint64(8), owners[first], of_size[first], n_buckets)
+        holders, first = packed.holders(found)
+        many = holders > BATCH_HOLDERS
+        yield from packed.settled_rows(((d, _reply(int(n[0]), h, np.zeros(len(h), np.int64))) for d, h, n in packed.owner_runs(owners[many], found[many], of_size[many])), n_buckets)
+        once = many & first
+        for kind, own, of, position in ((FEW, owners, ~many, of_size), (MANY, np.zeros(len(owners), np.int64), once, holders)):
+            for bucket, settled, block in packed.blocks(found[of], mix(found[of]) >> np.uint64(8), own[of], position[of], n_buckets):
+                yield bucket, settled, kind + block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return packed.record_batches(row for batch in batches for row in rows(batch))
@@ -109,28 +124,63 @@ def _head_blocks(sim: Similarity, n_buckets: int):
     return run
 
 
-def _reply(n: int, hashes: np.ndarray) -> bytes:
-    return SHARED + n.to_bytes(8, "little") + (hashes & np.uint64(packed.MASK)).astype("<u8").tobytes()
-
-
-def _shared_in_heads(hashes: np.ndarray, owners: np.ndarray, sizes: np.ndarray) -> list[tuple[int, bytes]]:
-    several, _ = packed.repeated(hashes, owners)
-    hashes, owners, sizes = hashes[several], owners[several], sizes[several]
-    order = np.argsort(owners, kind="stable")
-    return [(d, _reply(int(n[0]), h)) for d, h, n in packed.owner_runs(owners[order], hashes[order], sizes[order])]
-
-
-def _key_blocks(sim: Similarity, n_buckets: int):
+def _reply(n: int, hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    out = np.empty(len(hashes), REPLY)
+    out["h"], out["n"] = hashes & np.uint64(packed.MASK), np.minimum(counts, 65535)
+    return SHARED + n.to_bytes(8, "little") + out.tobytes()
+
+
+def _shared_in_heads(table: pa.Table) -> pa.Table:
+    """Blocks of one bucket -> replies to the documents whose shingles others have, and numbers of MANY shingles."""
+    out, few, many = [], [], []
+    for settled, block in zip(table.column("settled").to_pylist(), table.column("block").to_pylist(), strict=True):
+        if settled:
+            out.append((int.from_bytes(block[:8], "little", signed=True), block[8:]))
+        else:
+            (few if block[:1] == FEW else many).append(packed.unpack(block[1:]))
+    none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    hashes, owners, sizes = (np.concatenate(x) for x in zip(none, *few, strict=True))
+    many_hashes, _, held = (np.concatenate(x) for x in zip(none, *many, strict=True))
+    holders, _ = packed.holders(hashes)
+    common, which = np.unique(many_hashes, return_inverse=True)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        is_many = common[at] == hashes if len(hashes) else np.zeros(0, bool)
+        total = np.bincount(which, held, len(common)) + np.bincount(at[is_many], minlength=len(common))
+        out.append((0, COUNTS + np.column_stack([common, total.astype(np.uint64)]).tobytes()))
+    else:
+        is_many = np.zeros(len(hashes), bool)
+    several = (holders > 1) | is_many
+    order = np.flatnonzero(several)[np.argsort(owners[several], kind="stable")]
+    out += [(d, _reply(int(n[0]), h, c)) for d, h, n, c in packed.owner_runs(owners[order], hashes[order], sizes[order], np.where(is_many, 0, holders)[order])]
+    return pa.table({"owner": pa.array([x[0] for x in out], pa.int64()), "found": pa.array([x[1] for x in out], pa.binary())})
+
+
+def rarest_first(replies: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Distinct hashes of REPLY rows by rarity, then by hash; common (sorted) and counts: the MANY shingles of one in COMMON
+    documents or more."""
+    h, first = np.unique(replies["h"], return_index=True)
+    rarity = replies["n"][first].astype(np.int64)
+    rarity[rarity == 0] = BATCH_HOLDERS + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        found = (common[at] == h) & (replies["n"][first] == 0)
+        rarity[found] = 65536 + counts[at[found]]
+    return h[np.lexsort((h, rarity))]
+
+
+def _key_blocks(sim: Similarity, n_buckets: int, shared):
     """Rows (owner, found: all that came back for it) -> blocks of keys. Owners of one key in a batch whose sizes are near,
     or are connected by such, are linked here, and only the ends of their range of sizes go on."""
     def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, bytes]]:
+        common, counts = shared.value
         found, owners, sizes = [], [], []
         for owner, replies in zip(batch.column("owner").to_pylist(), batch.column("found").to_pylist(), strict=True):
             by_size: dict[int, list[np.ndarray]] = {}  # several rows of one id are sets of their own
             for r in replies:
-                by_size.setdefault(int.from_bytes(r[1:9], "little"), []).append(np.frombuffer(r, "<u8", offset=9))
+                by_size.setdefault(int.from_bytes(r[1:9], "little"), []).append(np.frombuffer(r, REPLY, offset=9))
             for n, parts in by_size.items():
-                k = keys(n, np.unique(np.concatenate(parts)), sim)
+                k = keys(n, rarest_first(np.concatenate(parts), common, counts), sim)
                 found.append(k)
                 owners.append(np.full(len(k), owner, np.int64))
                 sizes.append(np.full(len(k), n, np.int64))
@@ -183,6 +233,21 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].view(np.int64)), pa.array(x[:, 1].view(np.int64)), pa.array([r.tobytes() for r in x[:, 2:]], pa.binary())], names=["doc_id", "n", "digest"])
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("found").to_pylist():
+            x = np.frombuffer(data, "<u8", offset=1).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].view(np.int64)), pa.array(x[:, 1].view(np.int64))], names=["h", "n"])
+
+
+def common_shingles(replies: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the MANY shingles that one in COMMON documents has, and their numbers."""
+    rows = replies.filter(F.substring("found", 1, 1) == F.lit(COUNTS)).select("found").mapInArrow(_counts, "h long, n long").filter(F.col("n") * COMMON >= n_docs).collect()
+    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """One row of bits a set: bit (hash mod size) for each shingle; twice as many bits as the largest set has."""
     bits = 1 << max(9, int(2 * max(map(len, sets)) - 1).bit_length())
@@ -255,18 +320,19 @@ def ngram_jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), task_shi
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = packed.buckets_for(int(size / 6 * sim.head(1 << 20) / (1 << 20)))
     sent = text_bytes(docs).mapInArrow(_head_blocks(sim, n_buckets), packed.BLOCK_SCHEMA)
-    replies = materialise(packed.grouped(sent, _shared_in_heads), "heads")
-    is_sizes = F.substring("found", 1, 1) == F.lit(SIZES)
-    sizes = materialise(replies.filter(is_sizes).select("found").mapInArrow(_sizes, "doc_id long, n long, digest binary"), "sizes")
+    replies = materialise(sent.groupBy("bucket").applyInArrow(_shared_in_heads, packed.FOUND_SCHEMA), "heads")
+    of_kind = lambda k: replies.filter(F.substring("found", 1, 1) == F.lit(k))
+    sizes = materialise(of_kind(SIZES).select("found").mapInArrow(_sizes, "doc_id long, n long, digest binary"), "sizes")
     classes = materialise(sizes.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     several = classes.filter("copies > 1")
     copies = materialise(join_group_value(sizes.select("doc_id", "digest", "n"), several, ["digest", "n"], "copies").select("doc_id", "rep"), "copies")
     # A copy's keys are its representative's, so the representative has the same candidates: links go between those.
     repeated = materialise(sizes.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     others = copies.filter("doc_id <> rep").join(repeated, "doc_id", "left_anti")
-    asked = replies.filter(~is_sizes).join(others.select(F.col("doc_id").alias("owner")), "owner", "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(replies, sizes.count()))
+    asked = of_kind(SHARED).join(others.select(F.col("doc_id").alias("owner")), "owner", "left_anti")
     by_doc = asked.groupBy("owner").agg(F.collect_list("found").alias("found"))
-    star = packed.grouped_edges(by_doc.mapInArrow(_key_blocks(sim, n_buckets), packed.BLOCK_SCHEMA), _star(sim))
+    star = packed.grouped_edges(by_doc.mapInArrow(_key_blocks(sim, n_buckets, shared), packed.BLOCK_SCHEMA), _star(sim))
     candidates = materialise(star.distinct(), "candidates")
     drop(replies)
     families = materialise(connected_components(candidates), "families").toDF("doc_id", "family")

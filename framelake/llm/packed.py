@@ -79,17 +79,16 @@ def shared(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return least < owners, least
 
 
-def repeated(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every fact: does its hash occur more than once here, and is it the first of them."""
+def holders(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every fact: how many facts here have its hash, and is it the first of them."""
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
     counts = np.diff(np.append(starts, len(h)))
-    several, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    several[order] = np.repeat(counts > 1, counts)
+    number, first = np.empty(len(h), np.int64), np.zeros(len(h), bool)
+    number[order] = np.repeat(counts, counts)
     first[order[starts]] = True
-    return several, first
+    return number, first
 
 
 def blocks(hashes: np.ndarray, second: np.ndarray, owners: np.ndarray, positions: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bool, bytes]]:

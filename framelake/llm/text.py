@@ -55,3 +55,17 @@ def rolling(hashes: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
 
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).to_pylist()]
+
+
+def ramp(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. count-1 for every count."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
