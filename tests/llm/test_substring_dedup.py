@@ -49,6 +49,14 @@ def test_overlaps_within_and_between_documents_and_odd_rows(spark):
     assert substring_dedup(df).filter(F.col("doc_id").isNull()).first().n_removed == 0
 
 
+def test_rows_of_one_id_are_judged_each_by_their_own_windows(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (2, b), (3, c + " " + b), (None, c), (2**62, c), (-(2**62), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df).collect())
+    assert got == sorted([(1, 20, 0, a), (2, 20, 0, b), (2, 20, 20, ""), (2, 20, 0, b), (3, 40, 20, c), (0, 20, 0, c), (2**62, 20, 20, ""), (-(2**62), 1, 0, "x")])
+
+
 def test_packed_blocks_round_trip():
     rng = np.random.default_rng(1)
     owners = np.sort(rng.integers(-(2**62), 2**62, 50)).repeat(rng.integers(1, 90, 50))
