@@ -170,7 +170,7 @@ def write_monolithic(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE
 INDEX = "archive string, place long, page_id long, record_type string, refers_to long, at long, size long"
 
 
-def normalise(plan: DataFrame, folder: str) -> DataFrame:
+def normalise(plan: DataFrame, folder: str, tasks: int) -> DataFrame:
     """plan (archive, place, refers_to: null for a response) -> INDEX of the rewritten archives.
 
     Each archive is inflated once, front to back; every record becomes a gzip member of its own, a duplicate becomes a
@@ -206,11 +206,11 @@ def normalise(plan: DataFrame, folder: str) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table([pa.array([new] * len(entries)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in INDEX.split(", ")])
 
-    return plan.select("archive", "place", "refers_to").groupBy("archive").applyInArrow(run, INDEX)
+    return plan.select("archive", "place", "refers_to").repartition(tasks, "archive").groupBy("archive").applyInArrow(run, INDEX)
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Read every record of the index alone, by offset: page_id, record_type, refers_to, payload_bytes, payload_digest,
+def read_records(index: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """Read every record of the index alone, by `tasks` tasks, by offset: page_id, record_type, refers_to, payload_bytes, payload_digest,
     url, payload (null for revisits). A response's length and digest are computed from its payload and must match its
     header; a revisit's come from its header."""
     schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("url", pa.string()), ("payload", pa.binary())])
@@ -240,7 +240,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if opened:
             opened.close()
 
-    ordered = index.repartition("archive").sortWithinPartitions("archive", "at")
+    ordered = index.repartition(tasks, "archive").sortWithinPartitions("archive", "at")
     return ordered.select("archive", "at", "size").mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary")
 
 
@@ -249,7 +249,7 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 0, folder: str | None =
 
     Reads page_id, url and html; other columns are ignored. The payload is html in UTF-8, a null is empty. Of records
     with equal payloads of at least least_bytes bytes, that with the largest page_id is the response (of equal largest
-    ids, or of null ids alone, the first written) and the others revisit it; a null page_id counts as smaller than any
+    ids, or of null ids alone, one that a hash of its place picks) and the others revisit it; a null page_id counts as smaller than any
     other and revisits refer to the response's page_id (-1 if that is null). An empty table gives no archives and no rows.
     """
     spark = pages.sparkSession
@@ -261,6 +261,8 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 0, folder: str | None =
     groups = materialise(groups.select("payload_digest", "payload_bytes", F.col("top.page_id").alias("to"), F.col("top.archive").alias("to_archive"), F.col("top.place").alias("to_place"), "copies"), "payloads")
     same = join_group_value(written, groups, ["payload_digest", "payload_bytes"], "copies").filter((F.col("archive") != F.col("to_archive")) | (F.col("place") != F.col("to_place")))
     plan = written.join(same.select("archive", "place", F.coalesce("to", F.lit(-1)).alias("refers_to")), ["archive", "place"], "left")
-    index = materialise(normalise(plan, folder), "index")
-    return read_records(index, folder)
+    # Rows of the index are few bytes for much work: so many tasks as archives ask for, which AQE leaves alone.
+    tasks = 2 * max(1, written.select("archive").distinct().count())
+    index = materialise(normalise(plan, folder, tasks), "index")
+    return read_records(index, folder, tasks)
 
