@@ -77,7 +77,7 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     split = found.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("label="))).alias("items"), F.get(of_label, F.lit(0)).alias("mark"), "freq", F.size(of_label).alias("marks"))
     split = split.filter(F.size("items").between(1, mining.tokens))
     whole = split.filter("marks = 0").select("items", F.col("freq").alias("of"))
-    rules = split.filter("marks = 1").join(whole, "items").select("items", F.substring("mark", 7, 1000).alias("label"), F.col("freq").alias("n"), (F.col("freq") / F.col("of")).alias("confidence"))
+    rules = split.filter("marks = 1").join(whole, "items").select("items", F.expr("substring(mark, 7)").alias("label"), F.col("freq").alias("n"), (F.col("freq") / F.col("of")).alias("confidence"))
     rules = materialise(rules.filter(F.col("confidence") >= mining.confidence), "rules")
     # Shorter rules for the same label, looked up by their exact items (up to 3 items: one less, or one alone).
     subsets = rules.filter(F.size("items") > 1).select("items", "label", F.explode(_proper_subsets()).alias("part"))
