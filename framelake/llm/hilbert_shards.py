@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.operators.rank import global_rank
+from framelake.operators.rank import global_rank, rows_before
+from framelake.operators.skew import join_group_value
+from framelake.sources.scratch import materialise
 
 SHARDS = 16
 #: Bits of each dimension on the curve.
 BITS = 5
-#: Values that the quantile sketch of a dimension keeps; its cells are within 1/ACCURACY of equal depth.
-ACCURACY = 10_000
 
 
 def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
@@ -44,25 +44,28 @@ def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def _number(name: str, kind: T.DataType) -> Column:
-    """An order-keeping number for a dimension: a string counts by its first 7 bytes; nulls come first."""
+def _key(name: str, kind: T.DataType) -> Column:
+    """An order-keeping value without nulls for a dimension: nulls come first."""
     if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.coalesce(F.col(name), F.lit("")).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
+        return F.concat(F.when(F.col(name).isNull(), "0").otherwise("1"), F.coalesce(F.col(name), F.lit("")))
     return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
 
 
 def hilbert_keys(docs: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
-    """docs with `curve`, the Hilbert index of its cell. Each dimension is cut at approximate quantiles over all rows."""
-    numbered = docs.withColumns({f"_d{k}": _number(c, docs.schema[c].dataType) for k, c in enumerate(dimensions)})
-    marks = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = numbered.agg(*[F.percentile_approx(f"_d{k}", marks, ACCURACY).alias(f"_c{k}") for k in range(len(dimensions))]).first()
-    sets = [sorted(set(c)) if c is not None else [] for c in cuts]
+    """docs with `curve`, the Hilbert index of its cell. Each dimension is cut at exact quantiles: a value's cell is the
+    share of all rows with smaller values. Values are counted, sorted by range and joined back; frequent ones by broadcast."""
+    keyed = materialise(docs.withColumns({f"_d{k}": _key(c, docs.schema[c].dataType) for k, c in enumerate(dimensions)}), "dimensions")
+    for k in range(len(dimensions)):
+        values, total = rows_before(keyed.groupBy(f"_d{k}").agg(F.count("*").alias("_n")), f"_d{k}", "_n", "_before")
+        cells = values.select(f"_d{k}", "_n", F.expr(f"cast(_before * {1 << bits}L div {max(total, 1)}L as int)").alias(f"_c{k}"))
+        keyed = join_group_value(keyed, cells, [f"_d{k}"], "_n", total).drop(f"_d{k}", "_n")
 
     @F.pandas_udf("long")
-    def curve(*values: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index([np.searchsorted(np.array(s), v.to_numpy(float), "right") for s, v in zip(sets, values, strict=True)], bits))
+    def curve(*cells: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_index([c.to_numpy(np.int64) for c in cells], bits))
 
-    return numbered.withColumn("curve", curve(*[F.col(f"_d{k}") for k in range(len(dimensions))])).drop(*[f"_d{k}" for k in range(len(dimensions))])
+    cells = [f"_c{k}" for k in range(len(dimensions))]
+    return materialise(keyed.withColumn("curve", curve(*cells) if cells else F.lit(0)).drop(*cells), "curve")
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = ("lang", "source", "n_bytes"), bits: int = BITS) -> DataFrame:

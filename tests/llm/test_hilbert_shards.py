@@ -42,3 +42,27 @@ def test_nulls_repeats_clashing_names_and_few_rows(spark):
     assert sorted(r["size"] for r in got) == [1, 1, 1, 2, 180001]
     assert hilbert_shards(df.limit(0)).count() == 0
     assert hilbert_shards(df.limit(1)).first().slot == 0
+
+
+def test_cells_order_and_pruning_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    long = "https://a-name-longer-than-any-prefix.example/"
+    rows = [(int(d), "x" * int(n), str(lang) if lang else None, f"{long}{s}") for d, n, lang, s in zip(rng.permutation(900), rng.integers(0, 400, 900), rng.choice(["", "de", "en", "fr"], 900), rng.zipf(1.6, 900).clip(1, 30), strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+    got = hilbert_shards(df, 16).toPandas()
+
+    def cell(values):
+        order = sorted(values, key=lambda v: (v is not None, v))
+        return [order.index(v) * 32 // len(values) for v in values]
+
+    cells = [cell([r[2] for r in rows]), cell([r[3] for r in rows]), cell([len(r[1]) for r in rows])]
+    curve = hilbert_index([np.array(c) for c in cells], 5)
+    want = sorted((int(c), r[0]) for c, r in zip(curve, rows, strict=True))
+    assert [tuple(x) for x in got.sort_values(["shard", "slot"])[["curve", "doc_id"]].to_numpy().tolist()] == want
+    # Pruning: a reader of one source and a range of sizes opens few of the shards that hold all of them in doc_id order.
+    meta = {r[0]: (r[3], len(r[1]) // 100) for r in rows}
+    groups = {}
+    for d, s in zip(got.doc_id, got.shard, strict=True):
+        groups.setdefault(meta[d], []).append((s, d * 16 // 900))
+    by_curve, by_id = (sum(len({x[k] for x in g}) for g in groups.values()) for k in (0, 1))
+    assert by_curve < 0.6 * by_id
