@@ -62,8 +62,9 @@ def resample_kernel(kernel: list[float], rate: float, to_rate: float) -> list[fl
     first, last = -math.floor(peak / step), math.floor((len(kernel) - 1 - peak) / step)
     for k in range(first, last + 1):
         at = peak + k * step
-        i = min(int(at), len(kernel) - 2)
-        out.append(kernel[i] + (kernel[i + 1] - kernel[i]) * (at - i))
+        i = min(int(at), len(kernel) - 1)
+        after = kernel[min(i + 1, len(kernel) - 1)]
+        out.append(kernel[i] + (after - kernel[i]) * (at - i))
     return out
 
 

@@ -40,11 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def v_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.events_as_frames(table(spark, sf_dir, "events"), DAY, 30, WIDTH)
+    return src.events_as_frames(table(spark, sf_dir, "events"), DAY, WIDTH)
 
 
 def v_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.events_as_frames(table(spark, sf_dir, "events"), HOUR, 720, WIDTH)
+    return src.events_as_frames(table(spark, sf_dir, "events"), HOUR, WIDTH)
 
 
 def v_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def emb_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
-    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
+    day = F.unix_date(F.col("ts").cast("date")).cast("long")
     return joins.as_masks(e.select(F.lit(0).cast("long").alias("video_id"), F.col("user_id").alias("mask_id"), day.alias("p")))
 
 
@@ -68,13 +68,13 @@ def grouped_pixels(frames: DataFrame) -> DataFrame:
     return frames.select(F.lit(0).alias("video_id"), (F.col("pix") % 10).alias("mask_id"), F.col("pix").alias("p")).distinct()
 
 
-def binned(seconds: int, n: int) -> str:
+def binned(seconds: int) -> str:
     return f"""vid AS (SELECT u.pix, u.pix // 15 AS x, u.pix % 15 AS y, d.t, round(coalesce(s.v, 0), 6) AS v
-        FROM (SELECT DISTINCT user_id AS pix FROM events) u CROSS JOIN (SELECT unnest(range({n})) AS t) d
-        LEFT JOIN (SELECT user_id AS pix, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / {seconds}) AS BIGINT) AS t, sum(value) AS v FROM events GROUP BY ALL) s ON s.pix = u.pix AND s.t = d.t)"""
+        FROM (SELECT DISTINCT user_id AS pix FROM events) u CROSS JOIN (SELECT unnest(range((date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1) * {DAY // seconds})) AS t FROM events) d
+        LEFT JOIN (SELECT user_id AS pix, CAST(floor((epoch(ts) - (SELECT epoch(min(ts)::DATE::TIMESTAMP) FROM events)) / {seconds}) AS BIGINT) AS t, sum(value) AS v FROM events GROUP BY ALL) s ON s.pix = u.pix AND s.t = d.t)"""
 
 
-VD, VH = binned(DAY, 30), binned(HOUR, 720)
+VD, VH = binned(DAY), binned(HOUR)
 EMB = """emb AS (SELECT label::BIGINT AS video_id, t::BIGINT AS t, (i // 8)::BIGINT AS x, (i % 8)::BIGINT AS y, i::BIGINT AS p, v FROM
         (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings))"""
 FIR = "fir AS (SELECT * FROM (SELECT pix, x, y, t, v * 0.5 + lead(v, 1) OVER w * 0.3 + lead(v, 2) OVER w * 0.2 AS v, lead(t, 2) OVER w AS last FROM vid WINDOW w AS (PARTITION BY pix ORDER BY t)) WHERE last IS NOT NULL)"
@@ -93,7 +93,7 @@ REG = f"""{EMB}, act AS (SELECT video_id, t, x, y, p FROM emb WHERE v > 0.15),
     seg AS (SELECT video_id, t, p, min(q) AS seg FROM reach GROUP BY ALL),
     reg AS (SELECT video_id, t, seg, p, p // 8 AS x, p % 8 AS y FROM seg),
     stat AS (SELECT video_id, t, seg, count(*) AS area, avg(x) AS cx, avg(y) AS cy, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM reg GROUP BY ALL)"""
-MU = "mu AS (SELECT DISTINCT user_id AS id, date_diff('day', DATE '2024-01-01', ts::DATE)::BIGINT AS p FROM events WHERE event_type = 'error'), sz AS (SELECT id, count(*) AS n FROM mu GROUP BY id), pr AS (SELECT a.id AS a, b.id AS b, count(*) AS inter FROM mu a JOIN mu b ON a.p = b.p AND a.id <> b.id GROUP BY ALL), pn AS (SELECT pr.*, x.n AS na, y.n AS nb FROM pr JOIN sz x ON x.id = a JOIN sz y ON y.id = b)"
+MU = "mu AS (SELECT DISTINCT user_id AS id, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS p FROM events WHERE event_type = 'error'), sz AS (SELECT id, count(*) AS n FROM mu GROUP BY id), pr AS (SELECT a.id AS a, b.id AS b, count(*) AS inter FROM mu a JOIN mu b ON a.p = b.p AND a.id <> b.id GROUP BY ALL), pn AS (SELECT pr.*, x.n AS na, y.n AS nb FROM pr JOIN sz x ON x.id = a JOIN sz y ON y.id = b)"
 
 
 def r6(name: str):
@@ -497,11 +497,11 @@ def masked_frames(spark, sf_dir):
     return scalar.masked(v, mask).select("x", "y", "t", r6("v"))
 
 
-HOURS = "CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS BIGINT)"
+HOURS = "CAST(floor(epoch(ts) / 3600) AS BIGINT)"
 
 
 def by_hour(events: DataFrame, kind: str, name: str) -> DataFrame:
-    hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / HOUR)
+    hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / HOUR)
     return events.filter(F.col("event_type") == kind).select(F.lit(0).cast("long").alias("video_id"), F.col("user_id").alias("mask_id"), hour.cast("long").alias(name)).distinct()
 
 

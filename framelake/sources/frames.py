@@ -23,12 +23,16 @@ def clipped(frames: DataFrame) -> DataFrame:
     return frames.withColumn("v", F.greatest("v", F.lit(0.0)))
 
 
-def events_as_frames(events: DataFrame, seconds: int, n_frames: int, width: int = 15, start: str = "2024-01-01") -> DataFrame:
-    """Bin an event stream into a dense video: a user is a pixel, a frame is `seconds` long, v sums the values (0 if none)."""
+def events_as_frames(events: DataFrame, seconds: int, width: int = 15) -> DataFrame:
+    """Bin an event stream into a dense video: a user is a pixel, a frame is `seconds` long, v sums the values (0 if none).
+    Frames run from the start of the first event's day to the end of the last event's day."""
+    day = F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp")))
+    low, high = events.agg(F.min(day), F.max(day)).first()
+    n_frames = (high - low + 86400) // seconds if low is not None else 0
     at = F.col("ts").cast("timestamp")
-    t = F.floor((F.unix_timestamp(at) - F.unix_timestamp(F.lit(start).cast("timestamp"))) / seconds)
+    t = F.floor((F.unix_timestamp(at) - F.lit(low or 0)) / seconds)
     binned = events.select(F.col("user_id").alias("pix"), t.alias("t"), "value").groupBy("pix", "t").agg(F.sum("value").alias("v"))
-    grid = events.select(F.col("user_id").alias("pix")).distinct().select("pix", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1)).cast("array<long>")).alias("t"))
+    grid = events.select(F.col("user_id").alias("pix")).distinct().select("pix", F.explode(F.sequence(F.lit(0), F.lit(max(n_frames, 1) - 1)).cast("array<long>")).alias("t"))
     dense = grid.join(binned, ["pix", "t"], "left")
     return dense.select(F.lit(0).alias("video_id"), "t", F.expr(f"pix div {width}").alias("x"), F.expr(f"pix % {width}").alias("y"), F.round(F.coalesce("v", F.lit(0.0)), 6).alias("v"), "pix")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session. Only a session without the setting (tests) gets a local one."""
+    """The shared folder of this session. Only a local session without the setting (tests) gets one of its own: executors
+    on other machines couldn't see it."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured is None:
-        configured = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="framelake-")
+        configured = sc.getCheckpointDir()
+    if configured is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="framelake-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured

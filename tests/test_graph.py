@@ -40,3 +40,13 @@ def test_group_values_reach_hot_and_cold_keys(spark):
     stats = rows.groupBy("k").count()
     got = join_group_value(rows, stats, ["k"], "count")
     assert got.count() == 900 and got.filter("k = 99 and count = 300").count() == 300
+
+
+def test_components_in_several_parts_and_of_struct_ids(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001 + k) for k in range(200)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.id: r.component for r in connected_components(df, task_edges=50).collect()} == brute(edges)
+    named = df.selectExpr("struct('v' as v, a as id) as a", "struct('v' as v, b as id) as b").limit(60)
+    few = [(r.a.id, r.b.id) for r in named.collect()]
+    assert {r.id.id: r.component.id for r in connected_components(spark.createDataFrame([((("v", a)), ("v", b)) for a, b in few], "a struct<v:string,id:long>, b struct<v:string,id:long>")).collect()} == brute(few)

@@ -44,7 +44,7 @@ def test_package_stands_without_llm(tmp_path):
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name == 'corpus_pipeline' or name.startswith('framelake.llm'):\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert 'confirmed_users' in e.queries() and not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']\n"
