@@ -76,7 +76,11 @@ def scaled(params: DataFrame, mag: str = "mag") -> DataFrame:
 
 def augmented(frames: DataFrame, lx: int, ly: int, seed: int = 0) -> DataFrame:
     """Each frame flipped and, if square, turned, as a hash of (video, frame, seed) says; coordinates only."""
-    coin = lambda k: F.pmod(F.xxhash64("video_id", "t", F.lit(seed), F.lit(k)), F.lit(2)) == 1
-    x, y = F.when(coin(0), lx - 1 - F.col("x")).otherwise(F.col("x")), F.when(coin(1), ly - 1 - F.col("y")).otherwise(F.col("y"))
+    return moved(frames, lx, ly, [F.pmod(F.xxhash64("video_id", "t", F.lit(seed), F.lit(k)), F.lit(2)) == 1 for k in range(3)])
+
+
+def moved(frames: DataFrame, lx: int, ly: int, coins: list[Column]) -> DataFrame:
+    """P15 with coins (flip rows, flip columns, turn) that don't depend on x and y."""
+    x, y = F.when(coins[0], lx - 1 - F.col("x")).otherwise(F.col("x")), F.when(coins[1], ly - 1 - F.col("y")).otherwise(F.col("y"))
     out = frames.withColumns({"x": x, "y": y})
-    return out.withColumns({"x": F.when(coin(2), ly - 1 - F.col("y")).otherwise(F.col("x")), "y": F.when(coin(2), F.col("x")).otherwise(F.col("y"))}) if lx == ly else out
+    return out.withColumns({"x": F.when(coins[2], ly - 1 - F.col("y")).otherwise(F.col("x")), "y": F.when(coins[2], F.col("x")).otherwise(F.col("y"))}) if lx == ly else out

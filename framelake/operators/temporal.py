@@ -61,25 +61,28 @@ def lagged_level(frames: DataFrame, first: int, size: int) -> DataFrame:
 
 
 def spikes(traces: DataFrame, key: list[str], low: float, high: float, before: int, after: int) -> DataFrame:
-    """Islands of low < snr < high that stand at least before + after frames from other islands, with no sample above
-    `high` in between, and hold exactly one strict interior peak: (key, t, peak)."""
-    w = Window.partitionBy(*key).orderBy("t")
-    f = traces.withColumn("in", (F.col("snr") > low) & (F.col("snr") < high))
+    """Islands of low < snr < high that stand at least before + after frames from other islands and from both ends of
+    the trace, with no sample above `high` in between, and hold exactly one strict peak: (key, t, peak). With a column
+    `quiet`, all frames of an island must be quiet."""
+    w, whole = Window.partitionBy(*key).orderBy("t"), Window.partitionBy(*key)
+    f = traces.withColumns({"in": (F.col("snr") > low) & (F.col("snr") < high), "from": F.min("t").over(whole), "to": F.max("t").over(whole)})
     f = f.withColumns({"first": F.col("in") & ~F.coalesce(F.lag("in").over(w), F.lit(False)), "over": F.col("snr") > high})
     f = f.withColumns({"island": F.sum(F.col("first").cast("int")).over(w), "top": F.col("in") & (F.col("snr") > F.lag("snr").over(w)) & (F.col("snr") > F.lead("snr").over(w))})
-    spans = f.groupBy(*key, "island").agg(F.min(F.when(F.col("in"), F.col("t"))).alias("a"), F.max(F.when(F.col("in"), F.col("t"))).alias("b"), F.max((F.col("over") & ~F.col("in")).cast("int")).alias("over_after"), F.sum(F.col("top").cast("int")).alias("tops"), F.max(F.when(F.col("top"), F.struct("snr", "t"))).alias("top"))
+    quiet = F.min(F.when(F.col("in"), F.col("quiet").cast("int"))) if "quiet" in traces.columns else F.lit(1)
+    inside = lambda c: F.when(F.col("in"), F.col(c))
+    spans = f.groupBy(*key, "island", "from", "to").agg(F.min(inside("t")).alias("a"), F.max(inside("t")).alias("b"), F.max(F.col("over").cast("int")).alias("over_after"), F.sum(F.col("top").cast("int")).alias("tops"), F.max(F.when(F.col("top"), F.struct("snr", "t"))).alias("top"), quiet.alias("quiet"))
     v = Window.partitionBy(*key).orderBy("island")
-    spans = spans.withColumns({"gap_before": F.col("a") - F.lag("b").over(v), "gap_after": F.lead("a").over(v) - F.col("b"), "over_before": F.lag("over_after").over(v)})
+    spans = spans.withColumns({"gap_before": F.col("a") - F.coalesce(F.lag("b").over(v), F.col("from")), "gap_after": F.coalesce(F.lead("a").over(v), F.col("to")) - F.col("b"), "over_before": F.lag("over_after").over(v)})
     far = before + after
-    alone = (F.coalesce("gap_before", F.lit(far)) >= far) & (F.coalesce("gap_after", F.lit(far)) >= far) & (F.coalesce("over_before", F.lit(0)) == 0) & (F.col("over_after") == 0)
-    return spans.filter((F.col("island") > 0) & alone & (F.col("tops") == 1)).select(*key, F.col("top.t").alias("t"), F.col("top.snr").alias("peak"))
+    alone = (F.col("gap_before") >= far) & (F.col("gap_after") >= far) & (F.coalesce("over_before", F.lit(0)) == 0) & (F.col("over_after") == 0)
+    return spans.filter((F.col("island") > 0) & alone & (F.col("tops") == 1) & (F.col("quiet") == 1)).select(*key, F.col("top.t").alias("t"), F.col("top.snr").alias("peak"))
 
 
-def aligned_waveforms(traces: DataFrame, peaks: DataFrame, key: list[str], before: int, after: int) -> DataFrame:
+def aligned_waveforms(traces: DataFrame, peaks: DataFrame, key: list[str], before: int, after: int, value: str = "snr") -> DataFrame:
     """Samples from -before to +after around each peak over the peak's value: (key, peak_t, rel, v). An equi-join on
     the exploded sample times, no range join."""
     wanted = peaks.select(*key, F.col("t").alias("peak_t"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("rel"))
-    around = wanted.withColumn("t", F.col("peak_t") + F.col("rel")).join(traces.select(*key, "t", "v"), [*key, "t"])
+    around = wanted.withColumn("t", F.col("peak_t") + F.col("rel")).join(traces.select(*key, "t", F.col(value).alias("v")), [*key, "t"])
     tops = around.filter("rel = 0").select(*key, "peak_t", F.col("v").alias("top"))
     return around.join(tops, [*key, "peak_t"]).filter(F.col("top") != 0).select(*key, "peak_t", "rel", (F.col("v") / F.col("top")).alias("v"))
 
@@ -90,8 +93,10 @@ def average_waveform(waves: DataFrame, video: str = "video_id") -> DataFrame:
 
 
 def decay_time(wave: DataFrame, level: float, key: list[str]) -> DataFrame:
-    """Last tenth of a frame after the peak at which the linearly interpolated wave exceeds `level`."""
+    """Last tenth of a frame at which the linearly interpolated wave exceeds `level`, counted from the peak."""
     w = Window.partitionBy(*key).orderBy("rel")
-    seg = wave.withColumn("_next", F.lead("v").over(w)).filter("_next is not null").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    at = seg.select(*key, (F.col("rel") + F.col("_k") / 10).alias("at"), (F.col("v") + (F.col("_next") - F.col("v")) * F.col("_k") / 10).alias("v"))
-    return at.filter((F.col("at") >= 0) & (F.col("v") > level)).groupBy(*key).agg(F.max("at").alias("decay"))
+    # Ten points a frame; of the last frame only its own.
+    seg = wave.withColumn("_next", F.lead("v").over(w))
+    seg = seg.withColumn("_k", F.explode(F.when(F.col("_next").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(9)))))
+    at = seg.select(*key, (F.col("rel") + F.col("_k") / 10).alias("at"), (F.col("v") + F.coalesce((F.col("_next") - F.col("v")) * F.col("_k") / 10, F.lit(0.0))).alias("v"))
+    return at.filter(F.col("v") > level).groupBy(*key).agg(F.max("at").alias("decay"))

@@ -91,6 +91,8 @@ def activity(traces: DataFrame, ratios: list[float]) -> DataFrame:
 
 
 def delta_f(traces: DataFrame, column: str = "raw", key: list[str] = MASK) -> DataFrame:
-    """(F - F0) / F0 with F0 the 5th percentile, by mask or by mask and trial; null where F0 is 0."""
-    f0 = traces.groupBy(*key).agg(F.percentile(column, 0.05).alias("f0"))
+    """(F - F0) / F0 with F0 the 5th percentile, by mask or by mask and trial; null where F0 is 0. By trial, a negative F0
+    counts as 0."""
+    low = F.percentile(column, 0.05)
+    f0 = traces.groupBy(*key).agg((low if key == MASK else F.greatest(low, F.lit(0.0))).alias("f0"))
     return traces.join(f0, key).withColumn("df", F.when(F.col("f0") != 0, (F.col(column) - F.col("f0")) / F.col("f0")))

@@ -42,9 +42,9 @@ def build_template(traces: DataFrame, masks: DataFrame, low: float = 5.0, high:
     """(waveform (rel, v), decay (video_id, tau, half_life)): the mean shape of lone spikes of masks that no overlapping
     mask disturbs. traces (video_id, mask_id, t, v), masks (video_id, mask_id, px)."""
     z = mad_snr(traces, MASK).filter("snr is not null")
-    quiet = silenced(z.filter(F.col("snr") > low).select(*MASK, "t"), masks)
-    lone = spikes(z, MASK, low, high, before, after).join(quiet, [*MASK, "t"], "left_semi")
-    waves = aligned_waveforms(traces, lone.select(*MASK, "t"), MASK, before, after)
+    quiet = silenced(z.filter(F.col("snr") > low).select(*MASK, "t"), masks).withColumn("quiet", F.lit(True))
+    marked = z.join(quiet, [*MASK, "t"], "left").withColumn("quiet", F.coalesce("quiet", F.lit(False)))
+    waves = aligned_waveforms(z, spikes(marked, MASK, low, high, before, after).select(*MASK, "t"), MASK, before, after)
     by_video = waves.groupBy("video_id", "rel").agg(F.avg("v").alias("v"))
     tau = decay_time(by_video, 0.36787944117144233, ["video_id"]).withColumnRenamed("decay", "tau")
     half = decay_time(by_video, 0.5, ["video_id"]).select("video_id", (F.col("decay") / F.log(F.lit(2.0))).alias("half_life"))

@@ -44,15 +44,16 @@ def sweep_cons(active: DataFrame, cons: list[int], key: list[str]) -> DataFrame:
     return longest.withColumn("cons", F.explode(F.array(*map(F.lit, cons)))).filter(F.col("max_run") >= F.col("cons"))
 
 
-def threshold_scores(signal: DataFrame, labels: DataFrame, thresholds: list[float], cons: list[int]) -> DataFrame:
-    """T1-T3, T8 for one-pixel masks: scores of every (threshold, cons) of a signal (id, t, z) against labelled ids. The
-    signal is thresholded once by a small explode; each threshold's longest run serves all cons."""
+def threshold_scores(signal: DataFrame, labels: DataFrame, thresholds: list[float], cons: list[int], key: list[str] = []) -> DataFrame:  # noqa: B006
+    """T1-T3, T8 for one-pixel masks: scores of every (threshold, cons) of a signal (key, id, t, z) against labelled
+    (key, id); with a key (videos), of each that has labels. The signal is thresholded once by a small explode; each
+    threshold's longest run serves all cons."""
     hot = signal.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).filter(F.col("z") > F.col("threshold"))
-    found = sweep_cons(hot, cons, ["threshold", "id"])
-    n_gt = labels.select("id").distinct().agg(F.count("*").alias("n_gt"))
-    counts = found.join(labels.select("id", F.lit(1).alias("hit")).distinct(), "id", "left").groupBy("threshold", "cons").agg(F.count("*").alias("n_found"), F.count("hit").alias("n_match"))
-    all_ = grid(signal.sparkSession, threshold=thresholds, cons=cons).join(counts, ["threshold", "cons"], "left").fillna(0, ["n_found", "n_match"])
-    return with_f1(all_.join(F.broadcast(n_gt)))
+    found = sweep_cons(hot, cons, [*key, "threshold", "id"])
+    n_gt = labels.select(*key, "id").distinct().groupBy(*key).agg(F.count("*").alias("n_gt"))
+    counts = found.join(labels.select(*key, "id", F.lit(1).alias("hit")).distinct(), [*key, "id"], "left").groupBy(*key, "threshold", "cons").agg(F.count("*").alias("n_found"), F.count("hit").alias("n_match"))
+    cells = n_gt.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("cons", F.explode(F.array(*map(F.lit, cons))))
+    return with_f1(cells.join(counts, [*key, "threshold", "cons"], "left").fillna(0, ["n_found", "n_match"]))
 
 
 def mean_over_training(scores: DataFrame, fold: DataFrame, params: list[str]) -> DataFrame:

@@ -223,16 +223,6 @@ def clusters(spark, sf_dir, nearest):
     return merge.cluster(materialise(segments.filter("area > 1"), "segments"), 1.2, nearest)
 
 
-@query()
-def leader_merge_small(spark, sf_dir):
-    return clusters(spark, sf_dir, False)
-
-
-@query()
-def leader_merge_nearest(spark, sf_dir):
-    return clusters(spark, sf_dir, True)
-
-
 @query(f"WITH {MU} SELECT a, b, round(inter / (na + nb - inter), 6) AS iou FROM pn WHERE a < b AND inter / (na + nb - inter) >= 0.4")
 def iou_pairs(spark, sf_dir):
     return joins.overlap_pairs(m_user(spark, sf_dir), 0.4, "iou").select("a", "b", F.round("score", 6).alias("iou"))
@@ -400,11 +390,13 @@ def systematic_sample(spark, sf_dir):
     return score.sampled(v_emb(spark, sf_dir), 3, 5, 10).select("video_id", "t", (F.col("x") * 8 + F.col("y")).cast("long").alias("p"), r6("v"))
 
 
-@query(f"WITH {EMB} SELECT video_id, t, round(sum(v), 5) AS total, count(DISTINCT p) AS cells FROM emb GROUP BY ALL")
+@query(
+    f"WITH {EMB}, c AS (SELECT *, (video_id + t) % 2 = 1 AS h, (t // 2) % 2 = 1 AS u, (t // 4) % 2 = 1 AS r FROM emb), f AS (SELECT *, CASE WHEN h THEN 7 - x ELSE x END AS fx, CASE WHEN u THEN 7 - y ELSE y END AS fy FROM c) SELECT video_id, t, CASE WHEN r THEN 7 - fy ELSE fx END AS x, CASE WHEN r THEN fx ELSE fy END AS y, round(v, 6) AS v FROM f"
+)
 def augment_flip_rot(spark, sf_dir):
-    """Flips and turns move cells but keep each frame's values and grid."""
-    moved = scalar.augmented(v_emb(spark, sf_dir), 8, 8)
-    return moved.groupBy("video_id", "t").agg(F.round(F.sum("v"), 5).alias("total"), F.countDistinct("x", "y").alias("cells"))
+    """Frames flipped and turned by coins that follow from video and frame."""
+    coins = [(F.col("video_id") + F.col("t")) % 2 == 1, F.floor(F.col("t") / 2) % 2 == 1, F.floor(F.col("t") / 4) % 2 == 1]
+    return scalar.moved(v_emb(spark, sf_dir), 8, 8, coins).select("video_id", "t", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), r6("v"))
 
 
 @query(f"WITH {VD}, f AS (SELECT pix, quantile_cont(v, 0.5) AS f0 FROM vid GROUP BY pix), m AS (SELECT vid.pix, quantile_cont(abs(v - f0), 0.5) AS mad FROM vid JOIN f USING (pix) GROUP BY vid.pix) SELECT vid.pix, t::BIGINT AS t, round(CASE WHEN mad > 0 THEN (v - f0) / (mad / 0.6744897501960817) END, 6) AS snr FROM vid JOIN f USING (pix) JOIN m USING (pix)")
@@ -412,15 +404,6 @@ def mad_snr(spark, sf_dir):
     return baseline.mad_snr(v_day(spark, sf_dir), ["pix"]).select("pix", "t", r6("snr"))
 
 
-@query(
-    f"WITH {VD}, f AS (SELECT pix, quantile_cont(v, 0.5) AS f0 FROM vid GROUP BY pix), m AS (SELECT vid.pix, quantile_cont(abs(v - f0), 0.5) AS mad FROM vid JOIN f USING (pix) GROUP BY vid.pix), pk AS (SELECT vid.pix, t, v FROM vid JOIN f USING (pix) JOIN m USING (pix) WHERE mad > 0 AND (v - f0) / (mad / 0.6744897501960817) > 3), wv AS (SELECT vid.pix, vid.t - pk.t AS rel, vid.v / pk.v AS v FROM pk JOIN vid ON vid.pix = pk.pix AND vid.t BETWEEN pk.t - 2 AND pk.t + 3 WHERE pk.v <> 0) SELECT rel::INTEGER AS rel, round(avg(v), 6) AS v FROM (SELECT pix, rel, avg(v) AS v FROM wv GROUP BY ALL) GROUP BY rel"
-)
-def aligned_waveform(spark, sf_dir):
-    z = materialise(baseline.mad_snr(v_day(spark, sf_dir), ["pix"]), "snr")
-    waves = temporal.aligned_waveforms(z, z.filter("snr > 3").select("pix", "t"), ["pix"], 2, 3)
-    return temporal.average_waveform(waves, "pix").select("rel", r6("v"))
-
-
 def streamed(spark, sf_dir, transform, mode="append"):
     """Run a streaming query over the whole events table into a Parquet sink, and read the sink."""
     path = f"{sf_dir}/events.parquet"
@@ -478,10 +461,10 @@ def active_ratio(spark, sf_dir):
     return tune.sparse_enough(v_emb(spark, sf_dir).withColumnRenamed("v", "p"), [0.05, 0.1, 0.15, 0.2], 0.12).select("video_id", "threshold", r6("ratio"))
 
 
-@query(f"WITH {EMB} SELECT video_id, t, count(*) AS cells, round(sum(v), 5) AS total FROM emb GROUP BY ALL")
+@query(f"WITH {EMB} SELECT video_id, t, x, y, round(v, 6) AS v FROM emb WHERE x < 7 AND y < 6")
 def pack_round_trip(spark, sf_dir):
-    back = src.unpack(src.pack(v_emb(spark, sf_dir), 8), 8)
-    return src.crop(back, 8, 8).groupBy("video_id", "t").agg(F.count("*").alias("cells"), F.round(F.sum("v"), 5).alias("total"))
+    back = src.unpack(src.pack(v_emb(spark, sf_dir).repartition("x"), 8), 8)
+    return src.crop(back, 7, 6).select("video_id", "t", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), r6("v"))
 
 
 @query(f"WITH {VD}, g AS (SELECT max(t) + 1 AS nt, (max(x) // 8 + 1) * 8 AS lx, (max(y) // 8 + 1) * 8 AS ly FROM vid) SELECT t::BIGINT AS t, (SELECT lx * ly FROM g)::BIGINT AS cells, round(sum(v), 4) AS total FROM vid GROUP BY t")
@@ -521,10 +504,3 @@ def unfinished_work(spark, sf_dir):
     plan = e.select(F.col("user_id").alias("eid")).distinct()
     done = e.filter("event_type = 'error'").groupBy(F.col("user_id").alias("eid")).count().filter("count > 14").select("eid")
     return src.unfinished(plan, done, ["eid"])
-
-
-@query()
-def lone_spikes(spark, sf_dir):
-    """Lone peaks of users' hourly sums by the smallest and largest score."""
-    z = baseline.snr(v_hour(spark, sf_dir))
-    return temporal.spikes(z.select("pix", "t", "snr"), ["pix"], 2.0, 6.0, 2, 3).select("pix", "t", r6("peak"))

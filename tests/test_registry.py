@@ -10,6 +10,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from framelake import registry_more  # noqa: F401
 from framelake.registry import ORACLES, QUERIES
 from tests.conftest import SF
 
