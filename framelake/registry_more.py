@@ -1,4 +1,5 @@
-"""Further registered queries: sources and sinks, kernels, templates, folds, traces, spatial filter, leader merges, tracking."""
+"""Further registered queries: sources and sinks, kernels, templates, folds, traces, spatial filter, leader merges,
+tracking, and streams over stored frames."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from framelake.plans import pipeline, tune
 from framelake.registry import EMB, FIR, KERNEL, REG, SCORES, SNR, TRACE, VD, WIDTH, base, clusters, emb_regions, grouped_pixels, query, r6, scored_grid, single_pixels, v_day, v_emb
 from framelake.sources import frames as src
 from framelake.sources.scratch import materialise, new_path
+from framelake.streaming import online
 
 # Sources and sinks.
 
@@ -270,3 +272,68 @@ def tracked_regions(spark, sf_dir):
     new = segment.region_stats(reg).filter("t > 0").join(reg.groupBy("video_id", "t", "seg").agg(px), ["video_id", "t", "seg"]).withColumnRenamed("seg", "id")
     old = reg.filter("t = 0").groupBy("video_id", F.col("seg").alias("mask_id")).agg(px)
     return merge.track(new, old, 8, {"thresh_iou": 0.5}).select("video_id", "t", F.col("id").alias("seg"), "mask_id")
+
+
+# Streams over stored frames.
+
+
+def frame_stream(spark, frames, transform):
+    """Store frames, stream them through a transformation into a sink, and read the sink."""
+    stored = materialise(frames, "frames")
+    result = transform(spark.readStream.schema(stored.schema).parquet(stored._framelake_path))
+    out = new_path(spark, "stream")
+    online.run_available(result, f"{out}/rows", f"{out}/state")
+    return spark.read.schema(result.schema).parquet(f"{out}/rows")
+
+
+@query(f"WITH {VD} SELECT x, y, t::BIGINT AS t, round(CASE WHEN noise IS NULL THEN 0.0 ELSE (v - med) / noise END, 6) AS snr FROM vid JOIN {base('(SELECT * FROM vid WHERE t < 10)')} b USING (pix)")
+def stream_fixed_baseline(spark, sf_dir):
+    """Streamed frames against the baseline of the first ten."""
+    v = materialise(v_day(spark, sf_dir).select("video_id", "t", "x", "y", "v"), "frames")
+    known = materialise(online.initial_baseline(v, 10), "baseline")
+    return frame_stream(spark, v, lambda s: online.online_snr(s, known)).select("x", "y", "t", r6("snr"))
+
+
+@query(
+    f"WITH {VD}, k AS (SELECT *, CASE WHEN t < 8 THEN 0 ELSE 1 + (t - 8) // 7 END AS block FROM vid), b AS {base('k', 'pix, block')} SELECT k.pix, t::BIGINT AS t, round(CASE WHEN noise IS NULL THEN 0.0 ELSE (v - med) / noise END, 6) AS snr FROM k JOIN b ON b.pix = k.pix AND b.block = greatest(k.block - 1, 0)"
+)
+def stream_rolling_baseline(spark, sf_dir):
+    """Streamed frames, each block of seven against the baseline of the block before."""
+    v = v_day(spark, sf_dir).select("pix", "t", "v")
+    return frame_stream(spark, v, lambda s: online.streaming_lagged_snr(s, ["pix"], 8, 7)).select("pix", "t", r6("snr"))
+
+
+ONLINE = {"min_area": 1, "avg_area": 30, "thresh_mask": 0.5, "thresh_com0": 0.6, "thresh_com": 1.0, "thresh_iou": 0.5, "cons": 1}
+
+
+def windows(spark, sf_dir, kind, cons):
+    """Frames stored by windows of 25, one window a micro-batch, merged into versions of a mask table."""
+    v = v_emb(spark, sf_dir).filter("v > 0.15")
+    last = v.agg(F.max("t")).first()[0] or 0
+    path, state = new_path(spark, "windows"), new_path(spark, "masks")
+    schema = v.schema
+    masks = kind(spark, state, 8, ONLINE | {"cons": cons}, lambda frames: frames)
+    for k in range(int(last) // 25 + 1):
+        v.filter((F.col("t") >= 25 * k) & (F.col("t") < 25 * (k + 1))).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        online.merge_windows(stream, masks.merge_batch, f"{state}/checkpoint")
+    return masks, int(last) // 25
+
+
+def _summary(m):
+    px = m.pixels.groupBy("video_id", "id").agg(F.count("*").alias("pixels"), F.round(F.sum("w"), 6).alias("weight"))
+    return px.join(m.times.groupBy("video_id", "id").agg(F.count("*").alias("frames")), ["video_id", "id"])
+
+
+@query()
+def online_masks(spark, sf_dir):
+    """Masks merged window by window, and once more at the end."""
+    masks, last = windows(spark, sf_dir, online.OnlineMasks, 1)
+    return _summary(masks.finish(last))
+
+
+@query()
+def online_tracked_masks(spark, sf_dir):
+    """As online_masks, with regions going to confirmed masks first."""
+    masks, last = windows(spark, sf_dir, online.OnlineTracker, 2)
+    return _summary(masks.finish(last))

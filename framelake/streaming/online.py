@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framelake.functions.scalar import QUARTILE_SIGMA
 from framelake.operators.baseline import baseline
-from framelake.operators.merge import Masks, final_merge, merge_into, merged
-from framelake.operators.segment import frame_regions
+from framelake.operators.joins import as_masks
+from framelake.operators.merge import Masks, binarised, confirmed, final_merge, merge_into, merged, track
+from framelake.operators.segment import frame_regions, region_stats
 from framelake.sources.frames import PIXEL
+from framelake.sources.scratch import materialise
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -52,6 +56,41 @@ def streaming_fir(frames: DataFrame, kernel: list[float], key: list[str]) -> Dat
     return frames.groupBy(*key).applyInPandasWithState(step, schema, "times array<long>, held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def _quartile_baseline(values: list[float]) -> tuple[float, float | None]:
+    """Median and noise of one pixel's block, by the rules of baseline()."""
+    high, low = np.percentile(values, [50, 25])
+    noise = (high - low) / QUARTILE_SIGMA or float(np.std(values))
+    return float(high), noise or None
+
+
+def streaming_lagged_snr(frames: DataFrame, key: list[str], first: int, size: int) -> DataFrame:
+    """Z-scores of frames (key, t, v) as they come, each block against the baseline of the block before (block 0, the
+    first `first` frames, against its own, and so only when it is complete). A key's state is one block of values and one
+    baseline. Frames of a key must come in order of t and without gaps; output equals lagged_block_normalise()."""
+    def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        block, held, med, noise = state.get if state.exists else (0, [], 0.0, None)
+        held, out = list(held), []
+        z = lambda v: 0.0 if noise is None else (v - med) / noise
+        new = pd.concat(list(pdfs)).sort_values("t")
+        for t, v in zip(new["t"].astype(int).tolist(), new["v"].astype(float).tolist(), strict=True):
+            now = 0 if t < first else 1 + (t - first) // size
+            if now != block:
+                med, noise = _quartile_baseline(held)
+                held, block = [], now
+            held.append(v)
+            if block:
+                out.append((t, z(v)))
+            elif len(held) == first:
+                med, noise = _quartile_baseline(held)
+                out += [(t - first + 1 + i, z(x)) for i, x in enumerate(held)]
+        state.update((block, held, med, noise))
+        yield pd.DataFrame([(*k, *x) for x in out], columns=[*key, "t", "snr"])
+
+    types = dict(frames.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in key) + ", t long, snr double"
+    return frames.groupBy(*key).applyInPandasWithState(step, schema, "block long, held array<double>, med double, noise double", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over what is there and wait for its end; Parquet sink, exactly once."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -75,7 +114,7 @@ def online_snr(stream: DataFrame, known: DataFrame) -> DataFrame:
 
 
 class OnlineMasks:
-    """Masks found so far, as a table with one version a window. Each window's frames are segmented and merged (M8),
+    """Masks found so far, as a table with one version a window. Each window's frames are segmented and merged (M8),
     and the result joins the version before (M9). A window that runs again writes the same version again."""
 
     def __init__(self, spark: SparkSession, folder: str, ly: int, params: dict, active: Callable[[DataFrame], DataFrame]):
@@ -86,10 +125,37 @@ class OnlineMasks:
 
     def merge_batch(self, frames: DataFrame, k: int) -> None:
         new = merged(frame_regions(self.active(frames), self.ly), self.ly, self.params)
-        out = merge_into(self.version(k - 1), new, self.params) if k else new
+        self.write(merge_into(self.version(k - 1), new, self.params) if k else new, k)
+
+    def write(self, out: Masks, k: int) -> None:
         out.pixels.write.mode("overwrite").parquet(f"{self.folder}/pixels/{k}")
         out.times.write.mode("overwrite").parquet(f"{self.folder}/times/{k}")
 
     def finish(self, k: int) -> Masks:
         """M11 on the last version."""
         return final_merge(self.version(k), self.params)
+
+
+class OnlineTracker(OnlineMasks):
+    """As OnlineMasks, but each region of a frame first goes to the confirmed mask that contains its centre and fits it
+    best (M13). At the end of its window such regions are added to their masks; all others are merged with each other and
+    then with the masks that aren't confirmed yet (M10)."""
+
+    def merge_batch(self, frames: DataFrame, k: int) -> None:
+        regions = materialise(frame_regions(self.active(frames), self.ly), "regions")
+        if not k:
+            return self.write(merged(regions, self.ly, self.params), k)
+        old = self.version(k - 1)
+        sure = materialise(confirmed(old, self.params["cons"]), "confirmed")
+        masks = as_masks(binarised(old.pixels.join(sure, ["video_id", "id"], "left_semi"), self.params["thresh_mask"]).withColumnRenamed("id", "mask_id"))
+        key = ["video_id", "t", "seg"]
+        px = regions.groupBy(*key).agg(F.sort_array(F.collect_set("p")).alias("px"))
+        large = region_stats(regions).filter(F.col("area") > self.params["min_area"])
+        found = materialise(track(large.join(px, key).withColumnRenamed("seg", "id"), masks, self.ly, self.params).filter("mask_id is not null").withColumnRenamed("id", "seg"), "tracked")
+        added = regions.join(found, key)
+        tracked = Masks(added.groupBy("video_id", F.col("mask_id").alias("id"), "p").agg(F.count("*").cast("double").alias("w")), added.select("video_id", F.col("mask_id").alias("id"), "t").distinct())
+        rest = merged(regions.join(found, key, "left_anti"), self.ly, self.params)
+        unsure = old.pixels.select("video_id", "id").distinct().join(sure, ["video_id", "id"], "left_anti")
+        out = merge_into(old, rest, self.params, only=unsure)
+        pixels = out.pixels.unionByName(tracked.pixels).groupBy("video_id", "id", "p").agg(F.sum("w").alias("w"))
+        self.write(Masks(pixels, out.times.unionByName(tracked.times).distinct()), k)
