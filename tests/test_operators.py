@@ -173,10 +173,13 @@ def test_pixel_scorer_learns_and_unmixing_finds_the_mask(spark):
 
 
 def test_spikes_waveform_and_decay(spark):
-    z = [0, 0, 5, 6, 5, 0, 0, 0, 0, 0, 5, 6, 4.5, 5.5, 0, 0, 0, 0, 0, 9, 0, 0]
+    # An island too near the start, a lone one, one of two peaks, and one above the range.
+    z = [0, 5, 4, 0, 0, 0, 0, 5, 6, 5, 0, 0, 0, 0, 0, 5, 6, 4.5, 5.5, 0, 0, 0, 0, 0, 9, 0, 0]
     df = spark.createDataFrame([(0, t, float(v), float(v)) for t, v in enumerate(z)], "video_id int, t int, snr double, v double")
     peaks = temporal.spikes(df, ["video_id"], 4.0, 7.0, 1, 2)
-    assert [(r.t, r.peak) for r in peaks.collect()] == [(3, 6.0)]
+    assert [(r.t, r.peak) for r in peaks.collect()] == [(8, 6.0)]
+    shaken = df.withColumn("quiet", df.t != 9)
+    assert temporal.spikes(shaken, ["video_id"], 4.0, 7.0, 1, 2).count() == 0
     wave = temporal.average_waveform(temporal.aligned_waveforms(df, peaks, ["video_id"], 1, 2))
     assert {r.rel: round(r.v, 4) for r in wave.collect()} == {-1: 0.8333, 0: 1.0, 1: 0.8333, 2: 0.0}
     from pyspark.sql import functions as F
@@ -188,7 +191,7 @@ def test_spikes_waveform_and_decay(spark):
 def test_folds_best_and_sampling(spark):
     v = spark.createDataFrame([(1,), (2,), (3,)], "video_id long")
     assert {(r.cv, r.video_id) for r in tune.folds(v, "train_1_test_rest").collect() if r.trains} == {(1, 1), (2, 2), (3, 3)}
-    assert tune.folds(v, "leave-one-out").filter("trains").count() == 6 and tune.folds(v, "use_all").count() == 3
+    assert tune.folds(v, "leave-one-out").filter("trains").count() == 6 and tune.folds(v.unionByName(v), "use_all").count() == 3
     with pytest.raises(ValueError):
         tune.folds(v, "other")
     s = spark.createDataFrame([(1, 0.5, 0.5, 0.5, 3), (1, 0.5, 0.5, 0.5, 2), (1, 0.1, 0.1, 0.1, 1)], "cv int, recall double, precision double, f1 double, cons int")
@@ -222,6 +225,7 @@ def test_template_of_lone_spikes(spark):
     wave, decay = build_template(df, masks, 4.0, 14.0, 2, 4)
     got = {r.rel: r.v for r in wave.collect()}
     assert got[0] == pytest.approx(1.0) and got[0] > got[1] > got[2] and decay.count() == 1
+    assert 1.8 < decay.first().tau < 2.8  # the shape falls below 1/e there, on a baseline of ten
 
 
 def test_online_versions_end_as_one_mask(spark, tmp_path):
@@ -242,3 +246,26 @@ def test_online_versions_end_as_one_mask(spark, tmp_path):
     assert last.pixels.count() == 9 and last.times.count() == 12 and last.pixels.select("id").distinct().count() == 1
     z = online_snr(frames.filter("t >= 10"), initial_baseline(frames, 10))
     assert z.count() == 5 * 64 and z.filter("snr is null").count() == 0
+
+
+def test_tracked_windows_add_regions_to_confirmed_masks(spark, tmp_path):
+    """A cell active in all windows stays one mask by tracking; one that starts late becomes a second mask; times add up."""
+    from framelake.streaming.online import OnlineTracker
+
+    def cell(t, x0, y0):
+        return [(0, t, x, y) for x in range(x0, x0 + 3) for y in range(y0, y0 + 3)]
+
+    rows = [r for t in range(12) for r in cell(t, 1, 1)] + [r for t in range(6, 12) for r in cell(t, 4, 5)]
+    frames = spark.createDataFrame(rows, "video_id long, t long, x int, y int")
+    params = {"min_area": 2, "avg_area": 50, "thresh_mask": 0.5, "thresh_com0": 1.0, "thresh_com": 2.0, "thresh_iou": 0.5, "cons": 3}
+    state = OnlineTracker(spark, f"{tmp_path}/state", 8, params, lambda f: f)
+    for k in range(3):
+        state.merge_batch(frames.filter(f"t >= {4 * k} and t < {4 * k + 4}"), k)
+    last = state.version(2)
+    times = {}
+    for r in last.times.collect():
+        times.setdefault(r.id, []).append(r.t)
+    assert sorted(map(sorted, times.values())) == [list(range(12)), list(range(6, 12))]
+    weights = {r.id: (r.n, r.w) for r in last.pixels.groupBy("id").agg({"p": "count", "w": "max"}).toDF("id", "n", "w").collect()}
+    assert sorted(weights.values()) == [(9, 6.0), (9, 12.0)]
+    assert state.finish(2).pixels.select("id").distinct().count() == 2
