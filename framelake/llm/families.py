@@ -22,24 +22,24 @@ from framelake.sources.scratch import drop, materialise
 
 EDGES = "a long, b long"
 #: Rows of a family that is compared whole, and of a block.
-WHOLE_ROWS, BLOCK_ROWS = 2048, 1024
+WHOLE_ROWS, BLOCK_ROWS = 1024, 512
 #: Pairs of rows that one group of small families holds, about.
 PAIRS = 1 << 22
-#: linker(ids, payloads, sides) -> edges: links enough to connect every class among the rows; with `sides` given, pairs
-#: of the same side are skipped.
-Linker = Callable[[np.ndarray, list[bytes], np.ndarray | None], list[tuple[int, int]]]
+#: linker(ids, payloads, sides, joined, reach) -> edges: links enough to connect every class among the rows. Each of these
+#: may be None: pairs of the same side are skipped; joined rows are known to be one class; reach is the rows' distance to
+#: one and the same other row.
+Linker = Callable[[np.ndarray, list[bytes], np.ndarray | None, np.ndarray | None, np.ndarray | None], list[tuple[int, int]]]
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([max(p) for p in pairs], pa.int64()), "b": pa.array([min(p) for p in pairs], pa.int64())})
 
 
-def link_families(members: DataFrame, linker: Linker, distance: Callable[[bytes, bytes], tuple[bool, float]], bound: int, ratio: float, slack: float | None = None) -> DataFrame:
+def link_families(members: DataFrame, linker: Linker, distance: Callable[[bytes, bytes], tuple[bool, float]], bound: int, ratio: float) -> DataFrame:
     """members (family, id, payload, weight) -> edges (a, b) with a > b that connect what links.
 
     bound: weight that a task holds. ratio: the smaller of two linked rows has at least this share of the larger one's
-    weight. distance(pivot, row) -> (linked, distance). slack: if distances obey the triangle inequality and links lie
-    within it, rows of the pivot's class too far from all open rows are left out.
+    weight. distance(pivot, row) -> (linked, distance), a distance that obeys the triangle inequality.
     """
     members = materialise(members, "members")
     stats = members.groupBy("family").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.max("weight").alias("top"))
@@ -51,17 +51,17 @@ def link_families(members: DataFrame, linker: Linker, distance: Callable[[bytes,
         table = table.sort_by([("family", "ascending"), ("id", "ascending")])
         family, ids, payloads = np.asarray(table.column("family")), np.asarray(table.column("id")), table.column("payload")
         cut = np.append(np.flatnonzero(np.concatenate([[True], family[1:] != family[:-1]])), len(family))
-        return _edges([p for x, y in zip(cut[:-1], cut[1:], strict=True) if y - x > 1 for p in linker(ids[x:y], payloads.slice(x, y - x).to_pylist(), None)])
+        return _edges([p for x, y in zip(cut[:-1], cut[1:], strict=True) if y - x > 1 for p in linker(ids[x:y], payloads.slice(x, y - x).to_pylist(), None, None, None)])
 
     big = stats.filter("big")
     quiet = members.join(big.select("family"), "family", "left_anti") if n_big else members
     edges = quiet.groupBy(F.pmod(F.xxhash64("family"), F.lit(n_groups)).alias("g")).applyInArrow(small, EDGES)
-    out = materialise(edges.unionByName(_big_links(members, big, linker, distance, bound, ratio, slack)) if n_big else edges, "links")
+    out = materialise(edges.unionByName(_big_links(members, big, linker, distance, bound, ratio)) if n_big else edges, "links")
     drop(members)
     return out
 
 
-def _big_links(members: DataFrame, big: DataFrame, linker: Linker, distance, bound: int, ratio: float, slack: float | None) -> DataFrame:
+def _big_links(members: DataFrame, big: DataFrame, linker: Linker, distance, bound: int, ratio: float) -> DataFrame:
     rows = materialise(members.join(big, "family"), "big")
     # The pivot's row goes to as many parts of its family as the family's size asks for.
     parts = F.greatest(F.ceil(F.col("w") / bound), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
@@ -78,10 +78,7 @@ def _big_links(members: DataFrame, big: DataFrame, linker: Linker, distance, bou
     star = held.filter(~F.col("open") & (F.col("id") != F.col("family"))).select(F.col("id").alias("a"), F.col("family").alias("b"))
     # Linked weights are one band apart at most (a band is a little wider than the ratio, for rounding).
     banded = held.withColumn("band", F.floor(F.log(F.greatest(F.col("weight"), F.lit(1))) / (math.log(1 / ratio) * 1.001)).cast("int"))
-    if slack is not None:
-        reach = held.filter("open").groupBy("family").agg(F.min("distance").alias("nearest"), F.max("distance").alias("farthest"), F.count("*").alias("n_open"))
-        banded = join_group_value(banded, reach, ["family"], "n_open").filter(F.col("open") | F.col("distance").between(F.col("nearest") - slack, F.col("farthest") + slack))
-    banded = materialise(banded.select("family", "id", "payload", "weight", "open", "band"), "banded")
+    banded = banded.select("family", "id", "payload", "weight", "open", "band", "distance")
     sizes = banded.groupBy("family", "band", "open").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(2 * F.col("w") / bound)).cast("int")
     layout = sizes.groupBy("family").agg(F.collect_list(F.struct("band", "open", blocks.alias("n"))).alias("blocks"), F.sum("n").alias("n_rows")).filter(F.exists("blocks", lambda b: b.open))
@@ -91,12 +88,13 @@ def _big_links(members: DataFrame, big: DataFrame, linker: Linker, distance, bou
     near = F.filter("blocks", lambda b: (F.abs(b.band - F.col("band")) <= 1) & (b.open | F.col("open")))
     partners = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), b.n - 1), lambda k: F.struct(b.band.alias("band"), b.open.alias("open"), k.alias("salt")))))
     tiles = F.transform(partners, lambda p: F.struct(F.least(p, F.col("me")).alias("i"), F.greatest(p, F.col("me")).alias("j"), (p == F.col("me")).alias("one"), (p < F.col("me")).alias("side")))
-    placed = placed.select("family", "id", "payload", F.explode(tiles).alias("tile"))
-    placed = placed.select("id", "payload", F.concat_ws("/", "family", F.to_json("tile.i"), F.to_json("tile.j")).alias("tile"), F.col("tile.one").alias("one"), F.col("tile.side").cast("int").alias("side"))
+    placed = placed.select("family", "id", "payload", "open", "distance", F.explode(tiles).alias("tile"))
+    placed = placed.select("id", "payload", "open", "distance", F.concat_ws("/", "family", F.to_json("tile.i"), F.to_json("tile.j")).alias("tile"), F.col("tile.one").alias("one"), F.col("tile.side").cast("int").alias("side"))
 
     def tile(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending")])
         sides = None if table.column("one")[0].as_py() else np.asarray(table.column("side"))
-        return _edges(linker(np.asarray(table.column("id")), table.column("payload").to_pylist(), sides))
+        shut = ~table.column("open").to_numpy(zero_copy_only=False).astype(bool)
+        return _edges(linker(np.asarray(table.column("id")), table.column("payload").to_pylist(), sides, shut, np.asarray(table.column("distance"))))
 
     return star.unionByName(placed.groupBy("tile").applyInArrow(tile, EDGES))

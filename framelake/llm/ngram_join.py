@@ -261,8 +261,11 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 def tile_linker(sim: Similarity):
     """Compare the sets of one tile in order of size. Bits that only one of two bitmaps has stand for shingles that only
     one set has, and so bound the overlap from above; pairs within the bound that aren't connected yet are
-    intersected."""
-    def run(ids: np.ndarray, payloads: list[bytes], sides: np.ndarray | None) -> list[tuple[int, int]]:
+    intersected. Jaccard distance obeys the triangle inequality: with distances to a
+    pivot given (reach), pairs whose distances differ too much are skipped."""
+    slack = 1 - sim.num / sim.den + 1e-9
+
+    def run(ids: np.ndarray, payloads: list[bytes], sides: np.ndarray | None, joined: np.ndarray | None, reach: np.ndarray | None) -> list[tuple[int, int]]:
         sets = [np.frombuffer(p, "<u8") for p in payloads]
         sizes = np.array([len(s) for s in sets], np.int64)
         order = np.lexsort((ids, sizes))
@@ -270,11 +273,16 @@ def tile_linker(sim: Similarity):
         sides = np.arange(len(ids)) if sides is None else sides[order]
         maps = bitmaps(sets)
         root = np.arange(len(ids))
+        if joined is not None and joined.any():
+            root[joined[order]] = np.flatnonzero(joined[order])[0]
+        reach = None if reach is None else reach[order]
         edges = []
         for i in range(len(ids) - 1):
             end = int(np.searchsorted(sizes, sizes[i] * sim.den // sim.num, "right"))
             other = np.arange(i + 1, end)
             other = other[(root[other] != root[i]) & (sides[other] != sides[i])]
+            if reach is not None:
+                other = other[np.abs(reach[other] - reach[i]) <= slack]
             if not len(other):
                 continue
             only_i = np.bitwise_count(maps[i] & ~maps[other]).sum(1, dtype=np.int64)
@@ -338,7 +346,7 @@ def ngram_jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), task_shi
     families = materialise(connected_components(candidates), "families").toDF("doc_id", "family")
     # Families grow with the documents: a sort-merge join at any size.
     members = text_bytes(docs).join(families.hint("merge"), "doc_id").select("family", "doc_id", "text").mapInArrow(_sets(sim.width), "family long, id long, payload binary, weight long")
-    links = link_families(members, tile_linker(sim), pivot_distance(sim), task_shingles, sim.num / sim.den, 1 - sim.num / sim.den + 1e-9)
+    links = link_families(members, tile_linker(sim), pivot_distance(sim), task_shingles, sim.num / sim.den)
     # An id of several rows is one document, and so connects the classes of all its sets.
     links = links.unionByName(copies.filter("doc_id <> rep").join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     linked = materialise(connected_components(links), "components").toDF("rep", "component")
