@@ -11,8 +11,9 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from framelake.llm.text import binary_column, mix, rolling, small_batches, text_bytes, word_hashes
+from framelake.llm.text import binary_column, mix, ramp, rolling, small_batches, text_bytes, word_hashes
 from framelake.sources.scratch import materialise
 
 #: ASCII punctuation separates words as white space does.
@@ -38,33 +39,48 @@ def words_of(raw: bytes) -> list[bytes]:
     return low.translate(SEPARATORS).split()
 
 
-class Block:
-    """Some test items and the index of their seeds."""
+class Seeds:
+    """Some test items' n-grams of one width."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], seed: int):
-        self.seed = seed
-        self.ids = [i for i, _ in items]
-        self.words = [word_hashes(w) for _, w in items]
-        grams = [mix(rolling(w, seed)) for w in self.words]
+    def __init__(self, items: list[tuple[int, np.ndarray]], width: int):
+        self.width = width
+        grams = [mix(rolling(w, width)) for _, w in items]
         keys = np.concatenate([*grams, np.empty(0, np.uint64)])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        item = np.repeat(np.array([k for k, _ in items], np.int64), [len(g) for g in grams])
         place = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64)
-        self._set(keys, item, place)
-
-    def _set(self, keys: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.place = keys[order], item[order], place[order]
-        self.seeds = np.unique(self.keys)
         self.mask = np.zeros(1 << 20, bool)
-        self.mask[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.mask[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def hits(self, lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document in the batch, word place in it, item, place in the item) of every n-gram that is a seed and doesn't cross
+        a document's end."""
+        grams = mix(rolling(words, self.width))
+        at = np.flatnonzero(self.mask[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        ends = np.cumsum(lengths)
+        doc = np.searchsorted(ends, at, "right")
+        inside = at + self.width <= ends[doc] if len(at) else at.astype(bool)
+        at, doc = at[inside], doc[inside]
+        low = np.searchsorted(self.keys, grams[at], "left")
+        times = np.searchsorted(self.keys, grams[at], "right") - low
+        entry = np.repeat(low, times) + ramp(times)
+        return np.repeat(doc, times), np.repeat(at - (ends - lengths)[doc], times), self.item[entry], self.place[entry]
+
+
+class Block:
+    """Some test items and the index of their seeds. An item of fewer words than a seed is one seed as a whole."""
 
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        """Places of grams that are seeds."""
-        maybe = np.flatnonzero(self.mask[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if not len(maybe) or not len(self.seeds):
-            return maybe[:0]
-        at = np.minimum(np.searchsorted(self.seeds, grams[maybe]), len(self.seeds) - 1)
-        return maybe[self.seeds[at] == grams[maybe]]
+    def __init__(self, items: list[tuple[int, list[bytes]]], seed: int):
+        self.ids = [i for i, _ in items]
+        self.words = [word_hashes(w) for _, w in items]
+        by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, w in enumerate(self.words):
+            by_width.setdefault(min(seed, len(w)), []).append((k, w))
+        self.seeds = [Seeds(part, width) for width, part in sorted(by_width.items())]
+
+    def hits(self, lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(x) for x in zip(*(s.hits(lengths, words) for s in self.seeds), strict=True))
 
 
 def most_score(present: np.ndarray, m: Matching) -> int:
@@ -103,17 +119,6 @@ def _batch_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
     return batch.column("doc_id"), np.array([len(w) for w in split], np.int64), word_hashes([w for s in split for w in s])
 
 
-def _seed_places(lengths: np.ndarray, words: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document in the batch, word place in it, seed) of every hit that doesn't cross a document's end."""
-    grams = mix(rolling(words, block.seed))
-    at = block.hits(grams)
-    ends = np.cumsum(lengths)
-    doc = np.searchsorted(ends, at, "right")
-    inside = at + block.seed <= ends[doc] if len(at) else at.astype(bool)
-    at, doc = at[inside], doc[inside]
-    return doc, at - (ends - lengths)[doc], grams[at]
-
-
 FOUND = "doc_id long, item_id long, score double, first_word long, last_word long, n_seeds long"
 
 
@@ -136,11 +141,7 @@ def _aligned(shared, m: Matching):
         for batch in batches:
             ids, lengths, words = _batch_words(batch)
             begins = np.cumsum(lengths) - lengths
-            doc, place, seeds = _seed_places(lengths, words, block)
-            low, high = np.searchsorted(block.keys, seeds, "left"), np.searchsorted(block.keys, seeds, "right")
-            times = high - low
-            entry = np.repeat(low, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            doc, place, item, offset = np.repeat(doc, times), np.repeat(place, times), block.item[entry], block.place[entry]
+            doc, place, item, offset = block.hits(lengths, words)
             order = np.lexsort((place, item, doc))
             doc, place, item, offset = doc[order], place[order], item[order], offset[order]
             cut = np.append(np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])[: len(doc)]), len(doc))
@@ -166,7 +167,7 @@ def _blocks(benchmark: DataFrame, m: Matching) -> Iterator[Block]:
     items, size = [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         words = words_of((r.text or "").encode())
-        if r.item_id is None or len(words) < m.seed:
+        if r.item_id is None or not words:
             continue
         if items and size + len(words) > m.block_words:
             yield Block(items, m.seed)
@@ -185,8 +186,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, matching: Matching = Mat
     bounded size, each against all documents in one pass, without shuffling texts. However many documents hold a seed, each
     passage around one is aligned, unless the words that it shares with the item can't reach the score.
     Reads doc_id and text of docs, item_id and text of benchmark; other columns are ignored. Null texts hold nothing;
-    items with a null id or fewer words than a seed can't be looked for; repeated items and rows are each reported. With
-    either table empty there are no rows.
+    items with a null id or without words can't be looked for; repeated items and rows are each reported. With either table
+    empty there are no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -198,5 +199,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, matching: Matching = Mat
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()) -> DataFrame:
-    """The rows of docs that hold no copy of a test item."""
-    return docs.join(contaminated(docs, benchmark, matching).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that hold no copy of a test item. Items of fewer words than a seed are no reason to drop a document:
+    such a word or two stand in clean texts too. Rows with a null doc_id can't be told apart, and stay."""
+    long = F.size(F.split(F.trim(F.regexp_replace("text", r"[\s\p{Punct}]+", " ")), " ")) >= matching.seed
+    found = contaminated(docs.filter("doc_id is not null"), benchmark.filter(long), matching)
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

@@ -67,6 +67,15 @@ def test_edited_copies_blocks_and_odd_rows(spark):
     assert contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_items_shorter_than_a_seed_are_searched_whole(spark):
+    docs = [(1, "one zeta two"), (2, "a Zeta, eta b"), (3, "zeta x eta"), (4, "the whole item of five words here"), (5, "the whole thing of five words"), (None, "zeta eta")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "zeta eta"), (2, "the whole item of five words"), (3, "..."), (4, "two")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, round(r.score, 4)) for r in contaminated(df, bench, Matching(least_score=0.9)).collect())
+    assert got == [(0, 1, 1.0), (1, 4, 1.0), (2, 1, 1.0), (4, 2, 1.0)]
+    assert sorted(r.doc_id or 0 for r in keep_uncontaminated(df, bench, Matching(least_score=0.9)).collect()) == [0, 1, 2, 3, 5]
+
+
 def test_frequent_seeds_of_edited_copies_are_aligned(spark):
     # As in a large corpus: the item's other seeds occur once (in a whole copy), those of the edited copies far more often.
     words = [f"w{k}x" for k in range(22)]
