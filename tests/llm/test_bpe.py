@@ -44,3 +44,20 @@ def test_whole_table_nulls_extra_columns_and_long_text(spark):
     want = sorted((-1 if i is None else i, len(x), x, t or "") for i, t, _ in rows for x in [lib.encode(t or "", add_special_tokens=False).ids])
     assert got == want
     assert bpe_encode(df.limit(0), PATH).count() == 0
+
+
+def test_query_on_the_whole_table(spark):
+    import hashlib
+
+    from framelake.llm.queries import op4_bpe
+    from tests.conftest import SF
+
+    lib = library()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)))
+    got = op4_bpe(spark, SF)
+    assert dict(got.dtypes)["n_tokens"] == "bigint"
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()} == want

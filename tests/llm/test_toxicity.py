@@ -48,3 +48,73 @@ def test_toxic_sentences_late_in_long_texts_are_trained_on(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     known = spark.createDataFrame([(d, int(d % 3 == 0)) for d in range(90)], "doc_id long, toxic int")
     assert {r.doc_id: r.predicted for r in score_toxicity(docs, known).collect()} == {d: int(d % 3 == 0) for d in range(90)}
+
+
+def likelihood(theta, bags, labels, n, setting):
+    """Weighted log likelihood of noisy-or with a leak, less the penalty, by its definition."""
+    import math
+
+    n_pos = max(1.0, sum(labels))
+    n_neg = max(1.0, len(labels) - sum(labels))
+    total = 0.0
+    for bag, y in zip(bags, labels, strict=True):
+        clean = 1 - 1 / (1 + math.exp(-theta[n + 1]))
+        for sentence in bag:
+            clean *= 1 - 1 / (1 + math.exp(-theta[n] - sum(theta[f] for f in sentence)))
+        weight = 0.25 / (n_pos if y else n_neg) + 0.5 / len(labels)
+        total += weight * math.log(1 - clean if y else clean)
+    return total - setting.penalty / 2 * sum(x * x for x in theta)
+
+
+def test_fit_climbs_the_noisy_or_likelihood_by_plain_loops():
+    import numpy as np
+
+    from framelake.llm.toxicity import fit
+
+    rng = random.Random(7)
+    n = 4
+    bags = [[[f for f in range(n) if rng.random() < 0.4] for _ in range(rng.randint(0, 4))] for _ in range(25)]
+    bags = [[s for s in bag if s] for bag in bags]
+    labels = [int(any(0 in s for s in bag)) if rng.random() < 0.9 else 1 for bag in bags]
+    bag_of = np.array([d for d, bag in enumerate(bags) for _ in bag])
+    row = np.array([k for k, s in enumerate([s for bag in bags for s in bag]) for _ in s])
+    col = np.array([f for bag in bags for s in bag for f in s])
+    setting = Training(rounds=12, penalty=0.01)
+    got = fit({f"w{k}": k for k in range(n)}, labels, bag_of, row, col, setting)
+    theta, m, v = [0.0] * n + [-3.0, -3.0], [0.0] * (n + 2), [0.0] * (n + 2)
+    for t in range(1, setting.rounds + 1):
+        slope = []
+        for k in range(n + 2):
+            up, down = list(theta), list(theta)
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            slope.append((likelihood(up, bags, labels, n, setting) - likelihood(down, bags, labels, n, setting)) / 2e-5)
+        for k, g in enumerate(slope):
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            theta[k] += setting.rate * (m[k] / (1 - 0.9**t)) / ((v[k] / (1 - 0.999**t)) ** 0.5 + 1e-8)
+    assert np.allclose([got["weights"][f"w{k}"] for k in range(n)] + [got["bias"]], theta[: n + 1], atol=1e-3)
+    assert abs(got["leak"] - 1 / (1 + np.exp(-theta[n + 1]))) < 1e-4
+
+
+def test_scores_by_plain_loops(spark):
+    """The model that the operator trains, applied word by word; a score at the threshold counts."""
+    import math
+
+    from framelake.llm.toxicity import features, sentences, train
+
+    rows = [(d, ("fine words. you blockhead!! " if d % 3 == 0 else "fine words. good day. ") * (1 + d % 4)) for d in range(60)] + [(100, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(d, int(d % 3 == 0)) for d in range(60)], "doc_id long, toxic int")
+    model = train(docs, known)
+    want = {}
+    for d, text in rows:
+        clean = 1 - model["leak"]
+        for _, words in sentences(text or ""):
+            found = [sum(model["weights"][f] for f in features(w) if f in model["weights"]) for w in words if any(f in model["weights"] for f in features(w))]
+            if found:
+                clean *= 1 - 1 / (1 + math.exp(-max(-30.0, min(30.0, model["bias"] + sum(found)))))
+        want[d] = 1 - clean
+    got = {r.doc_id: r for r in score_toxicity(docs, known).collect()}
+    assert all(abs(got[d].score - p) < 1e-9 for d, p in want.items())
+    edge = Training(threshold=got[0].score)
+    assert {r.doc_id: r.predicted for r in score_toxicity(docs, known, edge).collect()}[0] == 1
