@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.operators.graph import connected_components
+from framelake.sources.scratch import materialise
+
+#: Groups that components of several candidates are dealt to.
+GROUPS = 256
 
 
 def iou_candidates(gt: DataFrame, found: DataFrame, threshold: float, key: list[str]) -> DataFrame:
@@ -49,12 +53,21 @@ def assign(gain: np.ndarray) -> list[tuple[int, int]]:
 
 def one_to_one(candidates: DataFrame, key: list[str]) -> DataFrame:
     """(key, gt_id, mask_id) of the assignment of least cost. Components of the candidate graph are independent, for
-    non-candidates all cost the same: single pairs match, others are solved one component a group."""
+    non-candidates all cost the same: pairs that have no other candidate match, other components are solved many to a group."""
+    candidates = materialise(candidates, "candidates")
+    alone = lambda c: F.count("*").over(Window.partitionBy(*key, c)) == 1
+    candidates = candidates.withColumn("single", alone("gt_id") & alone("mask_id"))
+    single, candidates = candidates.filter("single").select(*key, "gt_id", "mask_id"), materialise(candidates.filter(~F.col("single")).drop("single"), "several")
     node = lambda kind, c: F.struct(*key, F.lit(kind).alias("kind"), F.col(c).alias("id"))
     comp = connected_components(candidates.select(node(0, "gt_id").alias("a"), node(1, "mask_id").alias("b")))
     labelled = candidates.withColumn("id", node(0, "gt_id")).join(comp, "id")
 
     def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("hash", "ascending")])
+        cut = [k for k, (x, y) in enumerate(zip([None, *table.column("hash").to_pylist()], table.column("hash").to_pylist(), strict=False)) if x != y]
+        return pa.concat_tables([one(table.slice(a, b - a)) for a, b in zip(cut, [*cut[1:], table.num_rows], strict=True)])
+
+    def one(table: pa.Table) -> pa.Table:
         g, gi = np.unique(np.asarray(table.column("gt_id")), return_inverse=True)
         m, mi = np.unique(np.asarray(table.column("mask_id")), return_inverse=True)
         gain = np.zeros((len(g), len(m)))
@@ -65,7 +78,8 @@ def one_to_one(candidates: DataFrame, key: list[str]) -> DataFrame:
 
     types = dict(candidates.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*key, "gt_id", "mask_id"])
-    return labelled.groupBy("component").applyInArrow(solve, schema)
+    dealt = labelled.withColumn("hash", F.xxhash64("component")).withColumn("part", F.pmod("hash", F.lit(GROUPS))).drop("component", "id")
+    return single.unionByName(dealt.groupBy("part").applyInArrow(solve, schema))
 
 
 def scores(gt: DataFrame, found: DataFrame, threshold: float = 0.5, key: list[str] = ["video_id"]) -> DataFrame:  # noqa: B006

@@ -5,7 +5,7 @@ masks: (video_id, mask_id, px: sorted array of pixel numbers).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MASK = ["video_id", "mask_id"]
@@ -23,12 +23,13 @@ def _rare_first(masks: DataFrame) -> DataFrame:
     return rows.join(freq, ["video_id", "p"]).withColumn("place", F.row_number().over(Window.partitionBy(*MASK).orderBy("f", "p")))
 
 
-def overlap_pairs(masks: DataFrame, threshold: float, measure: str) -> DataFrame:
+def overlap_pairs(masks: DataFrame, threshold: float | Column, measure: str) -> DataFrame:
     """Pairs with overlap of at least `threshold`.
 
     measure 'iou' gives a < b with inter / union; 'contain' gives (a, b) both ways with inter / area of b. Candidates share
     one of the rare pixels that a mask can't do without: all but its share of (1 - threshold) pixels, so a pixel that
-    very many masks hold makes no pairs of them all. Then pixel arrays are intersected exactly.
+    very many masks hold makes no pairs of them all. Then pixel arrays are intersected exactly. threshold may be a column
+    of video_id.
     """
     ranked = _rare_first(masks)
     need = F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
@@ -48,10 +49,10 @@ def overlap_pairs(masks: DataFrame, threshold: float, measure: str) -> DataFrame
     return both.withColumn("score", score).filter(F.col("score") >= threshold)
 
 
-def radius_pairs(points: DataFrame, radius: float, key: list[str] = ["video_id"]) -> DataFrame:  # noqa: B006
+def radius_pairs(points: DataFrame, radius: float | Column, key: list[str] = ["video_id"]) -> DataFrame:  # noqa: B006
     """(key, a, b, dist) with a < b and dist <= radius, for points (key, id, cx, cy). Cells as wide as the radius; each
-    point meets the 3 by 3 cells around it."""
-    side = radius if radius > 0 else 1.0
+    point meets the 3 by 3 cells around it. radius may be a column of the key."""
+    side = F.when(F.lit(radius) > 0, F.lit(radius)).otherwise(1.0)
     cells = points.withColumns({"gx": F.floor(F.col("cx") / side), "gy": F.floor(F.col("cy") / side)})
     around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     near = cells.withColumn("d", F.explode(around)).select(*key, (F.col("gx") + F.col("d.dx")).alias("gx"), (F.col("gy") + F.col("d.dy")).alias("gy"), F.col("id").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.operators.evaluate import with_f1
-from framelake.operators.temporal import runs
+from framelake.operators.evaluate import scores, with_f1
+from framelake.operators.merge import Masks, complete, final_merge, merge_into, merged
+from framelake.operators.segment import frame_regions
+from framelake.operators.temporal import block_of, runs
+from framelake.sources.scratch import materialise
 
 GRID = ["min_area", "avg_area", "thresh_pmap", "thresh_com", "thresh_iou", "cons"]
 
@@ -79,32 +82,61 @@ def sparse_enough(pmap: DataFrame, thresholds: list[float], most: float = 0.1) -
     return wide.select("video_id", F.inline("s")).filter(F.col("ratio") <= most)
 
 
+def _regions_by_combination(pmap: DataFrame, ly: int, lists: dict[str, list]) -> DataFrame:
+    """Regions of every video and combination, whose video_id is a struct of the video and its parameters. Frames are
+    segmented once for each thresh_pmap; of one whose frames are too full (A16) there are none."""
+    cuts = lists["thresh_pmap"]
+    usable = sparse_enough(pmap, [(c + 1) / 256 for c in cuts]).select("video_id", F.col("threshold").alias("level"))
+    cut = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit((c + 1) / 256).alias("level")) for k, c in enumerate(cuts)]))
+    active = pmap.withColumn("cut", cut).filter(F.col("p") > F.col("cut.level")).withColumn("level", F.col("cut.level"))
+    active = active.join(F.broadcast(usable), ["video_id", "level"], "left_semi")  # a row a video and threshold
+    found = frame_regions(active.withColumn("video_id", F.col("video_id").cast("long") * len(cuts) + F.col("cut.k")), ly)
+    which = F.array(*map(F.lit, cuts))[F.pmod("video_id", F.lit(len(cuts))).cast("int")]
+    rest = [k for k in GRID if k not in ("thresh_pmap", "cons")]
+    each = found.withColumns({"thresh_pmap": which, "of": F.floor(F.col("video_id") / len(cuts))})
+    for k in rest:
+        each = each.withColumn(k, F.explode(F.array(*map(F.lit, lists[k]))))
+    return each.withColumn("video_id", F.struct(F.col("of").alias("video_id"), "thresh_pmap", *rest)).drop("of", "thresh_pmap", *rest)
+
+
+def _columns(base: dict) -> dict:
+    """Parameters, those of the grid read from video_id."""
+    return base | {k: F.col(f"video_id.{k}") for k in GRID if k not in ("thresh_pmap", "cons")} | {"cons": 1}
+
+
+def _grid_scores(found: Masks, gt: DataFrame, lists: dict[str, list]) -> DataFrame:
+    """Scores of every video and combination; those without any mask score 0."""
+    cons = F.explode(F.array(*map(F.lit, lists["cons"])))
+    ids = found.pixels.select("video_id", F.col("id").alias("mask_id"), "p")
+    passing = sweep_cons(found.times, lists["cons"], ["video_id", "id"]).select("video_id", F.col("id").alias("mask_id"), "cons")
+    wanted = gt.select(F.col("video_id").cast("long").alias("video_id"), "gt_id", "p")
+    for k in GRID:
+        wanted = wanted.withColumn(k, cons if k == "cons" else F.explode(F.array(*map(F.lit, lists[k]))))
+    inner = [k for k in GRID if k != "cons"]
+    wanted = wanted.select(F.struct("video_id", "thresh_pmap", *[k for k in inner if k != "thresh_pmap"]).alias("video_id"), "cons", "gt_id", "p")
+    got = scores(wanted, ids.join(passing, ["video_id", "mask_id"]), 0.5, ["video_id", "cons"]).filter("n_gt > 0")
+    return got.select("video_id.video_id", *[f"video_id.{k}" for k in inner], "cons", "recall", "precision", "f1")
+
+
 def grid_search(pmap: DataFrame, gt: DataFrame, ly: int, lists: dict[str, list], base: dict) -> DataFrame:
-    """Scores of every combination. Regions are segmented once for each thresh_pmap and filtered for each min_area;
-    run lengths are swept last, from one merge. thresh_pmap whose frames are too full score 0 (A16)."""
-    from functools import reduce
-
-    from framelake.functions.scalar import bucket_threshold
-    from framelake.operators.evaluate import scores
-    from framelake.operators.merge import complete
-    from framelake.operators.segment import frame_regions
-    from framelake.sources.scratch import materialise
-
-    out = []
-    for cut in lists["thresh_pmap"]:
-        level = (cut + 1) / 256
-        usable = sparse_enough(pmap, [level]).select("video_id")
-        regions = materialise(frame_regions(pmap.join(usable, "video_id", "left_semi").filter(F.col("p") > bucket_threshold(cut)), ly), "regions")
-        for least in lists["min_area"]:
-            for avg in lists["avg_area"]:
-                for com in lists["thresh_com"]:
-                    for iou in lists["thresh_iou"]:
-                        params = base | {"min_area": least, "avg_area": avg, "thresh_com": com, "thresh_iou": iou, "cons": 1}
-                        merged = complete(regions, ly, params)
-                        ids = merged.pixels.select("video_id", F.col("id").alias("mask_id"), "p")
-                        passing = sweep_cons(merged.times, lists["cons"], ["video_id", "id"]).select("video_id", F.col("id").alias("mask_id"), "cons")
-                        each = ids.join(passing, ["video_id", "mask_id"])
-                        wanted = gt.select("video_id", "gt_id", "p").withColumn("cons", F.explode(F.array(*map(F.lit, lists["cons"]))))
-                        got = scores(wanted, each, 0.5, ["video_id", "cons"])
-                        out.append(materialise(got.select("video_id", *[F.lit(params[k]).alias(k) for k in GRID if k not in ("cons", "thresh_pmap")], F.lit(cut).alias("thresh_pmap"), "cons", "recall", "precision", "f1"), "scores"))
-    return reduce(DataFrame.unionByName, out)
+    """Scores of every combination of lists (GRID), as one plan: the combination is part of every key, and run
+    lengths are swept last. pmap (video_id, t, x, y, p), gt (video_id, gt_id, p)."""
+    regions = materialise(_regions_by_combination(pmap, ly, lists), "regions")
+    return _grid_scores(complete(regions, ly, _columns(base)), gt, lists)
+
+
+def online_grid_search(pmap: DataFrame, gt: DataFrame, ly: int, lists: dict[str, list], base: dict, first: int, every: int) -> DataFrame:
+    """As grid_search(), with frames merged window by window (the first `first`, then `every` at a time), and once more at
+    the end. The loop is over windows; all combinations of a window are one plan."""
+    regions = materialise(_regions_by_combination(pmap, ly, lists).withColumn("window", block_of(F.col("t"), first, every)), "regions")
+    params, state = _columns(base), None
+    for k in range(int(regions.agg(F.max("window")).first()[0] or 0) + 1):
+        new = merged(regions.filter(F.col("window") == k).drop("window"), ly, params)
+        state = new if state is None else merge_into(state, new, params)
+        state = Masks(materialise(state.pixels, "pixels"), materialise(state.times, "times"))
+    return _grid_scores(final_merge(state, params), gt, lists)
+
+
+def cross_validated(each: DataFrame, strategy: str, params: list[str]) -> DataFrame:
+    """T5: from scores of every video and combination, the best combination of each fold by its training videos' mean."""
+    return best(mean_over_training(each, folds(each, strategy), params).withColumn("f1", F.round("f1", 9)), params)

@@ -337,3 +337,33 @@ def online_tracked_masks(spark, sf_dir):
     """As online_masks, with regions going to confirmed masks first."""
     masks, last = windows(spark, sf_dir, online.OnlineTracker, 2)
     return _summary(masks.finish(last))
+
+
+# Sweeps of all six parameters over embedding videos. Labelled masks are regions of each video's mean image.
+
+
+def swept(spark, sf_dir, search, *more):
+    v = v_emb(spark, sf_dir)
+    p = v.select("video_id", "t", "x", "y", F.col("v").alias("p"))
+    image = baseline.mean_image(v).filter("v > 0.02").withColumn("t", F.lit(0))
+    gt = segment.frame_regions(image, 8).select("video_id", F.col("seg").alias("gt_id"), "p")
+    lists = {"min_area": [1], "avg_area": [30], "thresh_pmap": [45, 60], "thresh_com": [1.0], "thresh_iou": [0.5, 0.7], "cons": [1, 2]}
+    return search(p, materialise(gt, "labelled"), 8, lists, {"thresh_mask": 0.5, "thresh_com0": 0.6}, *more)
+
+
+@query()
+def grid_search(spark, sf_dir):
+    out = swept(spark, sf_dir, tune.grid_search)
+    return out.select("video_id", *tune.GRID, r6("recall"), r6("precision"), r6("f1"))
+
+
+@query()
+def grid_search_best(spark, sf_dir):
+    """The best combination of each leave-one-out fold."""
+    return tune.cross_validated(materialise(swept(spark, sf_dir, tune.grid_search), "scores"), "leave_one_out", tune.GRID).select("cv", *tune.GRID, r6("f1"))
+
+
+@query()
+def online_grid_search(spark, sf_dir):
+    out = swept(spark, sf_dir, tune.online_grid_search, 25, 25)
+    return out.select("video_id", *tune.GRID, r6("recall"), r6("precision"), r6("f1"))
