@@ -56,13 +56,17 @@ def link_families(members: DataFrame, linker: Linker, distance: Callable[[bytes,
     big = stats.filter("big")
     quiet = members.join(big.select("family"), "family", "left_anti") if n_big else members
     edges = quiet.groupBy(F.pmod(F.xxhash64("family"), F.lit(n_groups)).alias("g")).applyInArrow(small, EDGES)
-    out = materialise(edges.unionByName(_big_links(members, big, linker, distance, bound, ratio)) if n_big else edges, "links")
-    drop(members)
+    tables = [members]
+    out = materialise(edges.unionByName(_big_links(members, big, linker, distance, bound, ratio, tables)) if n_big else edges, "links")
+    for t in tables:
+        drop(t)
     return out
 
 
-def _big_links(members: DataFrame, big: DataFrame, linker: Linker, distance, bound: int, ratio: float) -> DataFrame:
+def _big_links(members: DataFrame, big: DataFrame, linker: Linker, distance, bound: int, ratio: float, tables: list[DataFrame]) -> DataFrame:
+    """Links of big families; tables gets what is written for them and may go afterwards."""
     rows = materialise(members.join(big, "family"), "big")
+    tables.append(rows)
     # The pivot's row goes to as many parts of its family as the family's size asks for.
     parts = F.greatest(F.ceil(F.col("w") / bound), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
     pivots = rows.filter(F.col("id") == F.col("family")).select("family", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("payload").alias("pivot"))
@@ -75,6 +79,7 @@ def _big_links(members: DataFrame, big: DataFrame, linker: Linker, distance, bou
             yield pa.RecordBatch.from_arrays([*keep, pa.array([not x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], names=["family", "id", "payload", "weight", "open", "distance"])
 
     held = materialise(dealt.join(pivots, ["family", "part"]).mapInArrow(compare, "family long, id long, payload binary, weight long, open boolean, distance double"), "pivoted")
+    tables.append(held)
     star = held.filter(~F.col("open") & (F.col("id") != F.col("family"))).select(F.col("id").alias("a"), F.col("family").alias("b"))
     # Linked weights are one band apart at most (a band is a little wider than the ratio, for rounding).
     banded = held.withColumn("band", F.floor(F.log(F.greatest(F.col("weight"), F.lit(1))) / (math.log(1 / ratio) * 1.001)).cast("int"))

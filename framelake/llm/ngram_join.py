@@ -344,6 +344,7 @@ def ngram_jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), task_shi
     candidates = materialise(star.distinct(), "candidates")
     drop(replies)
     families = materialise(connected_components(candidates), "families").toDF("doc_id", "family")
+    drop(candidates)
     # Families grow with the documents: a sort-merge join at any size.
     members = text_bytes(docs).join(families.hint("merge"), "doc_id").select("family", "doc_id", "text").mapInArrow(_sets(sim.width), "family long, id long, payload binary, weight long")
     links = link_families(members, tile_linker(sim), pivot_distance(sim), task_shingles, sim.num / sim.den)
