@@ -203,9 +203,11 @@ def test_grid_search_scores_every_combination(spark):
     p = [(0, t, x, y, 0.9 if x < 2 and y < 2 else 0.0) for t in range(4) for x in range(8) for y in range(8)]
     pmap = spark.createDataFrame(p, "video_id long, t long, x int, y int, p double")
     gt = spark.createDataFrame([(0, 1, x * 8 + y) for x in range(2) for y in range(2)], "video_id long, gt_id long, p long")
-    lists = {"min_area": [2], "avg_area": [50], "thresh_pmap": [150], "thresh_com": [2.0], "thresh_iou": [0.5], "cons": [1, 4, 5]}
-    got = {r.cons: r.f1 for r in tune.grid_search(pmap, gt, 8, lists, {"thresh_mask": 0.5, "thresh_com0": 1.0}).collect()}
-    assert got == {1: 1.0, 4: 1.0, 5: 0.0}
+    lists = {"min_area": [2, 9], "avg_area": [50], "thresh_pmap": [150, 254], "thresh_com": [2.0], "thresh_iou": [0.5], "cons": [1, 4, 5]}
+    base = {"thresh_mask": 0.5, "thresh_com0": 1.0}
+    want = {(a, c, n): float(a == 2 and c == 150 and n < 5) for a in (2, 9) for c in (150, 254) for n in (1, 4, 5)}
+    for out in (tune.grid_search(pmap, gt, 8, lists, base), tune.online_grid_search(pmap, gt, 8, lists, base, 2, 2)):
+        assert {(r.min_area, r.thresh_pmap, r.cons): r.f1 for r in out.collect()} == want
 
 
 def test_template_of_lone_spikes(spark):
