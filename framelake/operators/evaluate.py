@@ -58,7 +58,7 @@ def one_to_one(candidates: DataFrame, key: list[str]) -> DataFrame:
     alone = lambda c: F.count("*").over(Window.partitionBy(*key, c)) == 1
     candidates = candidates.withColumn("single", alone("gt_id") & alone("mask_id"))
     single, candidates = candidates.filter("single").select(*key, "gt_id", "mask_id"), materialise(candidates.filter(~F.col("single")).drop("single"), "several")
-    node = lambda kind, c: F.struct(*key, F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    node = lambda kind, c: F.xxhash64(*key, F.lit(kind), c)
     comp = connected_components(candidates.select(node(0, "gt_id").alias("a"), node(1, "mask_id").alias("b")))
     labelled = candidates.withColumn("id", node(0, "gt_id")).join(comp, "id")
 

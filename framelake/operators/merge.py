@@ -78,9 +78,12 @@ def centres(pixels: DataFrame, ly: int) -> DataFrame:
 
 
 def _classes(pairs: DataFrame, masks: DataFrame) -> DataFrame:
-    """(video_id, id, leader): connected sets of pairs, alone masks leading themselves."""
-    edges = pairs.select(F.struct("video_id", F.col("a").alias("id")).alias("a"), F.struct("video_id", F.col("b").alias("id")).alias("b"))
-    found = connected_components(edges).select("id.video_id", "id.id", F.col("component.id").alias("leader"))
+    """(video_id, id, leader): connected sets of pairs, alone masks leading themselves. Nodes are 64-bit hashes of video and id."""
+    edges = pairs.select(F.xxhash64("video_id", "a").alias("a"), F.xxhash64("video_id", "b").alias("b"))
+    nodes = pairs.select("video_id", F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("node", F.xxhash64("video_id", "id"))
+    labelled = nodes.join(connected_components(edges).toDF("node", "component"), "node")
+    leader = labelled.groupBy("component").agg(F.min("id").alias("leader"))
+    found = labelled.join(leader, "component").select("video_id", "id", "leader")
     return masks.select("video_id", "id").join(found, ["video_id", "id"], "left").withColumn("leader", F.coalesce("leader", "id"))
 
 
