@@ -10,8 +10,10 @@ from framelake.llm.bpe import bpe_encode
 from framelake.llm.decontaminate import contaminated
 from framelake.llm.hilbert_shards import hilbert_shards
 from framelake.llm.line_dedup import line_dedup, without_lines
+from framelake.llm.merkle import merkle_manifest
 from framelake.llm.ngram_join import Similarity, ngram_jaccard_join
 from framelake.llm.quality_rules import quality_rules
+from framelake.llm.simhash_vptree import simhash_dedup
 from framelake.llm.substring_dedup import substring_dedup
 from framelake.llm.toxicity import score_toxicity
 from framelake.llm.url_rules import judge_urls
@@ -81,3 +83,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
     kept = F.coalesce(without_lines(), F.lit(""))
     return found.select("doc_id", lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that it gives after the tampering of one in seven."""
+    digest = lambda c: F.lower(F.hex(c))
+    docs = table(spark, sf_dir, "documents")
+    found = merkle_manifest(docs, {"n_chars": F.col("n_chars") + 1}, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+    return found.select("doc_id", *(digest(c).alias(c) for c in ("leaf", "subroot", "root")), digest("proof").alias("proof_sha256"), digest("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op12_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose SimHash fingerprints are linked at four differing bits or fewer."""
+    found = simhash_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
