@@ -9,6 +9,14 @@ ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrst
 #: Value of the k-th 5 bits of a string of 0 and 1.
 BASE32_DIGIT = " + ".join(f"substr(bits, 5 * k + {j + 1}, 1)::INTEGER * {16 >> j}" for j in range(5))
 
+#: All terms of a text, A-Z in lower case.
+TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(ASCII_LOWER.format("coalesce(text, '')"))
+#: A value as its UTF-8 byte count, a colon and itself, or - if null; the digest of a document's values.
+FIELD = "coalesce(concat(strlen(({})::VARCHAR), ':') || ({})::VARCHAR, '-')"
+LEAF = "sha256(concat(" + ", ".join(FIELD.format(c, c) for c in ("doc_id", "source", "lang", "{n}", "text")) + "))"
+#: CRC-32 of the decimal doc_id, bit by bit.
+CRC32 = "xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda a, c: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384), xor(a, c)), 4294967295::BIGINT))"
+
 SQL = {
     "op1_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
@@ -88,4 +96,39 @@ SQL = {
         SELECT v.page_id, host, path, rule, coalesce(listed, label, 'allow') AS verdict, array_to_string(items, ' ') AS matched
         FROM v LEFT JOIN best ON best.page_id = v.page_id AND k = 1
     """,
+    "op11_merkle_manifest": rf"""
+        WITH RECURSIVE base AS (SELECT doc_id, lang, {LEAF.format(n="n_chars")} AS leaf, CASE WHEN {CRC32} % 7 = 0 THEN {LEAF.format(n="n_chars + 1")} END AS other FROM documents),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM base),
+        up(lang, level, i, h) AS (
+            SELECT lang, 0, i, leaf FROM placed
+            UNION ALL
+            SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS m FROM up) WHERE m > 1 GROUP BY lang, level, i // 2),
+        sub AS (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT lang, level AS height, h AS subroot FROM up QUALIFY level = max(level) OVER (PARTITION BY lang))),
+        top(level, i, h) AS (
+            SELECT 0, g, subroot FROM sub
+            UNION ALL
+            SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS m FROM top) WHERE m > 1 GROUP BY level, i // 2),
+        whole AS (SELECT level AS top_height, h AS root FROM top ORDER BY level DESC LIMIT 1),
+        doc AS (SELECT row_number() OVER () AS k, placed.*, subroot, height, g, root, top_height FROM placed JOIN sub ON sub.lang IS NOT DISTINCT FROM placed.lang, whole),
+        step AS (SELECT k, x.level AS s, (doc.i >> x.level) & 1 AS side, up.h AS sibling FROM doc, LATERAL (SELECT unnest(range(height)) AS level) x LEFT JOIN up ON up.lang IS NOT DISTINCT FROM doc.lang AND up.level = x.level AND up.i = xor(doc.i >> x.level, 1)
+                 UNION ALL
+                 SELECT k, height + x.level, (g >> x.level) & 1, top.h FROM doc, LATERAL (SELECT unnest(range(top_height)) AS level) x LEFT JOIN top ON top.level = x.level AND top.i = xor(g >> x.level, 1)),
+        proofs AS (SELECT k, sha256(coalesce(string_agg(sibling, '' ORDER BY s), '')) AS proof FROM doc LEFT JOIN step USING (k) GROUP BY k),
+        fold(k, s, h) AS (
+            SELECT k, 0, coalesce(other, leaf) FROM doc
+            UNION ALL
+            SELECT fold.k, fold.s + 1, sha256(CASE WHEN side = 1 THEN concat(sibling, h) ELSE concat(h, sibling) END) FROM fold JOIN step ON step.k = fold.k AND step.s = fold.s)
+        SELECT doc_id, leaf, subroot, root, proof AS proof_sha256, h AS folded_root, h = root AS verified
+        FROM doc JOIN proofs USING (k) JOIN fold ON fold.k = doc.k AND fold.s = height + top_height
+    """,
+    "op13_k2_treap": rf"""
+        WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+        s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d),
+        tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+        weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, s GROUP BY term, docs),
+        q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+        scored AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+                   FROM q JOIN weight USING (term) JOIN tf USING (term), s GROUP BY item_id, doc_id)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 50
+    """,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framelake.llm.bpe import bpe_encode
 from framelake.llm.decontaminate import contaminated
 from framelake.llm.hilbert_shards import hilbert_shards
+from framelake.llm.k2_treap import ranked_search
 from framelake.llm.line_dedup import line_dedup, without_lines
 from framelake.llm.merkle import merkle_manifest
 from framelake.llm.ngram_join import Similarity, ngram_jaccard_join
@@ -97,3 +98,8 @@ def op12_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose SimHash fingerprints are linked at four differing bits or fewer."""
     found = simhash_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op13_k2_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
