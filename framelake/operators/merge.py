@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.operators.graph import connected_components
-from framelake.operators.joins import as_masks, best_match, overlap_pairs, radius_pairs
+from framelake.operators.joins import as_masks, best_match, overlap_pairs
+from framelake.operators.leaders import leaders, members
 from framelake.operators.temporal import has_run
 from framelake.sources.scratch import materialise
 
@@ -29,22 +30,6 @@ def numbered(regions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return segments, at.select("video_id", "id", "p", F.lit(1.0).alias("w")), at.select("video_id", "id", "t").distinct()
 
 
-def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """First-come leaders of a graph: a node leads if no smaller neighbour does. Rounds: nodes with no undecided smaller
-    neighbour lead, their neighbours are covered. nodes (video_id, id), pairs (video_id, a, b), a < b."""
-    pairs = materialise(pairs.select("video_id", "a", "b"), "pairs")
-    open_, chosen = materialise(nodes.select("video_id", "id"), "open"), None
-    while True:
-        left = open_.select("video_id", F.col("id").alias("a"))
-        live = pairs.join(left, ["video_id", "a"], "left_semi").join(open_.select("video_id", F.col("id").alias("b")), ["video_id", "b"], "left_semi")
-        new = materialise(open_.join(live.select("video_id", F.col("b").alias("id")).distinct(), ["video_id", "id"], "left_anti"), "leaders")
-        chosen = new if chosen is None else chosen.unionByName(new)
-        covered = live.join(new.select("video_id", F.col("id").alias("a")), ["video_id", "a"], "left_semi").select("video_id", F.col("b").alias("id"))
-        open_ = materialise(open_.join(new.unionByName(covered).distinct(), ["video_id", "id"], "left_anti"), "open")
-        if open_.isEmpty():
-            return chosen
-
-
 def gather(pixels: DataFrame, times: DataFrame, membership: DataFrame) -> Masks:
     """Sum the members' pixel weights and unite their times. membership (video_id, id, leader)."""
     to = ["video_id", "leader"]
@@ -53,17 +38,13 @@ def gather(pixels: DataFrame, times: DataFrame, membership: DataFrame) -> Masks:
     return Masks(px.withColumnRenamed("leader", "id"), ts.withColumnRenamed("leader", "id"))
 
 
-def cluster(segments: DataFrame, radius: float, nearest: bool) -> DataFrame:
-    """M2, M3: (video_id, id, leader). Leaders come from whole segments; every other segment joins its smallest (M2) or its
-    nearest (M3; ties to the smaller) leader within the radius, or is dropped if there is none."""
-    pairs = materialise(radius_pairs(segments, radius), "radius")
-    core = segments.filter("whole").select("video_id", "id")
-    cores = pairs.join(core.select("video_id", F.col("id").alias("a")), ["video_id", "a"], "left_semi").join(core.select("video_id", F.col("id").alias("b")), ["video_id", "b"], "left_semi")
-    lead = materialise(leaders(core, cores), "lead")
-    both = pairs.select("video_id", F.col("a").alias("leader"), F.col("b").alias("id"), "dist").unionByName(pairs.select("video_id", F.col("b").alias("leader"), F.col("a").alias("id"), "dist"))
-    near = both.join(lead.select("video_id", F.col("id").alias("leader")), ["video_id", "leader"], "left_semi").join(lead, ["video_id", "id"], "left_anti")
-    pick = F.min_by("leader", F.struct("dist", "leader")) if nearest else F.min("leader")
-    return near.groupBy("video_id", "id").agg(pick.alias("leader")).unionByName(lead.select("video_id", "id", F.col("id").alias("leader")))
+def cluster(segments: DataFrame, radius: float | Column, nearest: bool) -> DataFrame:
+    """M2, M3: (video_id, id, leader). Leaders come from whole segments; every segment joins its smallest (M2) or its
+    nearest (M3; ties to the smaller) leader within the radius, or is dropped if there is none. radius may be a column of
+    video_id."""
+    points = materialise(segments.select("video_id", "id", "cx", "cy", "whole", F.lit(radius).cast("double").alias("r")), "points")
+    lead = leaders(points.filter("whole"))
+    return members(points.drop("whole"), lead, nearest)
 
 
 def binarised(pixels: DataFrame, threshold: float) -> DataFrame:
