@@ -58,7 +58,7 @@ def centres(pixels: DataFrame, ly: int) -> DataFrame:
     return pixels.groupBy("video_id", "id").agg(F.avg(F.expr(f"p div {ly}")).alias("cx"), F.avg(F.expr(f"p % {ly}")).alias("cy"), F.count("*").alias("area"), F.lit(True).alias("whole"))
 
 
-def _classes(pairs: DataFrame, masks: DataFrame) -> DataFrame:
+def classes(pairs: DataFrame, masks: DataFrame) -> DataFrame:
     """(video_id, id, leader): connected sets of pairs, alone masks leading themselves. Nodes are 64-bit hashes of video and id."""
     edges = pairs.select(F.xxhash64("video_id", "a").alias("a"), F.xxhash64("video_id", "b").alias("b"))
     nodes = pairs.select("video_id", F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("node", F.xxhash64("video_id", "id"))
@@ -75,17 +75,21 @@ def _as_masks(pixels: DataFrame) -> DataFrame:
 def iou_merge(m: Masks, threshold_mask: float, threshold_iou: float) -> Masks:
     """M4: masks joined by chains of IoU >= threshold become one, led by the smallest id."""
     masks = materialise(_as_masks(binarised(m.pixels, threshold_mask)), "masks")
-    member = _classes(overlap_pairs(masks, threshold_iou, "iou"), masks.withColumnRenamed("mask_id", "id"))
+    member = classes(overlap_pairs(masks, threshold_iou, "iou"), masks.withColumnRenamed("mask_id", "id"))
     return gather(m.pixels, m.times, member)
 
 
-def containment_classes(masks: DataFrame, avg_area: float, threshold: float) -> DataFrame:
-    """M5: (video_id, id, leader). Of a pair with inter / area_b >= threshold the larger mask is dropped if it is above
-    avg_area (equal ones both); pairs of smaller masks join."""
-    pairs = materialise(overlap_pairs(masks, threshold, "contain"), "contain")
+def contained(pairs: DataFrame, ids: DataFrame, avg_area: float | Column) -> DataFrame:
+    """M5: (video_id, id, leader) of masks `ids`, given their containment pairs. Of a pair the larger mask is dropped if it is
+    above avg_area (equal ones both); pairs of smaller masks join. avg_area may be a column of video_id."""
     drop = pairs.filter(F.greatest("area_a", "area_b") > avg_area).select("video_id", F.when(F.col("area_b") > F.col("area_a"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
     joined = pairs.filter(F.greatest("area_a", "area_b") <= avg_area)
-    return _classes(joined, masks.withColumnRenamed("mask_id", "id")).join(drop, ["video_id", "id"], "left_anti")
+    return classes(joined, ids).join(drop, ["video_id", "id"], "left_anti")
+
+
+def containment_classes(masks: DataFrame, avg_area: float, threshold: float) -> DataFrame:
+    """M5 over masks: pairs with inter / area_b >= threshold."""
+    return contained(materialise(overlap_pairs(masks, threshold, "contain"), "contain"), masks.withColumnRenamed("mask_id", "id"), avg_area)
 
 
 def containment_merge(m: Masks, threshold_mask: float, avg_area: float, threshold: float) -> Masks:

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.scalar import bucket
 from framelake.operators.evaluate import scores, with_f1
-from framelake.operators.merge import Masks, complete, final_merge, merge_into, merged
+from framelake.operators.merge import Masks, binarised, final_merge, merge_into
+from framelake.operators.score import score_frames
 from framelake.operators.segment import frame_regions
 from framelake.operators.temporal import block_of, runs
-from framelake.sources.scratch import materialise
+from framelake.plans import stages
+from framelake.sources.frames import unpack
+from framelake.sources.scratch import drop, materialise
 
 GRID = ["min_area", "avg_area", "thresh_pmap", "thresh_com", "thresh_iou", "cons"]
 
@@ -82,58 +86,62 @@ def sparse_enough(pmap: DataFrame, thresholds: list[float], most: float = 0.1) -
     return wide.select("video_id", F.inline("s")).filter(F.col("ratio") <= most)
 
 
-def _regions_by_combination(pmap: DataFrame, ly: int, lists: dict[str, list]) -> DataFrame:
-    """Regions of every video and combination, whose video_id is a struct of the video and its parameters. Frames are
-    segmented once for each thresh_pmap; of one whose frames are too full (A16) there are none."""
-    cuts = lists["thresh_pmap"]
+def _regions_by_cut(pmap: DataFrame, ly: int, cuts: list) -> DataFrame:
+    """Regions of every video and thresh_pmap, which together are the key. Of a video whose frames are too full above a
+    threshold (A16) there are none."""
     usable = sparse_enough(pmap, [(c + 1) / 256 for c in cuts]).select("video_id", F.col("threshold").alias("level"))
     cut = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit((c + 1) / 256).alias("level")) for k, c in enumerate(cuts)]))
     active = pmap.withColumn("cut", cut).filter(F.col("p") > F.col("cut.level")).withColumn("level", F.col("cut.level"))
     active = active.join(F.broadcast(usable), ["video_id", "level"], "left_semi")  # a row a video and threshold
     found = frame_regions(active.withColumn("video_id", F.col("video_id").cast("long") * len(cuts) + F.col("cut.k")), ly)
     which = F.array(*map(F.lit, cuts))[F.pmod("video_id", F.lit(len(cuts))).cast("int")]
-    rest = [k for k in GRID if k not in ("thresh_pmap", "cons")]
-    each = found.withColumns({"thresh_pmap": which, "of": F.floor(F.col("video_id") / len(cuts))})
-    for k in rest:
-        each = each.withColumn(k, F.explode(F.array(*map(F.lit, lists[k]))))
-    return each.withColumn("video_id", F.struct(F.col("of").alias("video_id"), "thresh_pmap", *rest)).drop("of", "thresh_pmap", *rest)
-
-
-def _columns(base: dict) -> dict:
-    """Parameters, those of the grid read from video_id."""
-    return base | {k: F.col(f"video_id.{k}") for k in GRID if k not in ("thresh_pmap", "cons")} | {"cons": 1}
+    return found.withColumn("video_id", F.struct(F.floor(F.col("video_id") / len(cuts)).alias("video_id"), which.alias("thresh_pmap")))
 
 
 def _grid_scores(found: Masks, gt: DataFrame, lists: dict[str, list]) -> DataFrame:
     """Scores of every video and combination; those without any mask score 0."""
-    cons = F.explode(F.array(*map(F.lit, lists["cons"])))
     ids = found.pixels.select("video_id", F.col("id").alias("mask_id"), "p")
     passing = sweep_cons(found.times, lists["cons"], ["video_id", "id"]).select("video_id", F.col("id").alias("mask_id"), "cons")
     wanted = gt.select(F.col("video_id").cast("long").alias("video_id"), "gt_id", "p")
     for k in GRID:
-        wanted = wanted.withColumn(k, cons if k == "cons" else F.explode(F.array(*map(F.lit, lists[k]))))
-    inner = [k for k in GRID if k != "cons"]
-    wanted = wanted.select(F.struct("video_id", "thresh_pmap", *[k for k in inner if k != "thresh_pmap"]).alias("video_id"), "cons", "gt_id", "p")
+        wanted = wanted.withColumn(k, F.explode(F.array(*map(F.lit, lists[k]))))
+    wanted = wanted.select(F.struct("video_id", *stages.ORDER).alias("video_id"), "cons", "gt_id", "p")
     got = scores(wanted, ids.join(passing, ["video_id", "mask_id"]), 0.5, ["video_id", "cons"]).filter("n_gt > 0")
-    return got.select("video_id.video_id", *[f"video_id.{k}" for k in inner], "cons", "recall", "precision", "f1")
+    return got.select("video_id.*", "cons", "recall", "precision", "f1")
 
 
 def grid_search(pmap: DataFrame, gt: DataFrame, ly: int, lists: dict[str, list], base: dict) -> DataFrame:
-    """Scores of every combination of lists (GRID), as one plan: the combination is part of every key, and run
-    lengths are swept last. pmap (video_id, t, x, y, p), gt (video_id, gt_id, p)."""
-    regions = materialise(_regions_by_combination(pmap, ly, lists), "regions")
-    return _grid_scores(complete(regions, ly, _columns(base)), gt, lists)
+    """Scores of every combination of lists (GRID) as a tree of stages (stages.merged); run lengths are swept last.
+    pmap (video_id, t, x, y, p), gt (video_id, gt_id, p)."""
+    m = stages.merged(materialise(_regions_by_cut(pmap, ly, lists["thresh_pmap"]), "regions"), ly, lists, base)
+    return _grid_scores(Masks(binarised(m.pixels, base["thresh_mask"]), m.times), gt, lists)
+
+
+def scored_grid_search(packed: DataFrame, scorer, gt: DataFrame, ly: int, lists: dict[str, list], base: dict) -> DataFrame:
+    """T4: from packed SNR frames (video_id, t, px) to scores of every combination: a user's scorer gives probabilities (N1),
+    which are put into 256 steps (P6) and swept. thresh_pmap counts in those steps."""
+    scored = unpack(score_frames(packed, scorer), ly)
+    p = (bucket(F.col("v")) + F.lit(0.5)) / 256
+    return grid_search(scored.select("video_id", "t", "x", "y", p.alias("p")), gt, ly, lists, base)
 
 
 def online_grid_search(pmap: DataFrame, gt: DataFrame, ly: int, lists: dict[str, list], base: dict, first: int, every: int) -> DataFrame:
     """As grid_search(), with frames merged window by window (the first `first`, then `every` at a time), and once more at
-    the end. The loop is over windows; all combinations of a window are one plan."""
-    regions = materialise(_regions_by_combination(pmap, ly, lists).withColumn("window", block_of(F.col("t"), first, every)), "regions")
-    params, state = _columns(base), None
-    for k in range(int(regions.agg(F.max("window")).first()[0] or 0) + 1):
-        new = merged(regions.filter(F.col("window") == k).drop("window"), ly, params)
-        state = new if state is None else merge_into(state, new, params)
-        state = Masks(materialise(state.pixels, "pixels"), materialise(state.times, "times"))
+    the end. The windows' own merges (M8) are one tree of stages, with the window in the key; the loop joins each
+    window's masks, a folder of their own, into those before."""
+    regions = _regions_by_cut(pmap, ly, lists["thresh_pmap"]).withColumn("window", block_of(F.col("t"), first, every))
+    regions = materialise(regions.withColumn("video_id", F.struct("video_id.video_id", "window", "video_id.thresh_pmap")).drop("window"), "regions")
+    m = stages.merged(regions, ly, lists, base)
+    of_window = lambda t: t.withColumns({"window": F.col("video_id.window"), "video_id": F.struct(*[f"video_id.{k}" for k in ("video_id", *stages.ORDER)])})
+    pixels, times = (materialise(of_window(t), "windows", by="window") for t in m)
+    params, state = base | {"thresh_iou": F.col("video_id.thresh_iou"), "avg_area": F.col("video_id.avg_area"), "cons": 1}, None
+    for k in range(int(pixels.agg(F.max("window")).first()[0] or 0) + 1):
+        new = Masks(*(t.filter(F.col("window") == k).drop("window") for t in (pixels, times)))
+        joined = new if state is None else merge_into(state, new, params)
+        after = Masks(materialise(joined.pixels, "pixels"), materialise(joined.times, "times"))
+        for t in state or ():
+            drop(t)
+        state = after
     return _grid_scores(final_merge(state, params), gt, lists)
 
 

@@ -29,13 +29,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/framelake/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends here, and a lost executor
-    costs no recomputation beyond this table."""
+    costs no recomputation beyond this table. by: a column that gets a folder a value, so that a reader of one opens no
+    other."""
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._framelake_path = path
     return out
