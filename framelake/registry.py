@@ -47,10 +47,14 @@ def v_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.events_as_frames(table(spark, sf_dir, "events"), HOUR, WIDTH)
 
 
-def v_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     t = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return src.unpack(e.select(F.col("label").cast("long").alias("video_id"), t.cast("long").alias("t"), F.col("embedding").alias("px")), 8)
+    return e.select(F.col("label").cast("long").alias("video_id"), t.cast("long").alias("t"), F.col("embedding").alias("px"))
+
+
+def v_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.unpack(packed_emb(spark, sf_dir), 8)
 
 
 def emb_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,16 +446,6 @@ def session_activity(spark, sf_dir):
     return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query(f"WITH {VD}, {FIR} SELECT pix, t::BIGINT AS t, round(v, 6) AS v FROM fir")
-def stream_fir_equals_batch(spark, sf_dir):
-    """Daily frames, written as a table and streamed through the stateful filter."""
-    dense = materialise(v_day(spark, sf_dir).select("pix", "t", "v"), "frames")
-    stream = spark.readStream.schema(dense.schema).parquet(dense._framelake_path)
-    out = new_path(spark, "stream")
-    online.run_available(online.streaming_fir(stream, KERNEL, ["pix"]), f"{out}/rows", f"{out}/state")
-    return spark.read.schema("pix long, t long, v double").parquet(f"{out}/rows").select("pix", "t", r6("v"))
-
-
 @query(f"WITH {EMB} SELECT video_id, max(t) + 1 AS nt, max(x) + 1 AS lx, max(y) + 1 AS ly FROM emb GROUP BY video_id")
 def video_dims(spark, sf_dir):
     dims = src.video_dims(v_emb(spark, sf_dir))

@@ -10,9 +10,10 @@ from framelake.functions import scalar
 from framelake.operators import baseline, merge, score, segment, temporal, traces
 from framelake.operators.joins import as_masks
 from framelake.plans import pipeline, tune
-from framelake.registry import EMB, FIR, KERNEL, REG, SCORES, SNR, TRACE, VD, WIDTH, base, clusters, emb_regions, grouped_pixels, query, r6, scored_grid, single_pixels, v_day, v_emb
+from framelake.registry import EMB, FIR, KERNEL, REG, SCORES, SNR, TRACE, VD, WIDTH, base, clusters, emb_regions, grouped_pixels, packed_emb, query, r6, scored_grid, single_pixels, v_day, v_emb
 from framelake.sources import frames as src
 from framelake.sources.scratch import materialise, new_path
+from framelake.streaming import masks as live
 from framelake.streaming import online
 
 # Sources and sinks.
@@ -277,13 +278,26 @@ def tracked_regions(spark, sf_dir):
 # Streams over stored frames.
 
 
-def frame_stream(spark, frames, transform):
-    """Store frames, stream them through a transformation into a sink, and read the sink."""
-    stored = materialise(frames, "frames")
-    result = transform(spark.readStream.schema(stored.schema).parquet(stored._framelake_path))
+#: Frames of a stored file, and how late a file of frames may come: files are written, and so read, two by two in turned order.
+FILE_FRAMES, DELAY = 7, 14
+
+
+def frame_stream(spark, frames, transform, key):
+    """Store frames in files of FILE_FRAMES frames, of which every two are swapped, stream them a file at a time through a
+    transformation into a sink, and read the sink. Frames without any value but the last are left out: they are gaps. A
+    closing row, of a key and a time of its own, lets the last timers pass."""
+    frames = materialise(frames, "frames")
+    path, last = new_path(spark, "files"), frames.agg(F.max("t")).first()[0] or 0
+    parts = [k ^ 1 for k in range(last // FILE_FRAMES + 2)]
+    closing = frames.limit(1).select(*[(F.lit(last + 10 * DELAY) if c == "t" else F.lit(-1) if c in key else F.col(c)).cast(k).alias(c) for c, k in frames.dtypes])
+    for part in parts:
+        mine = frames.filter((F.col("t") >= part * FILE_FRAMES) & (F.col("t") < (part + 1) * FILE_FRAMES) & ((F.col("v") != 0) | (F.col("t") == last)))
+        mine.coalesce(1).write.mode("append").parquet(path)
+    closing.coalesce(1).write.mode("append").parquet(path)
+    result = transform(spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path))
     out = new_path(spark, "stream")
     online.run_available(result, f"{out}/rows", f"{out}/state")
-    return spark.read.schema(result.schema).parquet(f"{out}/rows")
+    return spark.read.schema(result.schema).parquet(f"{out}/rows").filter(" and ".join(f"{c} >= 0" for c in key))
 
 
 @query(f"WITH {VD} SELECT x, y, t::BIGINT AS t, round(CASE WHEN noise IS NULL THEN 0.0 ELSE (v - med) / noise END, 6) AS snr FROM vid JOIN {base('(SELECT * FROM vid WHERE t < 10)')} b USING (pix)")
@@ -291,33 +305,47 @@ def stream_fixed_baseline(spark, sf_dir):
     """Streamed frames against the baseline of the first ten."""
     v = materialise(v_day(spark, sf_dir).select("video_id", "t", "x", "y", "v"), "frames")
     known = materialise(online.initial_baseline(v, 10), "baseline")
-    return frame_stream(spark, v, lambda s: online.online_snr(s, known)).select("x", "y", "t", r6("snr"))
+    stream = spark.readStream.schema(v.schema).parquet(v._framelake_path)
+    out = new_path(spark, "stream")
+    online.run_available(online.online_snr(stream, known), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows").select("x", "y", "t", r6("snr"))
 
 
 @query(
     f"WITH {VD}, k AS (SELECT *, CASE WHEN t < 8 THEN 0 ELSE 1 + (t - 8) // 7 END AS block FROM vid), b AS {base('k', 'pix, block')} SELECT k.pix, t::BIGINT AS t, round(CASE WHEN noise IS NULL THEN 0.0 ELSE (v - med) / noise END, 6) AS snr FROM k JOIN b ON b.pix = k.pix AND b.block = greatest(k.block - 1, 0)"
 )
 def stream_rolling_baseline(spark, sf_dir):
-    """Streamed frames, each block of seven against the baseline of the block before."""
+    """Streamed frames, out of order and with gaps, each block of seven against the baseline of the block before; borders of
+    batches lie inside the blocks."""
+    v = v_day(spark, sf_dir).select("pix", "t", "v")
+    return frame_stream(spark, v, lambda s: online.streaming_lagged_snr(s, ["pix"], 8, 7, DELAY), ["pix"]).select("pix", "t", r6("snr"))
+
+
+@query(f"WITH {VD}, {FIR} SELECT pix, t::BIGINT AS t, round(v, 6) AS v FROM fir")
+def stream_fir_equals_batch(spark, sf_dir):
+    """Daily frames through the stateful filter, out of order and with gaps; borders of batches lie inside the kernel."""
     v = v_day(spark, sf_dir).select("pix", "t", "v")
-    return frame_stream(spark, v, lambda s: online.streaming_lagged_snr(s, ["pix"], 8, 7)).select("pix", "t", r6("snr"))
+    return frame_stream(spark, v, lambda s: online.streaming_fir(s, KERNEL, ["pix"], DELAY), ["pix"]).select("pix", "t", r6("v"))
 
 
 ONLINE = {"min_area": 1, "avg_area": 30, "thresh_mask": 0.5, "thresh_com0": 0.6, "thresh_com": 1.0, "thresh_iou": 0.5, "cons": 1}
 
 
-def windows(spark, sf_dir, kind, cons):
-    """Frames stored by windows of 25, one window a micro-batch, merged into versions of a mask table."""
-    v = v_emb(spark, sf_dir).filter("v > 0.15")
-    last = v.agg(F.max("t")).first()[0] or 0
-    path, state = new_path(spark, "windows"), new_path(spark, "masks")
-    schema = v.schema
-    masks = kind(spark, state, 8, ONLINE | {"cons": cons}, lambda frames: frames)
-    for k in range(int(last) // 25 + 1):
-        v.filter((F.col("t") >= 25 * k) & (F.col("t") < 25 * (k + 1))).coalesce(1).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(schema).parquet(path)
-        online.merge_windows(stream, masks.merge_batch, f"{state}/checkpoint")
-    return masks, int(last) // 25
+def live_masks(spark, sf_dir, cons, tracking):
+    """Frames in files of ten, of which every two are swapped, streamed a file at a time into masks in keyed state, windows of
+    25 frames; a closing frame of a video of its own lets the last windows end. Masks are merged once more at the end."""
+    frames = materialise(packed_emb(spark, sf_dir), "packed")
+    last, path, out = frames.agg(F.max("t")).first()[0] or 0, new_path(spark, "files"), new_path(spark, "masks")
+    for part in [k ^ 1 for k in range(last // 10 + 2)]:
+        frames.filter((F.col("t") >= 10 * part) & (F.col("t") < 10 * part + 10)).coalesce(1).write.mode("append").parquet(path)
+    closing = frames.limit(1).select(F.lit(-1).cast("long").alias("video_id"), F.lit(last + 100).cast("long").alias("t"), F.transform("px", lambda _: F.lit(0.0).cast("float")).alias("px"))
+    closing.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    params = ONLINE | {"cons": cons}
+    with live.rocks_state(spark):
+        online.run_available(live.online_masks(live.regions_of(stream, 8, 0.15), 8, params, 25, 25, 20, tracking), f"{out}/rows", f"{out}/state")
+    m = live.latest(spark.read.schema(live.CHANGED).parquet(f"{out}/rows"))
+    return merge.final_merge(merge.Masks(materialise(m.pixels, "pixels"), materialise(m.times, "times")), params)
 
 
 def _summary(m):
@@ -327,16 +355,14 @@ def _summary(m):
 
 @query()
 def online_masks(spark, sf_dir):
-    """Masks merged window by window, and once more at the end."""
-    masks, last = windows(spark, sf_dir, online.OnlineMasks, 1)
-    return _summary(masks.finish(last))
+    """Masks merged window by window in state, and once more at the end."""
+    return _summary(live_masks(spark, sf_dir, 1, False))
 
 
 @query()
 def online_tracked_masks(spark, sf_dir):
-    """As online_masks, with regions going to confirmed masks first."""
-    masks, last = windows(spark, sf_dir, online.OnlineTracker, 2)
-    return _summary(masks.finish(last))
+    """As online_masks, with regions going to confirmed masks first, which take them up when they go quiet."""
+    return _summary(live_masks(spark, sf_dir, 2, True))
 
 
 # Sweeps of all six parameters over embedding videos. Labelled masks are regions of each video's mean image.

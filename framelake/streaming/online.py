@@ -37,58 +37,107 @@ def session_activity(events: DataFrame, gap: str, watermark: str, key: str = "us
     return events.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap).alias("s"), key).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), "n")
 
 
-def streaming_fir(frames: DataFrame, kernel: list[float], key: list[str]) -> DataFrame:
-    """The temporal filter over frames (key, t, v) as they come; a key's state is its last len(kernel) - 1 frames.
-    Frames of a key must come in order of t and without gaps (densify before); output equals fir_filter()."""
-    n = len(kernel)
-
-    def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, held = (list(x) for x in state.get) if state.exists else ([], [])
-        new = pd.concat(list(pdfs)).sort_values("t")
-        times, held = times + new["t"].astype(int).tolist(), held + new["v"].astype(float).tolist()
-        out = [(times[i], sum(held[i + l] * w for l, w in enumerate(kernel))) for i in range(len(held) - n + 1)]
-        keep = n - 1
-        state.update((times[-keep:] if keep else [], held[-keep:] if keep else []))
-        yield pd.DataFrame([(*k, *x) for x in out], columns=[*key, "t", "v"])
+#: The event clock has a second a frame; frame 0 comes at its first, as a watermark begins at 0.
+FRAME_MS = 1000
+
+
+def in_frame_time(frames: DataFrame, delay: int) -> DataFrame:
+    """Frames with an event clock: a frame may come up to `delay` frames after later ones. What hasn't come by then never
+    does: its rows are dropped, and a gap is filled with zeros."""
+    return frames.withColumn("_at", F.timestamp_millis((F.col("t").cast("long") + 1) * FRAME_MS)).withWatermark("_at", f"{delay} seconds")
+
+
+def in_order(next_t: int, times: np.ndarray, values: np.ndarray, watermark_ms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values of the frames from next_t on that are complete, and what must wait: times and values). Of one frame that comes
+    twice the first counts; frames below next_t are late. A missing frame is 0 once the watermark has passed it; nothing is
+    filled in beyond the last frame that came."""
+    times, first = np.unique(times, return_index=True)
+    values, new = values[first], times >= next_t
+    times, values = times[new], values[new]
+    final = watermark_ms // FRAME_MS - 1
+    before = np.concatenate([[next_t - 1], times[:-1]])
+    held = np.flatnonzero((times > before + 1) & (times - 1 > final))
+    n = int(held[0]) if len(held) else len(times)
+    ready = np.zeros(int(times[n - 1]) - next_t + 1 if n else 0)
+    ready[times[:n] - next_t] = values[:n]
+    return ready, times[n:], values[n:]
+
+
+def _ordered(frames: DataFrame, key: list[str], delay: int, name: str, state: str, begin: tuple, work: Callable[[tuple, int, np.ndarray], tuple[tuple, int, np.ndarray]]) -> DataFrame:
+    """(key, t, name) of frames (key, t, v) in their order. A key's state is what `work` keeps and the frames that wait for
+    earlier ones. work(kept, t, values from t on) -> (kept, first t, values out). A timer wakes a key whose gap has become final."""
+    def step(k: tuple, pdfs: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        kept = group.get if group.exists else (*begin, 0, [], [])
+        *own, next_t, times, values = kept
+        new = list(pdfs)
+        times = np.concatenate([np.array(times, np.int64), *(x["t"].to_numpy(np.int64) for x in new)])
+        values = np.concatenate([np.array(values, float), *(x["v"].to_numpy(float) for x in new)])
+        ready, times, values = in_order(next_t, times, values, group.getCurrentWatermarkMs())
+        own, first, out = work(tuple(own), next_t, ready)
+        group.update((*own, next_t + len(ready), times.tolist(), values.tolist()))
+        if len(times):
+            group.setTimeoutTimestamp(int(times[0]) * FRAME_MS)
+        if len(out):
+            yield pd.DataFrame({**{c: [x] * len(out) for c, x in zip(key, k, strict=True)}, "t": np.arange(first, first + len(out)), name: out})
 
     types = dict(frames.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in key) + ", t long, v double"
-    return frames.groupBy(*key).applyInPandasWithState(step, schema, "times array<long>, held array<double>", "append", GroupStateTimeout.NoTimeout)
+    schema = ", ".join(f"{c} {types[c]}" for c in key) + f", t long, {name} double"
+    kept = f"{state}, next_t long, times array<long>, waiting array<double>"
+    return in_frame_time(frames.select(*key, "t", "v"), delay).groupBy(*key).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _quartile_baseline(values: list[float]) -> tuple[float, float | None]:
+def streaming_fir(frames: DataFrame, kernel: list[float], key: list[str], delay: int = 0) -> DataFrame:
+    """The temporal filter over frames (key, t, v), t from 0, as they come, up to `delay` frames out of order. A
+    key's state is its last len(kernel) - 1 frames and those that wait; output equals fir_filter() of the frames with
+    gaps as zeros."""
+    taps, n = np.array(kernel, float), len(kernel)
+
+    def work(own: tuple, t: int, values: np.ndarray) -> tuple[tuple, int, np.ndarray]:
+        held = np.concatenate([np.array(own[0], float), values])
+        out = np.correlate(held, taps, "valid") if len(held) >= n and len(values) else np.empty(0)
+        return (held[len(held) - min(n - 1, len(held)) :].tolist(),), t - len(own[0]), out
+
+    return _ordered(frames, key, delay, "v", "held array<double>", ([],), work)
+
+
+def _quartile_baseline(values: np.ndarray) -> tuple[float, float | None]:
     """Median and noise of one pixel's block, by the rules of baseline()."""
     high, low = np.percentile(values, [50, 25])
     noise = (high - low) / QUARTILE_SIGMA or float(np.std(values))
     return float(high), noise or None
 
 
-def streaming_lagged_snr(frames: DataFrame, key: list[str], first: int, size: int) -> DataFrame:
-    """Z-scores of frames (key, t, v) as they come, each block against the baseline of the block before (block 0, the
-    first `first` frames, against its own, and so only when it is complete). A key's state is one block of values and one
-    baseline. Frames of a key must come in order of t and without gaps; output equals lagged_block_normalise()."""
-    def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        block, held, med, noise = state.get if state.exists else (0, [], 0.0, None)
-        held, out = list(held), []
-        z = lambda v: 0.0 if noise is None else (v - med) / noise
-        new = pd.concat(list(pdfs)).sort_values("t")
-        for t, v in zip(new["t"].astype(int).tolist(), new["v"].astype(float).tolist(), strict=True):
-            now = 0 if t < first else 1 + (t - first) // size
-            if now != block:
-                med, noise = _quartile_baseline(held)
-                held, block = [], now
-            held.append(v)
-            if block:
-                out.append((t, z(v)))
-            elif len(held) == first:
-                med, noise = _quartile_baseline(held)
-                out += [(t - first + 1 + i, z(x)) for i, x in enumerate(held)]
-        state.update((block, held, med, noise))
-        yield pd.DataFrame([(*k, *x) for x in out], columns=[*key, "t", "snr"])
-
-    types = dict(frames.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in key) + ", t long, snr double"
-    return frames.groupBy(*key).applyInPandasWithState(step, schema, "block long, held array<double>, med double, noise double", "append", GroupStateTimeout.NoTimeout)
+def streaming_lagged_snr(frames: DataFrame, key: list[str], first: int, size: int, delay: int = 0) -> DataFrame:
+    """Z-scores of frames (key, t, v), t from 0, as they come, up to `delay` frames out of order: each block against
+    the baseline of the block before (block 0, the first `first` frames, against its own, and so only when it is
+    complete). A key's state is one block of values, one baseline and the frames that wait; output equals
+    lagged_block_normalise() of the frames with gaps as zeros."""
+    def z(x: np.ndarray, med: float, noise: float | None) -> np.ndarray:
+        return np.zeros(len(x)) if noise is None else (x - med) / noise
+
+    def work(own: tuple, t: int, values: np.ndarray) -> tuple[tuple, int, np.ndarray]:
+        held, med, noise = np.array(own[0], float), own[1], own[2]
+        # Values at hand begin with the open block's; block 0 is put out when it is whole.
+        at, start, out = np.concatenate([held, values]), t - len(held), []
+        out_from = start if start < first else t
+        while True:
+            block_end = first if start < first else start + size - (start - first) % size
+            take = at[: block_end - start]
+            whole = len(take) == block_end - start
+            if start < first:
+                if not whole:
+                    break
+                med, noise = _quartile_baseline(take)
+                out.append(z(take, med, noise))
+            else:
+                out.append(z(take[max(0, t - start) :], med, noise))
+                if not whole:
+                    break
+                med, noise = _quartile_baseline(take)
+            at, start = at[len(take) :], block_end
+        return (at.tolist(), med, noise), out_from, np.concatenate([*out, np.empty(0)])
+
+    return _ordered(frames, key, delay, "snr", "held array<double>, med double, noise double", ([], 0.0, None), work)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
