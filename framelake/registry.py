@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake import registry_sql as sql
 from framelake.functions import scalar
 from framelake.operators import baseline, evaluate, joins, merge, score, segment, temporal, traces
 from framelake.plans import tune
@@ -286,7 +287,7 @@ def match_scores(spark, sf_dir):
     return evaluate.scores(gt, found, 0.5000001).select("video_id", "n_gt", "n_found", "n_match", r6("recall"), r6("precision"), r6("f1"))
 
 
-@query()
+@query(f"WITH RECURSIVE {REG}, {sql.merged('m', 'SELECT video_id, t, seg, p FROM reg', '0.5')}, {sql.final('m')} {sql.SUMMARY.format(px='fin', tm='tmme', weight='')}")
 def tracked_masks(spark, sf_dir):
     """The whole batch pipeline over the embedding videos: masks with their pixels and active frames."""
     params = {"min_area": 1, "avg_area": 30, "thresh_mask": 0.5, "thresh_com0": 0.6, "thresh_com": 1.0, "thresh_iou": 0.5, "cons": 1}

@@ -6,6 +6,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from framelake import registry_sql as sql
 from framelake.functions import scalar
 from framelake.operators import baseline, merge, score, segment, temporal, traces
 from framelake.operators.joins import as_masks
@@ -328,6 +329,8 @@ def stream_fir_equals_batch(spark, sf_dir):
     return frame_stream(spark, v, lambda s: online.streaming_fir(s, KERNEL, ["pix"], DELAY), ["pix"]).select("pix", "t", r6("v"))
 
 
+#: Windows that the SQL unrolls; the streams have as many as there are.
+WINDOWS = 8
 ONLINE = {"min_area": 1, "avg_area": 30, "thresh_mask": 0.5, "thresh_com0": 0.6, "thresh_com": 1.0, "thresh_iou": 0.5, "cons": 1}
 
 
@@ -353,7 +356,7 @@ def _summary(m):
     return px.join(m.times.groupBy("video_id", "id").agg(F.count("*").alias("frames")), ["video_id", "id"])
 
 
-@query()
+@query(f"WITH RECURSIVE {REG}, {sql.windowed('o', 'reg', '0.5', 25, WINDOWS)}, {sql.final('ox')} {sql.SUMMARY.format(px='fin', tm='tmoxe', weight='weight,')}")
 def online_masks(spark, sf_dir):
     """Masks merged window by window in state, and once more at the end."""
     return _summary(live_masks(spark, sf_dir, 1, False))
@@ -377,19 +380,26 @@ def swept(spark, sf_dir, search, *more):
     return search(p, materialise(gt, "labelled"), 8, lists, {"thresh_mask": 0.5, "thresh_com0": 0.6}, *more)
 
 
-@query()
+SWEPT = sql.sweep(EMB, sql.merged("g", "SELECT * FROM each", sql.IOU), "g")
+SWEPT_ONLINE = sql.sweep(EMB, sql.windowed("h", "each", sql.IOU, 25, WINDOWS), "hx")
+SWEPT_ROWS = "SELECT video_id, min_area, avg_area, thresh_pmap, thresh_com, thresh_iou, cons, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1 FROM sc"
+
+
+@query(f"WITH RECURSIVE {SWEPT} {SWEPT_ROWS}")
 def grid_search(spark, sf_dir):
     out = swept(spark, sf_dir, tune.grid_search)
     return out.select("video_id", *tune.GRID, r6("recall"), r6("precision"), r6("f1"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SWEPT}, mean AS (SELECT v.video_id AS cv, min_area, avg_area, thresh_pmap, thresh_com, thresh_iou, cons, avg(f1) AS f1 FROM (SELECT DISTINCT video_id FROM sc) v JOIN sc ON sc.video_id <> v.video_id GROUP BY ALL) SELECT cv, min_area, avg_area, thresh_pmap, thresh_com, thresh_iou, cons, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY cv ORDER BY round(f1, 9) DESC, min_area, avg_area, thresh_pmap, thresh_com, thresh_iou, cons) AS r FROM mean) WHERE r = 1"
+)
 def grid_search_best(spark, sf_dir):
     """The best combination of each leave-one-out fold."""
     return tune.cross_validated(materialise(swept(spark, sf_dir, tune.grid_search), "scores"), "leave_one_out", tune.GRID).select("cv", *tune.GRID, r6("f1"))
 
 
-@query()
+@query(f"WITH RECURSIVE {SWEPT_ONLINE} {SWEPT_ROWS}")
 def online_grid_search(spark, sf_dir):
     out = swept(spark, sf_dir, tune.online_grid_search, 25, 25)
     return out.select("video_id", *tune.GRID, r6("recall"), r6("precision"), r6("f1"))
