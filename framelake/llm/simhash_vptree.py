@@ -33,7 +33,7 @@ SAMPLE = 4096
 #: A node with fewer rows of the sample isn't grown: its level's spare vantage point serves.
 LEAST_ROWS = 8
 #: Fingerprints that a shard owns, about; a shard with more is dealt out in tiles of as many.
-SHARD_ROWS = 8192
+SHARD_ROWS = 2048
 #: Of a leaf inside a shard, about, and pairs that are compared at a time.
 CELL_ROWS, PAIRS = 32, 1 << 21
 #: Hashes whose bits are counted at a time.
