@@ -86,7 +86,8 @@ SQL = {
                 FROM v WHERE host <> ''),
         combo AS (SELECT page_id, listed, [t] AS items FROM tok
                   UNION ALL SELECT a.page_id, a.listed, [a.t, b.t] FROM tok a JOIN tok b ON a.page_id = b.page_id AND a.t < b.t
-                  UNION ALL SELECT a.page_id, a.listed, [a.t, b.t, c.t] FROM tok a JOIN tok b ON a.page_id = b.page_id AND a.t < b.t JOIN tok c ON c.page_id = a.page_id AND b.t < c.t),
+                  UNION ALL SELECT a.page_id, a.listed, [a.t, b.t, c.t] FROM tok a JOIN tok b ON a.page_id = b.page_id AND a.t < b.t JOIN tok c ON c.page_id = a.page_id AND b.t < c.t
+                  UNION ALL SELECT a.page_id, a.listed, [a.t, b.t, c.t, d.t] FROM tok a JOIN tok b ON a.page_id = b.page_id AND a.t < b.t JOIN tok c ON c.page_id = a.page_id AND b.t < c.t JOIN tok d ON d.page_id = a.page_id AND c.t < d.t),
         whole AS (SELECT items, count(*) AS n FROM combo WHERE listed IS NOT NULL GROUP BY items),
         strong AS (SELECT items, listed AS label, count(*) AS m, count(*) / any_value(n) AS confidence FROM combo JOIN whole USING (items) WHERE listed IS NOT NULL GROUP BY ALL
                    HAVING count(*) >= ceil(0.005 * (SELECT count(*) FROM v WHERE listed IS NOT NULL)) AND count(*) / any_value(n) >= 0.9),

@@ -3,6 +3,7 @@ confidence and support judge other URLs through an inverted index from each rule
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -20,8 +21,8 @@ class Mining:
     support: float = 0.005
     #: Share of a combination's URLs that have the rule's label, at least.
     confidence: float = 0.9
-    #: Tokens in a combination, at most.
-    tokens: int = 3
+    #: Tokens in a combination, at most; None: any number.
+    tokens: int | None = None
 
 
 def host_of(url: Column) -> Column:
@@ -65,30 +66,59 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(marked))
 
 
+def _tokens(labelled: DataFrame, least: int) -> DataFrame:
+    """labelled (row, tokens, label) -> (token, rep, size, by) of the tokens that `least` labelled URLs hold: the smallest token
+    that stands in exactly the same URLs, how many, and how many by label. Two sets of URLs are equal if their counts
+    and two sums of hashes are."""
+    rows = labelled.select("row", "label", F.explode("tokens").alias("token"))
+    marks = F.struct(F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("b"), F.sum("n").alias("n"))
+    each = rows.withColumn("n", F.lit(1)).groupBy("token", "label").agg(marks.alias("m"))
+    held = each.groupBy("token").agg(F.sum("m.a").alias("a"), F.sum("m.b").alias("b"), F.sum("m.n").alias("size"), F.map_from_entries(F.collect_list(F.struct("label", "m.n"))).alias("by")).filter(F.col("size") >= least)
+    same = held.groupBy("a", "b", "size").agg(F.min("token").alias("rep"))
+    return held.join(same, ["a", "b", "size"]).select("token", "rep", "size", "by")
+
+
 def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """labelled (tokens, label) -> rules (items, label, n, confidence): combinations whose URLs nearly all have one label.
 
     A combination that contains a shorter rule for the same label says nothing new and is left out. All labelled rows
     are mined. Without labelled rows there are no rules.
+
+    What can't be part of a longer rule doesn't go into the mining, so a path of very many words doesn't make a set of
+    each choice of them: a token whose URLs all have one label is a rule for that label by itself, and no longer one
+    with it can be for another; a token that all URLs hold adds nothing to a combination; and of tokens that stand in
+    exactly the same URLs one is mined, for which each of the others is put in afterwards.
     """
-    baskets = labelled.filter(F.col("label").isNotNull()).select(F.array_append("tokens", F.concat(F.lit("label="), "label")).alias("items"))
+    labelled = materialise(labelled.filter(F.col("label").isNotNull()).select("tokens", "label").withColumn("row", F.monotonically_increasing_id()), "labelled")
+    total = labelled.count()
+    least = max(1, math.ceil(mining.support * total))
+    tokens = materialise(_tokens(labelled, least), "tokens")
+    alone = tokens.select(F.array("token").alias("items"), F.explode("by").alias("label", "n"), "size").filter(F.col("n") >= least)
+    alone = alone.select("items", "label", "n", (F.col("n") / F.col("size")).alias("confidence"))
+    mixed = tokens.filter((F.size("by") > 1) & (F.col("size") < total))
+    reps = labelled.select("row", F.explode("tokens").alias("token")).join(mixed.filter("token = rep").select("token"), "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    baskets = labelled.join(reps, "row", "left").select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.concat(F.lit("label="), "label")).alias("items"))
     found = materialise(FPGrowth(itemsCol="items", minSupport=mining.support, minConfidence=1.0).fit(baskets).freqItemsets, "itemsets")
     of_label = F.filter("items", lambda x: x.startswith("label="))
     split = found.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("label="))).alias("items"), F.get(of_label, F.lit(0)).alias("mark"), "freq", F.size(of_label).alias("marks"))
-    split = split.filter(F.size("items").between(1, mining.tokens))
+    split = split.filter((F.size("items") > 1) & (F.size("items") <= mining.tokens if mining.tokens else F.lit(True)))
     whole = split.filter("marks = 0").select("items", F.col("freq").alias("of"))
-    rules = split.filter("marks = 1").join(whole, "items").select("items", F.expr("substring(mark, 7)").alias("label"), F.col("freq").alias("n"), (F.col("freq") / F.col("of")).alias("confidence"))
-    rules = materialise(rules.filter(F.col("confidence") >= mining.confidence), "rules")
-    # Shorter rules for the same label, looked up by their exact items (up to 3 items: one less, or one alone).
-    subsets = rules.filter(F.size("items") > 1).select("items", "label", F.explode(_proper_subsets()).alias("part"))
-    redundant = subsets.join(rules.select(F.col("items").alias("part"), "label"), ["part", "label"]).select("items", "label").distinct()
-    return rules.join(redundant, ["items", "label"], "left_anti")
-
-
-def _proper_subsets() -> Column:
-    one_less = F.transform("items", lambda x: F.array_remove("items", x))
-    single = F.transform("items", lambda x: F.array(x))
-    return F.array_distinct(F.concat(one_less, single))
+    long = split.filter("marks = 1").join(whole, "items").select("items", F.expr("substring(mark, 7)").alias("label"), F.col("freq").alias("n"), (F.col("freq") / F.col("of")).alias("confidence"))
+    rules = materialise(_least_rules(materialise(alone.unionByName(long).filter(F.col("confidence") >= mining.confidence), "rules")), "rules")
+    # Every choice of one token of each that stands for several.
+    groups = mixed.groupBy("rep").agg(F.collect_list("token").alias("tokens"))
+    named = rules.filter(F.size("items") > 1).withColumn("rule", F.monotonically_increasing_id())
+    spelt = named.select("rule", "label", "n", "confidence", F.explode("items").alias("rep")).join(groups, "rep").groupBy("rule", "label", "n", "confidence").agg(F.collect_list("tokens").alias("choice"))
+    chosen = F.aggregate("choice", F.array(F.array().cast("array<string>")), lambda acc, c: F.flatten(F.transform(acc, lambda a: F.transform(c, lambda x: F.array_append(a, x)))))
+    return rules.filter(F.size("items") == 1).unionByName(spelt.select(F.explode(chosen).alias("items"), "label", "n", "confidence").withColumn("items", F.array_sort("items")))
+
+
+def _least_rules(rules: DataFrame) -> DataFrame:
+    """Rules that contain no shorter one for the same label. A shorter one is met by its first item."""
+    longer = rules.filter(F.size("items") > 1).select(F.col("items").alias("whole"), "label", F.explode("items").alias("first"))
+    parts = rules.select(F.col("items").alias("part"), "label", F.col("items")[0].alias("first"))
+    inside = longer.join(parts, ["label", "first"]).filter((F.size("part") < F.size("whole")) & (F.size(F.array_except("part", "whole")) == 0))
+    return rules.join(inside.select(F.col("whole").alias("items"), "label").distinct(), ["items", "label"], "left_anti")
 
 
 def match(urls: DataFrame, rules: DataFrame, counts: DataFrame) -> DataFrame:

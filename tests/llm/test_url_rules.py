@@ -24,10 +24,11 @@ def listed(url):
 
 
 def brute(rows, mining):
-    """rows (row, tokens, listed) -> mined verdicts."""
+    """rows (row, tokens, listed) -> mined verdicts; every combination of every number of tokens is counted."""
     labelled = [(set(t), v) for _, t, v in rows if v]
-    n = Counter(c for t, _ in labelled for k in range(1, mining.tokens + 1) for c in itertools.combinations(sorted(t), k))
-    by = Counter((c, v) for t, v in labelled for k in range(1, mining.tokens + 1) for c in itertools.combinations(sorted(t), k))
+    sizes = lambda t: range(1, min(len(t), mining.tokens or len(t)) + 1)
+    n = Counter(c for t, _ in labelled for k in sizes(t) for c in itertools.combinations(sorted(t), k))
+    by = Counter((c, v) for t, v in labelled for k in sizes(t) for c in itertools.combinations(sorted(t), k))
     least = mining.support * len(labelled)
     rules = {(c, v): (m / n[c], m) for (c, v), m in by.items() if m >= least and m / n[c] >= mining.confidence}
     rules = {(c, v): x for (c, v), x in rules.items() if not any((d, v) in rules for k in range(1, len(c)) for d in itertools.combinations(c, k))}
@@ -47,7 +48,7 @@ def test_query_against_brute_force(spark):
     got = {r.page_id: r for r in op6_url_rules(spark, SF).collect()}
     rows = pages.select("page_id", "url", tokens_of(F.col("url"), host_of(F.col("url")), path_of(F.col("url"))).alias("t")).collect()
     assert len(got) == len(rows)
-    mined = brute([(r.page_id, r.t, listed(r.url)[1]) for r in rows], Mining())
+    mined = brute([(r.page_id, r.t, listed(r.url)[1]) for r in rows], Mining(tokens=4))  # no rule of these pages is longer
     for r in rows:
         rule, verdict = listed(r.url)
         assert (got[r.page_id].host, got[r.page_id].path) == parts(r.url)
@@ -63,3 +64,42 @@ def test_odd_urls_labels_and_nulls(spark):
     by = {r.host + r.path: r.verdict for r in judge_urls(df, [], labels, Mining(0.01, 0.9)).collect()}
     assert by["spam.net/x/1"] == "block" and by[""] == "allow"
     assert judge_urls(df.limit(0), URL_RULES).count() == 0
+
+
+def test_long_paths_and_long_rules(spark):
+    """A rule of four tokens is found; directories of 25 words, of one label or of both, are mined in seconds; tokens that
+    always stand together are each a rule's part."""
+    deep = "/".join(f"w{k}" for k in range(25))
+    mixed = "/".join(f"m{k}" for k in range(25))
+    urls = [(f"http://a.x/{deep}/{k}", "block") for k in range(40)] + [(f"http://b.x/{mixed}/{'good' if k % 2 else 'bad'}", "allow" if k % 2 else "block") for k in range(40)]
+    four = ["p", "q", "r", "s"]
+    urls += [(f"http://c.x/{'/'.join(x for x in four if x != out)}", "allow") for out in four for _ in range(12)]
+    urls += [("http://c.x/p/q/r/s", "block")] * 15
+    unknown = [("http://d.x/w7/z", "block"), ("http://d.x/s/r/q/p", "block"), ("http://d.x/p/q/r", "default"), ("http://d.x/m3/bad", "block"), ("http://d.x/m3/good", "allow"), ("http://d.x/none", "default")]
+    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls + unknown)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, v) for k, (_, v) in enumerate(urls)], "page_id long, label string")
+    got = {r.page_id: r for r in judge_urls(df, [], labels, Mining(0.02, 0.9), default="default").collect()}
+    assert [got[len(urls) + k].verdict for k in range(len(unknown))] == [v for _, v in unknown]
+    assert sorted(got[len(urls) + 1].matched) == ["path=p", "path=q", "path=r", "path=s"]
+    capped = {r.page_id: r.verdict for r in judge_urls(df, [], labels, Mining(0.02, 0.9, 3), default="default").collect()}
+    assert capped[len(urls) + 1] != "block"
+
+
+def test_mixed_tokens_against_brute_force(spark):
+    """Random URLs whose words come in groups that always stand together."""
+    import random
+
+    rng = random.Random(3)
+    groups = [["a", "b"], ["c"], ["d", "e", "f"], ["g"], ["h"], ["i"]]
+    def path(n):
+        return "/".join(w for g in rng.sample(groups, n) for w in g)
+
+    known = [(f"http://x.y/{path(rng.choice([2, 3, 3, 4]))}", rng.choice(["allow", "block", "block"])) for _ in range(60)]
+    known = [(u, "block" if {"c", "g", "h", "i"} <= set(u.split("/")) else v) for u, v in known]
+    urls = [u for u, _ in known] + [f"http://x.y/{'/'.join(rng.sample('abcdefghi', rng.randint(1, 7)))}" for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(k, v) for k, (_, v) in enumerate(known)], "page_id long, label string")
+    tokens = lambda u: {"scheme=http", "top=y", "host=x", "host=y", *(f"path={w}" for w in u.split("://x.y/")[1].split("/"))}
+    mining = Mining(0.05, 0.8)
+    want = brute([(k, tokens(u), known[k][1] if k < 60 else None) for k, u in enumerate(urls)], mining)
+    assert {r.page_id: r.verdict for r in judge_urls(df, [], labels, mining).collect()} == want
