@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+from heapq import heappop, heappush
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,33 +27,41 @@ def iou_candidates(gt: DataFrame, found: DataFrame, threshold: float, key: list[
     return both.withColumn("iou", F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).filter(F.col("iou") >= threshold).select(*key, "gt_id", "mask_id", "iou")
 
 
-def assign(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of a one-to-one assignment of largest total gain; 0 means no pair. Shortest augmenting paths
-    with potentials, on a small matrix."""
-    rows, cols = gain.shape
-    n = rows + cols
-    cost = np.zeros((n, n))
-    cost[:rows, :cols] = -gain
-    u, v, owner = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1)
-    for r in range(n):
-        owner[n], at = r, n
-        least, back, done = np.full(n + 1, np.inf), np.full(n + 1, n), np.zeros(n + 1, bool)
-        while owner[at] >= 0:
-            done[at] = True
-            free = np.flatnonzero(~done[:n])
-            step = cost[owner[at], free] - u[owner[at]] - v[free]
-            better = step < least[free]
-            least[free[better]], back[free[better]] = step[better], at
-            to = free[np.argmin(least[free])]
-            delta = least[to]
-            u[owner[done]] += delta
-            v[done] -= delta
-            least[~done] -= delta
-            at = to
-        while at != n:
-            owner[at], at = owner[back[at]], back[at]
-        owner[n] = -1
-    return [(int(owner[c]), c) for c in range(cols) if owner[c] < rows and gain[owner[c], c] > 0]
+def assign(rows: np.ndarray, columns: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Numbers of the candidates (row, column, gain > 0) of a one-to-one assignment of largest total gain. Shortest augmenting
+    paths with potentials over the candidates alone, so memory follows their number, not rows times columns; a row may
+    stay without a pair, at a column of its own that gains nothing."""
+    edges: list[list[tuple[int, float, int]]] = [[] for _ in range(int(rows.max(initial=-1)) + 1)]
+    for k, (r, c, g) in enumerate(zip(rows.tolist(), columns.tolist(), gain.tolist(), strict=True)):
+        edges[r].append((c, -g, k))
+    u = [min((cost for _, cost, _ in e), default=0.0) for e in edges]
+    v, owner, taken = defaultdict(float), {}, [(-1, -1)] * len(edges)
+    for start in range(len(edges)):
+        dist, back, done, heap, at, far = {}, {}, [], [], start, 0.0
+        while True:
+            for c, cost, k in [*edges[at], (-1 - at, 0.0, -1)]:
+                d = far + cost - u[at] - v[c]
+                if d < dist.get(c, math.inf):
+                    dist[c], back[c] = d, (at, k)
+                    heappush(heap, (d, c))
+            far, c = heappop(heap)
+            while far > dist[c]:
+                far, c = heappop(heap)
+            if c not in owner:
+                break
+            done.append(c)
+            at = owner[c]
+        u[start] += far
+        for x in done:
+            u[owner[x]] += far - dist[x]
+            v[x] -= far - dist[x]
+        while True:
+            r, k = back[c]
+            owner[c], before, taken[r] = r, taken[r], (c, k)
+            if r == start:
+                break
+            c = before[0]
+    return np.array(sorted(k for _, k in taken if k >= 0), np.int64)
 
 
 def one_to_one(candidates: DataFrame, key: list[str]) -> DataFrame:
@@ -68,13 +81,8 @@ def one_to_one(candidates: DataFrame, key: list[str]) -> DataFrame:
         return pa.concat_tables([one(table.slice(a, b - a)) for a, b in zip(cut, [*cut[1:], table.num_rows], strict=True)])
 
     def one(table: pa.Table) -> pa.Table:
-        g, gi = np.unique(np.asarray(table.column("gt_id")), return_inverse=True)
-        m, mi = np.unique(np.asarray(table.column("mask_id")), return_inverse=True)
-        gain = np.zeros((len(g), len(m)))
-        gain[gi, mi] = 1 + np.asarray(table.column("iou"))
-        pairs = {(int(g[a]), int(m[b])) for a, b in assign(gain)}
-        keep = [(int(a), int(b)) in pairs for a, b in zip(table.column("gt_id").to_pylist(), table.column("mask_id").to_pylist(), strict=True)]
-        return table.select([*key, "gt_id", "mask_id"]).filter(pa.array(keep))
+        codes = [pa.compute.dictionary_encode(table.column(c).combine_chunks()).indices for c in ("gt_id", "mask_id")]
+        return table.select([*key, "gt_id", "mask_id"]).take(pa.array(assign(*map(np.asarray, codes), 1 + np.asarray(table.column("iou")))))
 
     types = dict(candidates.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*key, "gt_id", "mask_id"])

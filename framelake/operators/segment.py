@@ -55,42 +55,63 @@ def larger(stats: DataFrame, grid: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(grid.select("min_area")), F.col("area") > F.col("min_area"))
 
 
+def _around(grid: np.ndarray) -> list[np.ndarray]:
+    """The inner cells of a grid and their four neighbours."""
+    return [grid[1:-1, 1:-1], grid[:-2, 1:-1], grid[2:, 1:-1], grid[1:-1, :-2], grid[1:-1, 2:]]
+
+
+def core_labels(x: np.ndarray, y: np.ndarray, ly: int) -> np.ndarray:
+    """For each pixel of a region, the smallest pixel number of the core that reaches it first (of several at once, of the
+    largest such number). Cores are the connected sets of pixels whose distance to the edge is above 0.7 of the largest."""
+    shape = int(x.max() - x.min()) + 3, int(y.max() - y.min()) + 3
+    i, j = x - x.min() + 1, y - y.min() + 1
+    grid, inside, depth = np.zeros(shape, np.int64), np.zeros(shape, bool), np.zeros(shape, np.int64)
+    inside[i, j] = True
+    left = inside
+    while left.any():
+        depth += left
+        inner = left.copy()
+        inner[1:-1, 1:-1] = np.all(_around(left), 0)
+        left = inner
+    core = depth[i, j] > 0.7 * depth.max()
+    p = x * ly + y
+    grid[i[core], j[core]] = p[np.flatnonzero(core)[region_labels(x[core], y[core])]] + 1
+    while True:
+        new = grid.copy()
+        new[1:-1, 1:-1] = np.where(inside[1:-1, 1:-1] & (grid[1:-1, 1:-1] == 0), np.max(_around(grid), 0), grid[1:-1, 1:-1])
+        if (new == grid).all():
+            return grid[i, j] - 1
+        grid = new
+
+
+def pieces(x: np.ndarray, y: np.ndarray, ly: int, min_area: int, avg_area: int) -> list[tuple[int, np.ndarray]]:
+    """(label, pixel indices) of the pieces of a region: whatever is above avg_area is split again, until it has one core or all
+    of its parts would be of at most min_area; then it stays as it is. Other parts of at most min_area go."""
+    todo, out = [(int(x[0] * ly + y[0]), np.arange(len(x)))], []
+    while todo:
+        label, own = todo.pop()
+        if len(own) > avg_area:
+            found = core_labels(x[own], y[own], ly)
+            parts = [(int(k), own[found == k]) for k in np.unique(found)]
+            good = [part for part in parts if len(part[1]) > min_area]
+            if len(parts) > 1 and good:
+                todo += good
+                continue
+        out.append((label, own))
+    return out
+
+
 def split_large(pixels: DataFrame, min_area: int, avg_area: int, ly: int) -> DataFrame:
-    """Regions above avg_area are split around their inner cores (pixels whose distance to the edge is above 0.7 of
-    the region's largest); each pixel joins the core that reaches it first. Pieces weigh 1/4 and aren't whole; pieces of
-    at most min_area go, unless all of a region's are, when the region stays. (video_id, t, seg, piece, x, y, p, w, whole)."""
+    """Regions above avg_area are split around their inner cores, and their pieces again (pieces()). Pieces weigh 1/4 and
+    aren't whole; a region that isn't split stays whole. (video_id, t, seg, piece, x, y, p, w, whole)."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("x", "ascending"), ("y", "ascending")])
         x, y = (np.asarray(table.column(c)).astype(np.int64) for c in ("x", "y"))
-        p, n = x * ly + y, len(x)
-        piece, w, whole = np.full(n, p[0]), np.ones(n), np.ones(n, bool)
-        if n > avg_area:
-            grid = np.zeros((int(x.max() - x.min()) + 3, int(y.max() - y.min()) + 3), np.int64)
-            i, j = x - x.min() + 1, y - y.min() + 1
-            inside = np.zeros(grid.shape, bool)
-            inside[i, j] = True
-            depth, left = np.zeros(grid.shape, np.int64), inside
-            while left.any():
-                depth += left
-                inner = left.copy()
-                inner[1:-1, 1:-1] = left[1:-1, 1:-1] & left[:-2, 1:-1] & left[2:, 1:-1] & left[1:-1, :-2] & left[1:-1, 2:]
-                left = inner
-            core = depth[i, j] > 0.7 * depth.max()
-            grid[i[core], j[core]] = p[np.flatnonzero(core)[region_labels(x[core], y[core])]] + 1
-            while True:
-                reached = np.max([grid[1:-1, 1:-1], grid[:-2, 1:-1], grid[2:, 1:-1], grid[1:-1, :-2], grid[1:-1, 2:]], 0)
-                new = grid.copy()
-                new[1:-1, 1:-1] = np.where(inside[1:-1, 1:-1] & (grid[1:-1, 1:-1] == 0), reached, grid[1:-1, 1:-1])
-                if (new == grid).all():
-                    break
-                grid = new
-            found = grid[i, j] - 1
-            kinds, size = np.unique(found, return_counts=True)
-            good = kinds[size > min_area]
-            if len(kinds) > 1 and len(good):
-                keep = np.isin(found, good)
-                piece, w, whole = found[keep], np.full(int(keep.sum()), 0.25), np.zeros(int(keep.sum()), bool)
-                table, x, y, p = table.filter(pa.array(keep)), x[keep], y[keep], p[keep]
-        return pa.table({"video_id": table.column("video_id"), "t": table.column("t"), "seg": table.column("seg"), "piece": pa.array(piece), "x": pa.array(x), "y": pa.array(y), "p": pa.array(p), "w": pa.array(w), "whole": pa.array(whole)})
+        found = pieces(x, y, ly, min_area, avg_area)
+        at, piece = np.concatenate([own for _, own in found]), np.concatenate([np.full(len(own), label) for label, own in found])
+        whole = len(found) == 1 and len(at) == len(x)
+        table, x, y = table.take(pa.array(at)), x[at], y[at]
+        w, whole = np.full(len(at), 1.0 if whole else 0.25), np.full(len(at), whole)
+        return pa.table({"video_id": table.column("video_id"), "t": table.column("t"), "seg": table.column("seg"), "piece": pa.array(piece), "x": pa.array(x), "y": pa.array(y), "p": pa.array(x * ly + y), "w": pa.array(w), "whole": pa.array(whole)})
 
     return pixels.groupBy(*REGION).applyInArrow(run, "video_id long, t long, seg long, piece long, x long, y long, p long, w double, whole boolean")

@@ -195,13 +195,13 @@ def delta_f_by_trial(spark, sf_dir):
 # Preprocessing and scoring.
 
 RING = "(SELECT dx, dy, sum((1 - exp(-0.5 * (u / (8 / (2 * pi() * 2.0))) ** 2) * exp(-0.5 * (w / (8 / (2 * pi() * 2.0))) ** 2)) * cos(2 * pi() * (u * dx + w * dy) / 8)) / 64 AS k FROM (SELECT unnest(range(-4, 4)) AS u), (SELECT unnest(range(-4, 4)) AS w), (SELECT unnest(range(8)) AS dx), (SELECT unnest(range(8)) AS dy) GROUP BY dx, dy)"
-HIGH = f"{EMB}, ker AS {RING}, hp AS (SELECT a.video_id, a.t, a.x, a.y, exp(sum(ln(1 + greatest(b.v, 0)) * k)) AS v FROM emb a JOIN emb b ON a.video_id = b.video_id AND a.t = b.t JOIN ker ON dx = (a.x - b.x + 8) % 8 AND dy = (a.y - b.y + 8) % 8 WHERE a.t < 20 GROUP BY ALL)"
+HIGH = f"{EMB}, ker AS {RING}, hp AS (SELECT a.video_id, a.t, a.x, a.y, exp(sum(ln(1 + greatest(b.v, 0)) * k)) AS v FROM emb a JOIN emb b ON a.video_id = b.video_id AND a.t = b.t JOIN ker ON dx = (a.x - b.x + 8) % 8 AND dy = (a.y - b.y + 8) % 8 GROUP BY ALL)"
 
 
 @query(f"WITH {HIGH} SELECT video_id, t, x, y, round(v, 5) AS v FROM hp")
 def spatial_filter(spark, sf_dir):
-    """The homomorphic high-pass of the first frames of each video."""
-    packed = src.pack(src.clipped(v_emb(spark, sf_dir).filter("t < 20")), 8)
+    """The homomorphic high-pass of every frame."""
+    packed = src.pack(src.clipped(v_emb(spark, sf_dir)), 8)
     out = src.unpack(score.high_pass(packed, 8, 8, 2.0), 8)
     return out.select("video_id", "t", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.round("v", 5).alias("v"))
 
@@ -262,6 +262,14 @@ def leader_merge_nearest(spark, sf_dir):
     return merge.cluster(materialise(merge.centres(real, 8), "centres"), 1.0, True)
 
 
+@query()
+def split_regions(spark, sf_dir):
+    """Large regions of the embedding videos, split until their pieces fit."""
+    reg = segment.frame_regions(v_emb(spark, sf_dir).filter("v > 0.05"), 8)
+    out = segment.split_large(reg, 1, 6, 8)
+    return out.groupBy("video_id", "t", "seg", "piece", "whole").agg(F.count("*").alias("area"), F.min("p").alias("first"), F.max("p").alias("last"))
+
+
 # Tracking: later regions against the masks of the first frame.
 
 

@@ -129,10 +129,12 @@ def test_new_masks_join_old_ones_or_are_appended(spark):
 def test_assignment_is_best_and_scores_are_guarded(spark):
     rng = np.random.default_rng(3)
     for _ in range(60):
-        gain = np.where(rng.random((rng.integers(1, 5), rng.integers(1, 5))) < 0.6, 1 + rng.random(), 0) * 1.0
-        r, c = gain.shape
+        r, c = rng.integers(1, 5, 2).tolist()
+        gain = np.where(rng.random((r, c)) < 0.6, 1 + rng.random((r, c)).round(1), 0)
         best = max(sum(gain[i, j] for i, j in zip(range(r), p) if j < c) for p in itertools.permutations(range(max(r, c) + r), r)) if r <= 4 else 0
-        pairs = evaluate.assign(gain)
+        at = np.nonzero(gain)
+        chosen = evaluate.assign(*at, gain[at])
+        pairs = list(zip(at[0][chosen], at[1][chosen], strict=True))
         assert sum(gain[i, j] for i, j in pairs) == pytest.approx(best) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
     gt = spark.createDataFrame([(0, 1, p) for p in range(4)] + [(0, 2, p) for p in range(10, 14)] + [(1, 1, 0)], "video_id long, gt_id long, p long")
     found = spark.createDataFrame([(0, 5, p) for p in range(1, 5)] + [(0, 6, p) for p in range(3)] + [(2, 7, 0)], "video_id long, mask_id long, p long")
@@ -140,6 +142,38 @@ def test_assignment_is_best_and_scores_are_guarded(spark):
     assert got == {0: (1, 0.5, 0.5, 0.5), 1: (0, 0, 0, 0), 2: (0, 0, 0, 0)}
 
 
+def test_assignment_of_one_large_component():
+    """5,000 masks on either side in one component: memory follows the candidates, and the total is that of a chain's best."""
+    import tracemalloc
+
+    n = 5000
+    rows, columns = np.concatenate([np.arange(n), np.arange(n - 1)]), np.concatenate([np.arange(n), np.arange(1, n)])
+    gain = 1 + np.random.default_rng(2).random(2 * n - 1)
+    tracemalloc.start()
+    chosen = evaluate.assign(rows, columns, gain)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    # Best of a chain of candidates, of which no two neighbours may be taken.
+    order = np.lexsort((columns, rows))
+    without = with_ = 0.0
+    for g in gain[order]:
+        without, with_ = max(without, with_), without + g
+    assert gain[chosen].sum() == pytest.approx(max(without, with_))
+    assert len(set(rows[chosen])) == len(set(columns[chosen])) == len(chosen)
+
+
+def test_matches_that_are_not_unique(spark):
+    """A chain of masks that each overlap two labelled ones: the best assignment, not each one's best."""
+    gt = [(0, g, p) for g in range(6) for p in range(10 * g, 10 * g + 10)]
+    found = [(0, 100 + g, p) for g in range(5) for p in range(10 * g + 4, 10 * g + 14)] + [(0, 200, p) for p in range(3, 13)]
+    match = evaluate.one_to_one(evaluate.iou_candidates(spark.createDataFrame(gt, "video_id long, gt_id long, p long"), spark.createDataFrame(found, "video_id long, mask_id long, p long"), 0.2, ["video_id"]), ["video_id"]).collect()
+    px = {i: {p for _, k, p in gt + found if k == i} for i in {k for _, k, _ in gt + found}}
+    iou = lambda a, b: len(px[a] & px[b]) / len(px[a] | px[b])
+    masks = sorted({k for _, k, _ in found})
+    best = max(sum(1 + iou(g, m) for g, m in zip(order, masks, strict=True) if iou(g, m) >= 0.2) for order in itertools.permutations(range(6)))
+    assert sum(1 + iou(r.gt_id, r.mask_id) for r in match) == pytest.approx(best) and len(match) == 6
+
+
 def test_pack_unpack_densify_and_kernels(spark):
     v = spark.createDataFrame([(0, t, x, y, float(t + x * 3 + y)) for t in range(2) for x in range(2) for y in range(3)], "video_id int, t long, x int, y int, v double")
     back = src.unpack(src.pack(v, 3), 3)
