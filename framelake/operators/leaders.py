@@ -121,8 +121,8 @@ def _near(points: DataFrame, lead: DataFrame) -> DataFrame:
 
 
 def members(points: DataFrame, lead: DataFrame, nearest: bool) -> DataFrame:
-    """(video_id, id, leader): each point's nearest leader within the radius (ties to the smaller id), or the smallest one;
-    points without any are left out."""
+    """(video_id, id, leader): each point's nearest leader within the radius (ties to the smaller id; distances are equal if
+    they are so to 9 decimals), or the smallest one; points without any are left out."""
     within = F.filter("near", lambda p: p.dist <= F.col("r"))
-    pick = F.array_min(within)["id"] if nearest else F.array_min(F.transform(within, lambda p: p.id))
+    pick = F.array_min(F.transform(within, lambda p: F.struct(F.round(p.dist, 9).alias("dist"), p.id.alias("id"))))["id"] if nearest else F.array_min(F.transform(within, lambda p: p.id))
     return _near(points, lead).select("video_id", "id", pick.alias("leader")).filter("leader is not null")

@@ -76,10 +76,10 @@ def _grouped(ids: list[int], masks: list[tuple], leader: list[int | None]) -> tu
 
 
 def _led(ids: list[int], at: np.ndarray, radius: float, nearest: bool) -> list[int | None]:
-    """M2, M3: each point's leader, for points in the order of their ids."""
+    """M2, M3: each point's leader, for points in the order of their ids, by the rules of leaders.members()."""
     lead = np.flatnonzero(scan(at[:, 0], at[:, 1], np.ones(len(at), bool), radius) == LEADER)
     d = np.sqrt(((at[:, None] - at[lead]) ** 2).sum(axis=2))
-    pick = np.argmin(np.where(d <= radius, d, np.inf), axis=1) if nearest else np.argmax(d <= radius, axis=1)
+    pick = np.argmin(np.where(d <= radius, np.round(d, 9), np.inf), axis=1) if nearest else np.argmax(d <= radius, axis=1)
     return [ids[lead[k]] if d[i, k] <= radius else None for i, k in enumerate(pick)]
 
 

@@ -18,7 +18,7 @@ def plain(points, radius):
         if not any(dist((x, y), q) <= radius for q in lead.get(v, {}).values()):
             lead.setdefault(v, {})[i] = (x, y)
     for v, i, x, y in points:
-        near = [(dist((x, y), q), k) for k, q in lead.get(v, {}).items() if dist((x, y), q) <= radius]
+        near = [(round(dist((x, y), q), 9), k) for k, q in lead.get(v, {}).items() if dist((x, y), q) <= radius]
         if near:
             out[v, i] = min(k for _, k in near), min(near)[1]
     return out
