@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from framelake.llm.decontaminate import Matching, align, contaminated, keep_uncontaminated, most_score, words_of
+from framelake.llm.decontaminate import Block, Matching, align, contaminated, keep_uncontaminated, most_score, words_of
 from framelake.llm.queries import op2_decontaminate
 from framelake.llm.text import word_hashes
 from tests.conftest import SF
@@ -91,3 +91,52 @@ def test_the_bound_of_the_score_holds():
     for _ in range(300):
         a, b = ([rng.randrange(30) for _ in range(rng.randint(1, 25))] for _ in range(2))
         assert most_score(np.isin(np.array(a), np.array(b)), M) >= plain(a, b)
+
+
+def _edits(words, fresh):
+    """Copies with an edit in every second or third word."""
+    yield [x for k, w in enumerate(words) for x in ([w, fresh()] if k % 2 else [w])]
+    yield [x for w in words for x in (w, fresh())]
+    yield [fresh() if k % 3 == 2 else w for k, w in enumerate(words)]
+    yield [w for k, w in enumerate(words) if k % 3 != 2]
+    yield [w for k, w in enumerate(words) if k % 4 != 2 or k > len(words) // 2]
+
+
+def test_no_copy_above_the_score_is_lost(spark):
+    rng = random.Random(21)
+    common = [f"c{k}" for k in range(40)]
+    fresh = lambda: rng.choice(common) if rng.random() < 0.6 else "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(k, [fresh() for _ in range(n)]) for k, n in enumerate([3, 5, 8, 12, 20, 33, 50, 80])]
+    docs = [[fresh() for _ in range(rng.randint(0, 60))] + copy + [fresh() for _ in range(rng.randint(0, 60))] for _, w in items for copy in _edits(w, fresh)]
+    for _, w in items:  # any edits, up to losing the copy
+        for share in (0.1, 0.2, 0.3, 0.4, 0.5):
+            docs.append([x for v in w for x in ([], [v], [v, fresh()], [fresh()])[rng.choice((0, 2, 3)) if rng.random() < share else 1]])
+    docs += [[fresh() for _ in range(200)] for _ in range(30)]
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    want = {}
+    for d, text in enumerate(docs):
+        for i, w in items:
+            score = align(word_hashes([x.encode() for x in w]), word_hashes([x.encode() for x in text]), M)[0] / (2 * len(w))
+            if score >= M.least_score:
+                want[d, i] = score
+    assert len(want) > 60
+    for m in (M, Matching(block_words=60)):
+        assert {(r.doc_id, r.item_id): r.score for r in contaminated(df, bench, m).collect()} == want
+
+
+def test_rare_seeds_stay_and_their_number_is_sure():
+    rng = random.Random(5)
+    words = [[f"w{rng.randrange(30)}".encode() for _ in range(n)] for n in (4, 9, 30)]
+    block = Block(list(enumerate(words)), M)
+    counts = {k: rng.randrange(1000) for k in block.keys.tolist()}
+    weight = {(i, p): 0 for i, p in zip(block.item.tolist(), block.place.tolist(), strict=True)}
+    for k, i, p in zip(block.keys.tolist(), block.item.tolist(), block.place.tolist(), strict=True):
+        weight[i, p] += counts[k]
+    block.keep_rare(counts, M)
+    left = set(zip(block.item.tolist(), block.place.tolist(), strict=True))
+    for i, w in enumerate(words):
+        kept = [x for x in left if x[0] == i]
+        gone = [x for x in weight if x[0] == i and x not in left]
+        assert len(gone) == M.sure_seeds(len(w)) - block.need[i]
+        assert not gone or max(weight[x] for x in kept) <= min(weight[x] for x in gone)
