@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.scalar import QUARTILE_SIGMA
+from framelake.operators.quantiles import exact_quantiles
 from framelake.sources.frames import PIXEL
 
 
@@ -18,6 +19,14 @@ def baseline(frames: DataFrame, key: list[str] = PIXEL, every: int = 1) -> DataF
     return got.select(*key, F.col("q")[0].alias("med"), F.when(noise != 0, noise).when(F.col("sd") > 0, F.col("sd")).alias("noise"))
 
 
+def long_baseline(frames: DataFrame, key: list[str] = PIXEL) -> DataFrame:
+    """A1, A2 for groups of any length, as baseline(): the quantiles come by selection, not from a map of a group's values."""
+    q = exact_quantiles(frames, key, "v", [0.5, 0.25])
+    got = q.join(frames.groupBy(*key).agg(F.stddev_pop("v").alias("sd")), key)
+    noise = (F.col("q")[0] - F.col("q")[1]) / QUARTILE_SIGMA
+    return got.select(*key, F.col("q")[0].alias("med"), F.when(noise != 0, noise).when(F.col("sd") > 0, F.col("sd")).alias("noise"))
+
+
 def snr(frames: DataFrame, every: int = 1) -> DataFrame:
     """A4: z-scores of each pixel against its own baseline; 0 where it never changes."""
     z = F.when(F.col("noise").isNull(), F.lit(0.0)).otherwise((F.col("v") - F.col("med")) / F.col("noise"))

@@ -53,33 +53,62 @@ def region_traces(frames: DataFrame, pixels: DataFrame, ly: int, sectors: int =
     return at.join(cells, ["video_id", "p"]).groupBy(*MASK, "region", "t").agg(F.avg("v").alias("v"))
 
 
-def separate(traces: DataFrame, rounds: int = 200, seed: int = 0) -> DataFrame:
-    """Unmix the regions of each mask by non-negative factorisation: traces are shifted to be >= 0 and divided by their
-    median, mixing columns sum to 1, and the component with the largest share in the mask is its signal:
-    (video_id, mask_id, t, unmixed). A mask's few regions are one group."""
+def factorised(s: np.ndarray, tol: float, max_rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """Non-negative w, h with w @ h near s, by multiplicative updates: (w, h, rounds, converged). Every tenth round asks whether the
+    error fell by less than tol of the first error, or is nothing beside the data."""
+    rng = np.random.default_rng(seed)
+    w, h = rng.random((len(s), len(s))) + 0.1, rng.random((len(s), s.shape[1])) + 0.1
+    first = last = np.linalg.norm(s - w @ h)
+    for k in range(1, max_rounds + 1):
+        h *= (w.T @ s) / np.maximum(w.T @ w @ h, 1e-12)
+        w *= (s @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+        if k % 10 == 0:
+            error = np.linalg.norm(s - w @ h)
+            if last - error <= tol * first or error <= 1e-12 * np.linalg.norm(s):
+                return w, h, k, True
+            last = error
+    return w, h, max_rounds, False
+
+
+def components(traces: DataFrame, tol: float = 1e-4, max_rounds: int = 20_000, seed: int = 0) -> DataFrame:
+    """The traces (video_id, mask_id, region, t, v) of each mask's regions as sums of non-negative components, ranked by
+    their share in the mask: (video_id, mask_id, rank, share, t, part, level, rounds, converged).
+
+    Traces are shifted to be >= 0 and divided by their median; mixing columns sum to 1, so a share says how much of a component lies
+    in region 0; equal shares are ranked by the component's number. part is what the component adds to the mask's own trace,
+    in its units: the parts of all ranks plus level, the shift, are the factorised trace. Frames that a region lacks count as
+    the lowest value; null values are left out; masks without region 0 give no rows. A mask's few regions are one group of a
+    value a frame and region.
+    """
     def run(table: pa.Table) -> pa.Table:
         t, ti = np.unique(np.asarray(table.column("t")), return_inverse=True)
         r, ri = np.unique(np.asarray(table.column("region")), return_inverse=True)
+        v = np.asarray(table.column("v"))
+        if r[0] != 0:
+            return pa.table({f.name: pa.array([], f.type) for f in OUT})
+        level = v.min()
         s = np.zeros((len(r), len(t)))
-        s[ri, ti] = np.asarray(table.column("v"))
-        low = s.min()
-        s = s - low
-        scale = np.median(s) or 1.0
-        s /= scale
-        rng = np.random.default_rng(seed)
-        w, h = rng.random((len(r), len(r))) + 0.1, rng.random((len(r), len(t))) + 0.1
-        for _ in range(rounds):
-            h *= (w.T @ s) / np.maximum(w.T @ w @ h, 1e-12)
-            w *= (s @ h.T) / np.maximum(w @ h @ h.T, 1e-12)
-        total = np.maximum(w.sum(0), 1e-12)
-        w, h = w / total, h * total[:, None]
-        best = int(np.argmax(w[0]))
-        out = w[0, best] * h[best] * scale + low
-        n = len(t)
-        return pa.table({"video_id": pa.array([table.column("video_id")[0].as_py()] * n, pa.int64()), "mask_id": pa.array([table.column("mask_id")[0].as_py()] * n, pa.int64()), "t": pa.array(t.astype(np.int64)), "unmixed": pa.array(out)})
-
-    typed = traces.select(*[F.col(c).cast("long") for c in (*MASK, "region", "t")], "v")
-    return typed.groupBy(*MASK).applyInArrow(run, "video_id long, mask_id long, t long, unmixed double")
+        s[ri, ti] = v - level
+        scale = float(np.median(s)) or 1.0
+        w, h, rounds, converged = factorised(s / scale, tol, max_rounds, seed)
+        share = w[0] / np.maximum(w.sum(0), 1e-300)
+        order = np.argsort(-share, kind="stable")
+        n, m = len(t), len(order)
+        columns = {
+            "video_id": np.full(n * m, table.column("video_id")[0].as_py()), "mask_id": np.full(n * m, table.column("mask_id")[0].as_py()),
+            "rank": np.repeat(np.arange(m), n), "share": np.repeat(share[order], n), "t": np.tile(t, m),
+            "part": (w[0, order, None] * h[order] * scale).ravel(), "level": np.full(n * m, level), "rounds": np.full(n * m, rounds), "converged": np.full(n * m, converged),
+        }
+        return pa.table({f.name: pa.array(columns[f.name], f.type) for f in OUT})
+
+    OUT = pa.schema([("video_id", pa.int64()), ("mask_id", pa.int64()), ("rank", pa.int64()), ("share", pa.float64()), ("t", pa.int64()), ("part", pa.float64()), ("level", pa.float64()), ("rounds", pa.int64()), ("converged", pa.bool_())])
+    typed = traces.filter("v is not null").select(*[F.col(c).cast("long") for c in (*MASK, "region", "t")], F.col("v").cast("double"))
+    return typed.groupBy(*MASK).applyInArrow(run, "video_id long, mask_id long, rank long, share double, t long, part double, level double, rounds long, converged boolean")
+
+
+def separate(traces: DataFrame, tol: float = 1e-4, max_rounds: int = 20_000, seed: int = 0) -> DataFrame:
+    """(video_id, mask_id, t, unmixed), the component with the largest share in the mask, at the trace's level."""
+    return components(traces, tol, max_rounds, seed).filter("rank = 0").select(*MASK, "t", (F.col("part") + F.col("level")).alias("unmixed"))
 
 
 def activity(traces: DataFrame, ratios: list[float]) -> DataFrame:

@@ -192,6 +192,20 @@ def delta_f_by_trial(spark, sf_dir):
     return traces.delta_f(tr, key=["mask_id", "trial"]).select("mask_id", "t", r6("df"))
 
 
+@query()
+def unmixed_components(spark, sf_dir):
+    """Each mask's own trace and its four sectors as ranked non-negative components."""
+    v = v_day(spark, sf_dir)
+    parts = traces.components(traces.region_traces(v, single_pixels(v), WIDTH, 4, 6.0))
+    return parts.select("mask_id", "rank", r6("share"), "t", r6("part"), "converged")
+
+
+@query(f"WITH {EMB} SELECT video_id, round(med, 6) AS med, round(noise, 6) AS noise FROM {base('emb', 'video_id')}")
+def video_baseline(spark, sf_dir):
+    """Median and noise of all pixel values of each video: a few very long groups."""
+    return baseline.long_baseline(v_emb(spark, sf_dir), ["video_id"]).select("video_id", r6("med"), r6("noise"))
+
+
 # Preprocessing and scoring.
 
 RING = "(SELECT dx, dy, sum((1 - exp(-0.5 * (u / (8 / (2 * pi() * 2.0))) ** 2) * exp(-0.5 * (w / (8 / (2 * pi() * 2.0))) ** 2)) * cos(2 * pi() * (u * dx + w * dy) / 8)) / 64 AS k FROM (SELECT unnest(range(-4, 4)) AS u), (SELECT unnest(range(-4, 4)) AS w), (SELECT unnest(range(8)) AS dx), (SELECT unnest(range(8)) AS dy) GROUP BY dx, dy)"
