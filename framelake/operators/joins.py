@@ -23,13 +23,44 @@ def _rare_first(masks: DataFrame) -> DataFrame:
     return rows.join(freq, ["video_id", "p"]).withColumn("place", F.row_number().over(Window.partitionBy(*MASK).orderBy("f", "p")))
 
 
+def copies(masks: DataFrame) -> DataFrame:
+    """(video_id, id, rep, copies, area): each mask's class of equal pixel sets, led by the smallest id `rep`."""
+    each = masks.groupBy("video_id", "px").agg(F.min("mask_id").alias("rep"), F.count("*").alias("copies"))
+    return masks.join(each, ["video_id", "px"]).select("video_id", F.col("mask_id").alias("id"), "rep", "copies", F.size("px").alias("area"))
+
+
+def class_pairs(masks: DataFrame, threshold: float | Column, measure: str) -> tuple[DataFrame, DataFrame]:
+    """J3, J4 by classes of equal masks: (pairs of their representatives, copies()). Work grows with different masks, not with
+    pairs of copies; equal masks overlap wholly, so a class with several members links them all. Thresholds are at most 1."""
+    different = masks.groupBy("video_id", "px").agg(F.min("mask_id").alias("mask_id"))
+    return different_pairs(different, threshold, measure), copies(masks)
+
+
 def overlap_pairs(masks: DataFrame, threshold: float | Column, measure: str) -> DataFrame:
-    """Pairs with overlap of at least `threshold`.
+    """Pairs with overlap of at least `threshold`, at most 1: 'iou' gives a < b with inter / union, 'contain' gives
+    (a, b) both ways with inter / area of b. Pairs of different masks are found once a class of equal ones; what is as long as
+    the result is made last, from the classes' members, and never shuffled."""
+    pairs, member = class_pairs(masks, threshold, measure)
+    of = lambda rep, c: member.select("video_id", F.col("rep").alias(rep), F.col("id").alias(c))
+    each = pairs.withColumnsRenamed({"a": "rep_a", "b": "rep_b"}).join(of("rep_a", "a"), ["video_id", "rep_a"]).join(of("rep_b", "b"), ["video_id", "rep_b"])
+    if measure == "iou":
+        turned = F.col("a") > F.col("b")
+        swap = lambda c, d: F.when(turned, F.col(d)).otherwise(F.col(c)).alias(c)
+        each = each.select("video_id", swap("a", "b"), swap("b", "a"), swap("area_a", "area_b"), swap("area_b", "area_a"), "inter", "score")
+    else:
+        each = each.select("video_id", "a", "b", "area_a", "area_b", "inter", "score")
+    several = member.filter("copies > 1")
+    equal = several.select("video_id", "rep", F.col("id").alias("a"), F.col("area").alias("area_a"), F.col("area").alias("area_b"), F.col("area").alias("inter")).join(several.select("video_id", "rep", F.col("id").alias("b")), ["video_id", "rep"])
+    equal = equal.filter(F.col("a") < F.col("b") if measure == "iou" else F.col("a") != F.col("b")).withColumn("score", F.lit(1.0))
+    return each.unionByName(equal.select(*each.columns))
+
+
+def different_pairs(masks: DataFrame, threshold: float | Column, measure: str) -> DataFrame:
+    """The pairs of overlap_pairs(), of masks that all differ.
 
-    measure 'iou' gives a < b with inter / union; 'contain' gives (a, b) both ways with inter / area of b. Candidates share
-    one of the rare pixels that a mask can't do without: all but its share of (1 - threshold) pixels, so a pixel that
-    very many masks hold makes no pairs of them all. Then pixel arrays are intersected exactly. threshold may be a column
-    of video_id.
+    Candidates share one of the rare pixels that a mask can't do without: all but its share of (1 - threshold) pixels, so a
+    pixel that very many masks hold makes no pairs of them all. Then pixel arrays are intersected exactly. threshold may be
+    a column of video_id.
     """
     ranked = _rare_first(masks)
     need = F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.operators.graph import connected_components
-from framelake.operators.joins import as_masks, best_match, overlap_pairs
+from framelake.operators.joins import as_masks, best_match, class_pairs
 from framelake.operators.leaders import leaders, members
 from framelake.operators.temporal import has_run
 from framelake.sources.scratch import materialise
@@ -58,14 +58,15 @@ def centres(pixels: DataFrame, ly: int) -> DataFrame:
     return pixels.groupBy("video_id", "id").agg(F.avg(F.expr(f"p div {ly}")).alias("cx"), F.avg(F.expr(f"p % {ly}")).alias("cy"), F.count("*").alias("area"), F.lit(True).alias("whole"))
 
 
-def classes(pairs: DataFrame, masks: DataFrame) -> DataFrame:
-    """(video_id, id, leader): connected sets of pairs, alone masks leading themselves. Nodes are 64-bit hashes of video and id."""
+def classes(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """(video_id, id, leader): connected sets of pairs of representatives, with all masks `member` (video_id, id, rep) that are
+    equal to one of them; rep is its class's smallest id. Nodes are 64-bit hashes of video and id."""
     edges = pairs.select(F.xxhash64("video_id", "a").alias("a"), F.xxhash64("video_id", "b").alias("b"))
-    nodes = pairs.select("video_id", F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("node", F.xxhash64("video_id", "id"))
+    nodes = pairs.select("video_id", F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("node", F.xxhash64("video_id", "rep"))
     labelled = nodes.join(connected_components(edges).toDF("node", "component"), "node")
-    leader = labelled.groupBy("component").agg(F.min("id").alias("leader"))
-    found = labelled.join(leader, "component").select("video_id", "id", "leader")
-    return masks.select("video_id", "id").join(found, ["video_id", "id"], "left").withColumn("leader", F.coalesce("leader", "id"))
+    leader = labelled.groupBy("component").agg(F.min("rep").alias("leader"))
+    found = labelled.join(leader, "component").select("video_id", "rep", "leader")
+    return member.select("video_id", "id", "rep").join(found, ["video_id", "rep"], "left").select("video_id", "id", F.coalesce("leader", "rep").alias("leader"))
 
 
 def _as_masks(pixels: DataFrame) -> DataFrame:
@@ -75,21 +76,24 @@ def _as_masks(pixels: DataFrame) -> DataFrame:
 def iou_merge(m: Masks, threshold_mask: float, threshold_iou: float) -> Masks:
     """M4: masks joined by chains of IoU >= threshold become one, led by the smallest id."""
     masks = materialise(_as_masks(binarised(m.pixels, threshold_mask)), "masks")
-    member = classes(overlap_pairs(masks, threshold_iou, "iou"), masks.withColumnRenamed("mask_id", "id"))
-    return gather(m.pixels, m.times, member)
+    return gather(m.pixels, m.times, classes(*class_pairs(masks, threshold_iou, "iou")))
 
 
-def contained(pairs: DataFrame, ids: DataFrame, avg_area: float | Column) -> DataFrame:
-    """M5: (video_id, id, leader) of masks `ids`, given their containment pairs. Of a pair the larger mask is dropped if it is
-    above avg_area (equal ones both); pairs of smaller masks join. avg_area may be a column of video_id."""
-    drop = pairs.filter(F.greatest("area_a", "area_b") > avg_area).select("video_id", F.when(F.col("area_b") > F.col("area_a"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+def contained(pairs: DataFrame, member: DataFrame, avg_area: float | Column) -> DataFrame:
+    """M5: (video_id, id, leader) of masks `member` (joins.copies()), given the containment pairs of their representatives. Of a
+    pair the larger mask is dropped if it is above avg_area (equal ones both, and so all of a class of equal masks); pairs of
+    smaller masks join. avg_area may be a column of video_id."""
+    drop = pairs.filter(F.greatest("area_a", "area_b") > avg_area).select("video_id", F.when(F.col("area_b") > F.col("area_a"), F.col("b")).otherwise(F.col("a")).alias("rep"))
+    drop = drop.unionByName(member.filter((F.col("copies") > 1) & (F.col("area") > avg_area)).select("video_id", "rep")).distinct()
+    gone = member.join(drop, ["video_id", "rep"], "left_semi").select("video_id", "id")
     joined = pairs.filter(F.greatest("area_a", "area_b") <= avg_area)
-    return classes(joined, ids).join(drop, ["video_id", "id"], "left_anti")
+    return classes(joined, member).join(gone, ["video_id", "id"], "left_anti")
 
 
 def containment_classes(masks: DataFrame, avg_area: float, threshold: float) -> DataFrame:
     """M5 over masks: pairs with inter / area_b >= threshold."""
-    return contained(materialise(overlap_pairs(masks, threshold, "contain"), "contain"), masks.withColumnRenamed("mask_id", "id"), avg_area)
+    pairs, member = class_pairs(masks, threshold, "contain")
+    return contained(materialise(pairs, "contain"), materialise(member, "members"), avg_area)
 
 
 def containment_merge(m: Masks, threshold_mask: float, avg_area: float, threshold: float) -> Masks:

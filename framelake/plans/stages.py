@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators import merge
-from framelake.operators.joins import as_masks, overlap_pairs
+from framelake.operators.joins import as_masks, class_pairs
 from framelake.operators.merge import Masks
 from framelake.sources.scratch import drop, materialise
 
@@ -60,22 +60,23 @@ def by_larger_radius(m: Masks, radii: list, ly: int, threshold_mask: float) -> M
 
 
 def _overlaps(m: Masks, threshold_mask: float, threshold: float | Column, measure: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs, ids) of the nodes' masks."""
+    """(pairs, members) of the nodes' classes of equal masks."""
     masks = materialise(as_masks(merge.binarised(m.pixels, threshold_mask).withColumnRenamed("id", "mask_id")), "masks")
-    return materialise(overlap_pairs(masks, threshold, measure), "pairs"), masks.select("video_id", F.col("mask_id").alias("id"))
+    pairs, member = class_pairs(masks, threshold, measure)
+    return materialise(pairs, "pairs"), materialise(member, "members")
 
 
 def by_overlap(m: Masks, thresholds: list, threshold_mask: float) -> Masks:
     """M4: pairs are found once a node, at the lowest threshold."""
-    pairs, ids = _overlaps(m, threshold_mask, min(thresholds), "iou")
+    pairs, member = _overlaps(m, threshold_mask, min(thresholds), "iou")
     mine = children(pairs, "thresh_iou", thresholds).filter(F.col("score") >= F.col("video_id.thresh_iou"))
-    return _next(m, merge.classes(mine, children(ids, "thresh_iou", thresholds)))
+    return _next(m, merge.classes(mine, children(member, "thresh_iou", thresholds)))
 
 
 def by_containment(m: Masks, avg_areas: list, threshold_mask: float, threshold: float | Column) -> Masks:
     """M5: pairs are found once a node; the area decides what becomes of them."""
-    pairs, ids = _overlaps(m, threshold_mask, threshold, "contain")
-    return _next(m, merge.contained(children(pairs, "avg_area", avg_areas), children(ids, "avg_area", avg_areas), F.col("video_id.avg_area")))
+    pairs, member = _overlaps(m, threshold_mask, threshold, "contain")
+    return _next(m, merge.contained(children(pairs, "avg_area", avg_areas), children(member, "avg_area", avg_areas), F.col("video_id.avg_area")))
 
 
 def merged(regions: DataFrame, ly: int, lists: dict[str, list], base: dict) -> Masks:

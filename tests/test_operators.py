@@ -305,3 +305,27 @@ def test_tracked_windows_add_regions_to_confirmed_masks(spark, tmp_path):
     weights = {r.id: (r.n, r.w) for r in last.pixels.groupBy("id").agg({"p": "count", "w": "max"}).toDF("id", "n", "w").collect()}
     assert sorted(weights.values()) == [(9, 6.0), (9, 12.0)]
     assert state.finish(2).pixels.select("id").distinct().count() == 2
+
+
+def test_copies_of_masks_make_no_pairs_before_the_result(spark):
+    """Copies of masks: pairs, merges and drops equal brute force, and only different masks are compared."""
+    rng = random.Random(6)
+    kinds = [frozenset(rng.sample(range(12), rng.randint(2, 9))) for _ in range(12)]
+    sets = {100 * c + k: s for k, s in enumerate(kinds) for c in (3, 1, 2) if k or c == 1}
+    masks = joins.as_masks(spark.createDataFrame([(3, k, p) for k, s in sets.items() for p in s], "video_id long, mask_id long, p long"))
+    for measure, threshold in (("iou", 0.5), ("contain", 0.75)):
+        share = lambda a, b: len(a & b) / (len(a | b) if measure == "iou" else len(b))  # noqa: B023, E731
+        wanted = {(a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for a in sets for b in sets if (a < b if measure == "iou" else a != b) and share(sets[a], sets[b]) >= threshold}
+        got = [(r.a, r.b, r.area_a, r.area_b, r.inter) for r in joins.overlap_pairs(masks, threshold, measure).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+        pairs, member = joins.class_pairs(masks, threshold, measure)
+        assert {x for r in pairs.collect() for x in (r.a, r.b)} <= {min(i for i in sets if sets[i] == s) for s in kinds}
+        assert {r.id: (r.rep, r.copies) for r in member.collect()} == {i: (min(j for j in sets if sets[j] == s), sum(s == x for x in sets.values())) for i, s in sets.items()}
+    contain = {(a, b) for a, b, *_ in wanted}
+    dropped = {b if len(sets[b]) > len(sets[a]) else a for a, b in contain if max(len(sets[a]), len(sets[b])) > 4}
+    root = {k: k for k in sets}
+    for _ in sets:
+        for a, b in contain:
+            if max(len(sets[a]), len(sets[b])) <= 4:
+                root[a] = root[b] = min(root[a], root[b])
+    assert {r.id: r.leader for r in merge.containment_classes(masks, 4, 0.75).collect()} == {k: root[k] for k in sets if k not in dropped}
