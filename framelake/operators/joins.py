@@ -110,9 +110,13 @@ def label_pixels(active: DataFrame, pixels: DataFrame) -> DataFrame:
 
 
 def silenced(active: DataFrame, masks: DataFrame) -> DataFrame:
-    """Active (video_id, mask_id, t) without frames in which an overlapping mask is active too."""
-    rows = masks.select(*MASK, F.explode("px").alias("p"))
-    other = rows.select("video_id", "p", F.col("mask_id").alias("other"))
-    touching = rows.join(other, ["video_id", "p"]).filter(F.col("mask_id") != F.col("other")).select(*MASK, "other").distinct()
-    busy = active.select(*MASK, "t").join(touching, MASK).join(active.select("video_id", F.col("mask_id").alias("other"), "t"), ["video_id", "other", "t"], "left_semi")
-    return active.join(busy.select(*MASK, "t").distinct(), [*MASK, "t"], "left_anti")
+    """Active (video_id, mask_id, t) without frames in which an overlapping mask is active too.
+
+    Such a frame holds, in one of the mask's pixels, another active mask. So each pixel of a frame tells which masks are
+    active on it, of which the smallest and largest say whether there is another: no pairs of masks, only pixels of active
+    masks, combined before the shuffle.
+    """
+    on = active.select(*MASK, "t").distinct().join(masks.select(*MASK, "px"), MASK).select(*MASK, "t", F.explode("px").alias("p"))
+    held = on.groupBy("video_id", "t", "p").agg(F.min("mask_id").alias("low"), F.max("mask_id").alias("high")).filter("low <> high")
+    busy = on.join(held, ["video_id", "t", "p"], "left_semi").select(*MASK, "t").distinct()
+    return active.join(busy, [*MASK, "t"], "left_anti")

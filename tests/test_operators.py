@@ -329,3 +329,13 @@ def test_copies_of_masks_make_no_pairs_before_the_result(spark):
             if max(len(sets[a]), len(sets[b])) <= 4:
                 root[a] = root[b] = min(root[a], root[b])
     assert {r.id: r.leader for r in merge.containment_classes(masks, 4, 0.75).collect()} == {k: root[k] for k in sets if k not in dropped}
+
+
+def test_silenced_frames_need_no_pairs_of_masks(spark):
+    rng = random.Random(8)
+    held = {k: {0} | set(rng.sample(range(1, 9), 2)) if k % 3 else {20 + k} for k in range(40)}
+    on = {(k, t) for k in held for t in range(30) if rng.random() < 0.03}
+    masks = joins.as_masks(spark.createDataFrame([(0, k, p) for k, s in held.items() for p in s], "video_id long, mask_id long, p long"))
+    left = joins.silenced(spark.createDataFrame([(0, k, t) for k, t in on], "video_id long, mask_id long, t long"), masks)
+    assert {(r.mask_id, r.t) for r in left.collect()} == {(k, t) for k, t in on if not any(o != k and s == t and held[o] & held[k] for o, s in on)}
+    assert "other#" not in left._jdf.queryExecution().optimizedPlan().toString()
