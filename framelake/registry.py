@@ -281,10 +281,11 @@ def best_match(spark, sf_dir):
 )
 def match_scores(spark, sf_dir):
     """Regions of even frames against those of the next odd frame; disjoint masks with IoU > 1/2 pair uniquely."""
-    reg = materialise(emb_regions(spark, sf_dir), "regions").withColumn("video_id", F.expr("video_id * 1000 + t div 2"))
-    gt = reg.filter("t % 2 = 0").select("video_id", F.col("seg").alias("gt_id"), "p")
-    found = reg.filter("t % 2 = 1").select("video_id", F.col("seg").alias("mask_id"), "p")
-    return evaluate.scores(gt, found, 0.5000001).select("video_id", "n_gt", "n_found", "n_match", r6("recall"), r6("precision"), r6("f1"))
+    # The number given out is that of another video's frames from frame 2000 on, so it can't be the key.
+    reg = materialise(emb_regions(spark, sf_dir), "regions").withColumn("pair", F.expr("t div 2"))
+    gt = reg.filter("t % 2 = 0").select("video_id", "pair", F.col("seg").alias("gt_id"), "p")
+    found = reg.filter("t % 2 = 1").select("video_id", "pair", F.col("seg").alias("mask_id"), "p")
+    return evaluate.scores(gt, found, 0.5000001, ["video_id", "pair"]).select((F.col("video_id") * 1000 + F.col("pair")).alias("video_id"), "n_gt", "n_found", "n_match", r6("recall"), r6("precision"), r6("f1"))
 
 
 @query(f"WITH RECURSIVE {REG}, {sql.merged('m', 'SELECT video_id, t, seg, p FROM reg', '0.5')}, {sql.final('m')} {sql.SUMMARY.format(px='fin', tm='tmme', weight='')}")
