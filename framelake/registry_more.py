@@ -356,13 +356,27 @@ WINDOWS = 8
 ONLINE = {"min_area": 1, "avg_area": 30, "thresh_mask": 0.5, "thresh_com0": 0.6, "thresh_com": 1.0, "thresh_iou": 0.5, "cons": 1}
 
 
+#: Files, and so batches, that a stored stream of frames has at most, but for the closing one.
+FILES = 24
+
+
+def file_parts(n):
+    """Parts 0 to n - 1 of a stream, of which every two are swapped, dealt to at most FILES files. With several parts a file
+    their number is odd, so that swapped parts still lie in different files."""
+    parts = [k ^ 1 for k in range(n)]
+    size = -(-n // FILES)
+    size += size > 1 and size % 2 == 0
+    return [parts[k : k + size] for k in range(0, n, size)]
+
+
 def live_masks(spark, sf_dir, cons, tracking):
-    """Frames in files of ten, of which every two are swapped, streamed a file at a time into masks in keyed state, windows of
-    25 frames; a closing frame of a video of its own lets the last windows end. Masks are merged once more at the end."""
+    """Frames in parts of ten, of which every two are swapped, in files of one part or of as many as file_parts() deals to them,
+    streamed a file at a time into masks in keyed state, windows of 25 frames; a closing frame of a video of its own lets
+    the last windows end. Masks are merged once more at the end."""
     frames = materialise(packed_emb(spark, sf_dir), "packed")
     last, path, out = frames.agg(F.max("t")).first()[0] or 0, new_path(spark, "files"), new_path(spark, "masks")
-    for part in [k ^ 1 for k in range(last // 10 + 2)]:
-        frames.filter((F.col("t") >= 10 * part) & (F.col("t") < 10 * part + 10)).coalesce(1).write.mode("append").parquet(path)
+    for parts in file_parts(last // 10 + 2):
+        frames.filter(F.expr("t div 10").isin(parts)).coalesce(1).write.mode("append").parquet(path)
     closing = frames.limit(1).select(F.lit(-1).cast("long").alias("video_id"), F.lit(last + 100).cast("long").alias("t"), F.transform("px", lambda _: F.lit(0.0).cast("float")).alias("px"))
     closing.write.mode("append").parquet(path)
     stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelake import registry
+from framelake import registry, registry_more
 
 
 def test_pairs_of_frames_of_two_videos_do_not_meet(spark, tmp_path):
@@ -12,3 +12,14 @@ def test_pairs_of_frames_of_two_videos_do_not_meet(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted((r.video_id, r.n_gt, r.n_found, r.n_match, r.f1) for r in registry.match_scores(spark, str(tmp_path)).collect())
     assert got == [(0, 1, 1, 1, 1.0), (1000, 1, 1, 1, 1.0), (1000, 1, 1, 1, 1.0)]
+
+
+def test_batches_of_a_stored_stream_do_not_grow_with_its_frames():
+    for n in (2, 24, 25, 121, 1200):
+        files = registry_more.file_parts(n)
+        assert len(files) <= registry_more.FILES and {p for f in files for p in f} >= set(range(n - 1))
+        seen = -1
+        for f in files:
+            assert min(f) >= seen - 1  # a part of ten frames comes within the delay of 20
+            seen = max(seen, *f)
+        assert any(min(b) < max(a) for a, b in zip(files, files[1:], strict=False))
