@@ -6,8 +6,11 @@ of (t, seg); all merges give the same three tables, keyed by the leaders' ids.
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +72,19 @@ def classes(pairs: DataFrame, member: DataFrame) -> DataFrame:
     return member.select("video_id", "id", "rep").join(found, ["video_id", "rep"], "left").select("video_id", "id", F.coalesce("leader", "rep").alias("leader"))
 
 
+def as_rows(m: Masks, key: list[str]) -> DataFrame:
+    """(key, id, p, w, times), a row a mask, p ascending."""
+    px = m.pixels.groupBy(*key, "id").agg(F.sort_array(F.collect_list(F.struct(F.col("p").cast("long").alias("p"), F.col("w").cast("double").alias("w")))).alias("px"))
+    ts = m.times.groupBy(*key, "id").agg(F.sort_array(F.collect_set(F.col("t").cast("long"))).alias("times"))
+    return px.join(ts, [*key, "id"]).select(*key, "id", "px.p", "px.w", "times")
+
+
+def from_rows(rows: DataFrame) -> Masks:
+    """The tables of masks (video_id, id, p, w, times)."""
+    px = rows.select("video_id", "id", F.explode(F.arrays_zip("p", "w")).alias("x"))
+    return Masks(px.select("video_id", "id", F.col("x.p").alias("p"), F.col("x.w").alias("w")), rows.select("video_id", "id", F.explode("times").alias("t")))
+
+
 def _as_masks(pixels: DataFrame) -> DataFrame:
     return as_masks(pixels.withColumnRenamed("id", "mask_id"))
 
@@ -147,6 +163,57 @@ def merge_into(old: Masks, new: Masks, params: dict, only: DataFrame | None = No
     return Masks(old.pixels.unionByName(added.pixels).groupBy("video_id", "id", "p").agg(F.sum("w").alias("w")), old.times.unionByName(added.times).distinct())
 
 
+def merge_windows(rows: DataFrame, key: list[str], threshold_mask: float) -> DataFrame:
+    """M9 for a block of windows: masks (key, window, id, p, w, times), p and w arrays, of which window -1 holds those found before
+    -> (key, id, p, w, times). Windows follow each other inside the group of a key, which has thresh_iou; each new
+    mask joins its best old one of those before its window, by the rules of matches(), or is appended."""
+    def fold(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        named = dict(zip(key, k, strict=True))
+        iou = named["thresh_iou"]
+        masks: dict[int, tuple] = {}
+        shown: dict[int, list[int]] = {}
+        owners: dict[int, set[int]] = {}
+
+        def keep(i: int, m: tuple) -> None:
+            for p in shown.get(i, ()):
+                owners[p].discard(i)
+            masks[i], shown[i] = m, _shown(m, threshold_mask)
+            for p in shown[i]:
+                owners.setdefault(p, set()).add(i)
+
+        for window, own in pdf.sort_values("id").groupby("window", sort=True):
+            joins: dict[int, list[tuple]] = {}
+            for i, p, w, t in zip(own["id"].tolist(), own["p"], own["w"], own["times"], strict=True):
+                m = (np.asarray(p, np.int64), np.asarray(w, float), set(np.asarray(t).tolist()))
+                to = None if window < 0 else _best(_shown(m, threshold_mask), owners, shown, iou)
+                joins.setdefault(i if to is None else to, []).append(m)
+            for i, parts in joins.items():
+                parts = [*([masks[i]] if i in masks else []), *parts]
+                px, at = np.unique(np.concatenate([m[0] for m in parts]), return_inverse=True)
+                keep(i, (px, np.bincount(at, np.concatenate([m[1] for m in parts]), len(px)), set().union(*(m[2] for m in parts))))
+        ids = list(masks)
+        return pd.DataFrame({**{c: [v] * len(ids) for c, v in named.items()}, "id": ids, "p": [masks[i][0] for i in ids], "w": [masks[i][1] for i in ids], "times": [sorted(masks[i][2]) for i in ids]})
+
+    types = dict(rows.dtypes)
+    return rows.groupBy(*key).applyInPandas(fold, ", ".join(f"{c} {types[c]}" for c in key) + ", id long, p array<long>, w array<double>, times array<long>")
+
+
+def _shown(m: tuple, threshold: float) -> list[int]:
+    """Pixels of a mask (p, w, ..) of at least `threshold` times its largest weight."""
+    return m[0][m[1] >= m[1].max() * threshold].tolist()
+
+
+def _best(px: list[int], owners: dict[int, set[int]], shown: dict[int, list[int]], threshold_iou: float) -> int | None:
+    """Of the masks that share a pixel and fit, the one of largest IoU; of equal ones the smallest id."""
+    inter = Counter(i for p in px for i in owners.get(p, ()))
+    fit = []
+    for i, n in inter.items():
+        score = n / (len(px) + len(shown[i]) - n)
+        if score >= threshold_iou or n / min(len(px), len(shown[i])) >= (1 + threshold_iou) / 2:
+            fit.append((-score, i))
+    return min(fit)[1] if fit else None
+
+
 def confirmed(m: Masks, cons: int) -> DataFrame:
     """Ids with a long enough run."""
     return has_run(m.times, ["video_id", "id"], cons)

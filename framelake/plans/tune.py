@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.scalar import bucket
 from framelake.operators.evaluate import scores, with_f1
-from framelake.operators.merge import Masks, binarised, final_merge, merge_into
+from framelake.operators.merge import Masks, as_rows, binarised, final_merge, from_rows, merge_windows
 from framelake.operators.score import score_frames
 from framelake.operators.segment import frame_regions
 from framelake.operators.temporal import block_of, runs
@@ -21,6 +21,9 @@ GRID = ["min_area", "avg_area", "thresh_pmap", "thresh_com", "thresh_iou", "cons
 #: Parts that videos are dealt to when each meets every fold.
 SALTS = 32
 
+#: Windows that are joined into the masks before in one job: a group holds a video's masks and those of so many windows.
+BLOCK_WINDOWS = 64
+
 
 def grid(spark: SparkSession, **lists: list) -> DataFrame:
     """One row a combination of small lists (parameters, so bounded by what a user types)."""
@@ -127,22 +130,25 @@ def scored_grid_search(packed: DataFrame, scorer, gt: DataFrame, ly: int, lists:
 
 def online_grid_search(pmap: DataFrame, gt: DataFrame, ly: int, lists: dict[str, list], base: dict, first: int, every: int) -> DataFrame:
     """As grid_search(), with frames merged window by window (the first `first`, then `every` at a time), and once more at
-    the end. The windows' own merges (M8) are one tree of stages, with the window in the key; the loop joins each
-    window's masks, a folder of their own, into those before."""
+    the end. The windows' own merges (M8) are one tree of stages, with the window in the key; then BLOCK_WINDOWS windows at a
+    time, a folder of their own, join the masks before, one after the other inside the group of a video and combination."""
     regions = _regions_by_cut(pmap, ly, lists["thresh_pmap"]).withColumn("window", block_of(F.col("t"), first, every))
     regions = materialise(regions.withColumn("video_id", F.struct("video_id.video_id", "window", "video_id.thresh_pmap")).drop("window"), "regions")
     m = stages.merged(regions, ly, lists, base)
-    of_window = lambda t: t.withColumns({"window": F.col("video_id.window"), "video_id": F.struct(*[f"video_id.{k}" for k in ("video_id", *stages.ORDER)])})
-    pixels, times = (materialise(of_window(t), "windows", by="window") for t in m)
-    params, state = base | {"thresh_iou": F.col("video_id.thresh_iou"), "avg_area": F.col("video_id.avg_area"), "cons": 1}, None
-    for k in range(int(pixels.agg(F.max("window")).first()[0] or 0) + 1):
-        new = Masks(*(t.filter(F.col("window") == k).drop("window") for t in (pixels, times)))
-        joined = new if state is None else merge_into(state, new, params)
-        after = Masks(materialise(joined.pixels, "pixels"), materialise(joined.times, "times"))
-        for t in state or ():
-            drop(t)
+    key = ["video_id", *stages.ORDER]
+    flat = [materialise(t.select(*[F.col(f"video_id.{k}").alias(k) for k in (*key, "window")], *[c for c in t.columns if c != "video_id"]), "windows") for t in m]
+    rows = as_rows(Masks(*flat), [*key, "window"]).withColumn("block", F.expr(f"window div {BLOCK_WINDOWS}"))
+    rows, state = materialise(rows, "windows", by="block"), None
+    for k in range(int(rows.agg(F.max("block")).first()[0] or 0) + 1):
+        block = rows.filter(F.col("block") == k).drop("block")
+        joined = merge_windows(block if state is None else block.unionByName(state.withColumn("window", F.lit(-1).cast("long"))), key, base["thresh_mask"])
+        after = materialise(joined, "masks")
+        if state is not None:
+            drop(state)
         state = after
-    return _grid_scores(final_merge(state, params), gt, lists)
+    params = base | {"thresh_iou": F.col("video_id.thresh_iou"), "avg_area": F.col("video_id.avg_area"), "cons": 1}
+    found = from_rows(state.withColumn("video_id", F.struct(*key)))
+    return _grid_scores(final_merge(Masks(*(materialise(t, "masks") for t in found)), params), gt, lists)
 
 
 def cross_validated(each: DataFrame, strategy: str, params: list[str]) -> DataFrame:
