@@ -103,15 +103,22 @@ def pieces(x: np.ndarray, y: np.ndarray, ly: int, min_area: int, avg_area: int)
 
 def split_large(pixels: DataFrame, min_area: int, avg_area: int, ly: int) -> DataFrame:
     """Regions above avg_area are split around their inner cores, and their pieces again (pieces()). Pieces weigh 1/4 and
-    aren't whole; a region that isn't split stays whole. (video_id, t, seg, piece, x, y, p, w, whole)."""
+    aren't whole; a region that isn't split stays whole. One group is a frame,
+    as in frame_regions(), so its shuffle serves both. (video_id, t, seg, piece, x, y, p, w, whole)."""
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("x", "ascending"), ("y", "ascending")])
-        x, y = (np.asarray(table.column(c)).astype(np.int64) for c in ("x", "y"))
-        found = pieces(x, y, ly, min_area, avg_area)
-        at, piece = np.concatenate([own for _, own in found]), np.concatenate([np.full(len(own), label) for label, own in found])
-        whole = len(found) == 1 and len(at) == len(x)
+        table = table.sort_by([("seg", "ascending"), ("x", "ascending"), ("y", "ascending")])
+        seg, x, y = (np.asarray(table.column(c)).astype(np.int64) for c in ("seg", "x", "y"))
+        at, piece, whole = [], [], []
+        cut = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            found = pieces(x[a:b], y[a:b], ly, min_area, avg_area)
+            whole.append(np.full(sum(len(own) for _, own in found), len(found) == 1 and len(found[0][1]) == b - a))
+            for label, own in found:
+                at.append(a + own)
+                piece.append(np.full(len(own), label))
+        at, piece, whole = np.concatenate(at), np.concatenate(piece), np.concatenate(whole)
         table, x, y = table.take(pa.array(at)), x[at], y[at]
-        w, whole = np.full(len(at), 1.0 if whole else 0.25), np.full(len(at), whole)
+        w = np.where(whole, 1.0, 0.25)
         return pa.table({"video_id": table.column("video_id"), "t": table.column("t"), "seg": table.column("seg"), "piece": pa.array(piece), "x": pa.array(x), "y": pa.array(y), "p": pa.array(x * ly + y), "w": pa.array(w), "whole": pa.array(whole)})
 
-    return pixels.groupBy(*REGION).applyInArrow(run, "video_id long, t long, seg long, piece long, x long, y long, p long, w double, whole boolean")
+    return pixels.groupBy("video_id", "t").applyInArrow(run, "video_id long, t long, seg long, piece long, x long, y long, p long, w double, whole boolean")

@@ -89,3 +89,10 @@ def test_weights_and_wholes(spark):
     for r in got:
         parts.setdefault((r.seg, r.piece), set()).add((r.x, r.y))
     assert sorted(sorted(v) for k, v in parts.items() if k[0] == 7) == sorted(sorted(v) for v in plain_pieces(CHAIN, 5, 60))
+
+
+def test_a_group_is_a_frame_not_a_region(spark):
+    cells = spark.createDataFrame([(0, 0, x, y) for x in range(9) for y in range(0, 9, 2)], "video_id long, t long, x long, y long")
+    plan = segment.split_large(segment.frame_regions(cells, 9), 1, 6, 9)._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("[")[1].split("]")[0] for line in plan.splitlines() if "FlatMapGroupsInArrow [" in line]
+    assert len(keys) == 2 and all(len(k.split(",")) == 2 for k in keys)
