@@ -303,21 +303,25 @@ def tracked_regions(spark, sf_dir):
 
 #: Frames of a stored file, and how late a file of frames may come: files are written, and so read, two by two in turned order.
 FILE_FRAMES, DELAY = 7, 14
+#: Keys, about, that share a row of a stream's state, and keys a file.
+BUCKET_KEYS, FILE_KEYS = 256, 65_536
 
 
 def frame_stream(spark, frames, transform, key):
-    """Store frames in files of FILE_FRAMES frames, of which every two are swapped, stream them a file at a time through a
-    transformation into a sink, and read the sink. Frames without any value but the last are left out: they are gaps. A
-    closing row, of a key and a time of its own, lets the last timers pass."""
+    """Store frames in parts of FILE_FRAMES frames, of which every two are swapped, in as many files a part as the keys ask
+    for, stream them a part's files at a time through a transformation (stream, buckets of keys) into a sink, and read the
+    sink. Frames without any value but the last are left out: they are gaps. A closing row, of a key and a time of its own,
+    lets the last timers pass."""
     frames = materialise(frames, "frames")
-    path, last = new_path(spark, "files"), frames.agg(F.max("t")).first()[0] or 0
+    last, n_keys = frames.agg(F.max("t"), F.approx_count_distinct(F.struct(*key))).first()
+    path, last, n_files = new_path(spark, "files"), last or 0, 1 + n_keys // FILE_KEYS
     parts = [k ^ 1 for k in range(last // FILE_FRAMES + 2)]
     closing = frames.limit(1).select(*[(F.lit(last + 10 * DELAY) if c == "t" else F.lit(-1) if c in key else F.col(c)).cast(k).alias(c) for c, k in frames.dtypes])
     for part in parts:
         mine = frames.filter((F.col("t") >= part * FILE_FRAMES) & (F.col("t") < (part + 1) * FILE_FRAMES) & ((F.col("v") != 0) | (F.col("t") == last)))
-        mine.coalesce(1).write.mode("append").parquet(path)
+        (mine.repartition(n_files) if n_files > 1 else mine.coalesce(1)).write.mode("append").parquet(path)
     closing.coalesce(1).write.mode("append").parquet(path)
-    result = transform(spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    result = transform(spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", n_files).parquet(path), 1 + n_keys // BUCKET_KEYS)
     out = new_path(spark, "stream")
     online.run_available(result, f"{out}/rows", f"{out}/state")
     return spark.read.schema(result.schema).parquet(f"{out}/rows").filter(" and ".join(f"{c} >= 0" for c in key))
@@ -341,14 +345,14 @@ def stream_rolling_baseline(spark, sf_dir):
     """Streamed frames, out of order and with gaps, each block of seven against the baseline of the block before; borders of
     batches lie inside the blocks."""
     v = v_day(spark, sf_dir).select("pix", "t", "v")
-    return frame_stream(spark, v, lambda s: online.streaming_lagged_snr(s, ["pix"], 8, 7, DELAY), ["pix"]).select("pix", "t", r6("snr"))
+    return frame_stream(spark, v, lambda s, n: online.streaming_lagged_snr(s, ["pix"], 8, 7, DELAY, n), ["pix"]).select("pix", "t", r6("snr"))
 
 
 @query(f"WITH {VD}, {FIR} SELECT pix, t::BIGINT AS t, round(v, 6) AS v FROM fir")
 def stream_fir_equals_batch(spark, sf_dir):
     """Daily frames through the stateful filter, out of order and with gaps; borders of batches lie inside the kernel."""
     v = v_day(spark, sf_dir).select("pix", "t", "v")
-    return frame_stream(spark, v, lambda s: online.streaming_fir(s, KERNEL, ["pix"], DELAY), ["pix"]).select("pix", "t", r6("v"))
+    return frame_stream(spark, v, lambda s, n: online.streaming_fir(s, KERNEL, ["pix"], DELAY, n), ["pix"]).select("pix", "t", r6("v"))
 
 
 #: Windows that the SQL unrolls; the streams have as many as there are.

@@ -63,30 +63,61 @@ def in_order(next_t: int, times: np.ndarray, values: np.ndarray, watermark_ms: i
     return ready, times[n:], values[n:]
 
 
-def _ordered(frames: DataFrame, key: list[str], delay: int, name: str, state: str, begin: tuple, work: Callable[[tuple, int, np.ndarray], tuple[tuple, int, np.ndarray]]) -> DataFrame:
-    """(key, t, name) of frames (key, t, v) in their order. A key's state is what `work` keeps and the frames that wait for
-    earlier ones. work(kept, t, values from t on) -> (kept, first t, values out). A timer wakes a key whose gap has become final."""
-    def step(k: tuple, pdfs: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        kept = group.get if group.exists else (*begin, 0, [], [])
-        *own, next_t, times, values = kept
-        new = list(pdfs)
-        times = np.concatenate([np.array(times, np.int64), *(x["t"].to_numpy(np.int64) for x in new)])
-        values = np.concatenate([np.array(values, float), *(x["v"].to_numpy(float) for x in new)])
-        ready, times, values = in_order(next_t, times, values, group.getCurrentWatermarkMs())
-        own, first, out = work(tuple(own), next_t, ready)
-        group.update((*own, next_t + len(ready), times.tolist(), values.tolist()))
-        if len(times):
-            group.setTimeoutTimestamp(int(times[0]) * FRAME_MS)
-        if len(out):
-            yield pd.DataFrame({**{c: [x] * len(out) for c, x in zip(key, k, strict=True)}, "t": np.arange(first, first + len(out)), name: out})
+#: Groups of keys that share a row of state, if the caller knows no better number: a call of Python a group, not a key.
+BUCKETS = 1024
+
 
+def _ordered(frames: DataFrame, key: list[str], delay: int, name: str, state: str, begin: tuple, work: Callable[[tuple, int, np.ndarray], tuple[tuple, int, np.ndarray]], buckets: int) -> DataFrame:
+    """(key, t, name) of frames (key, t, v) in their order. A key's state is what `work` keeps and the frames that wait for
+    earlier ones; keys are dealt by hash to `buckets` groups, whose state is a list a column with an entry a key.
+    work(kept, t, values from t on) -> (kept, first t, values out). A timer wakes a group when a gap in it has become final."""
     types = dict(frames.dtypes)
+    columns = [*[(c, types[c]) for c in key], *[x.split(" ", 1) for x in f"{state}, next_t long, times array<long>, waiting array<double>".split(", ")]]
+
+    def step(_: tuple, pdfs: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        known = [list(x) for x in group.get] if group.exists else [[] for _ in columns]
+        named, kept = known[: len(key)], [tuple(x) for x in zip(*known[len(key) :], strict=True)]
+        new = pd.concat([x for x in pdfs if len(x)] or [pd.DataFrame(columns=[*key, "t", "v"])])
+        # Keys by their first appearance, so those of the state keep their places.
+        rows = pd.concat([pd.DataFrame(dict(zip(key, named, strict=True))), new[key]]) if kept and len(new) else new[key]
+        place = rows.groupby(key, sort=False, dropna=False).ngroup().to_numpy()[len(kept) :] if len(new) else np.empty(0, np.int64)
+        if len(kept) <= (top := int(place.max(initial=-1))):
+            at = np.unique(place, return_index=True)
+            first = at[1][at[0] >= len(kept)]
+            for names, c in zip(named, key, strict=True):
+                # Beside nulls pandas has whole numbers as floats.
+                names += [None if pd.isna(x) else int(x) if types[c] in ("tinyint", "smallint", "int", "bigint") else x for x in new[c].iloc[first].tolist()]
+            kept += [(*begin, 0, [], [])] * (top + 1 - len(kept))
+        order = np.argsort(place, kind="stable")
+        new_t, new_v, edges = new["t"].to_numpy(np.int64)[order], new["v"].to_numpy(float)[order], np.searchsorted(place[order], np.arange(len(kept) + 1))
+        watermark, found = group.getCurrentWatermarkMs(), []
+        for k, (*own, next_t, times, values) in enumerate(kept):
+            a, b = edges[k], edges[k + 1]
+            if a == b and not times:
+                continue
+            times, values = np.concatenate([np.array(times, np.int64), new_t[a:b]]), np.concatenate([np.array(values, float), new_v[a:b]])
+            ready, times, values = in_order(next_t, times, values, watermark)
+            own, start, out = work(tuple(own), next_t, ready)
+            kept[k] = (*own, next_t + len(ready), times.tolist(), values.tolist())
+            if len(out):
+                found.append((k, start, out))
+        group.update((*named, *map(list, zip(*kept, strict=True))))
+        held = [k[-2][0] for k in kept if k[-2]]
+        if held:
+            group.setTimeoutTimestamp(min(held) * FRAME_MS)
+        if found:
+            n = [len(out) for _, _, out in found]
+            t = np.concatenate([np.arange(start, start + len(out)) for _, start, out in found])
+            own = np.repeat([k for k, _, _ in found], n)
+            yield pd.DataFrame({**{c: pd.Series(x).take(own).to_numpy() for c, x in zip(key, named, strict=True)}, "t": t, name: np.concatenate([out for _, _, out in found])})
+
     schema = ", ".join(f"{c} {types[c]}" for c in key) + f", t long, {name} double"
-    kept = f"{state}, next_t long, times array<long>, waiting array<double>"
-    return in_frame_time(frames.select(*key, "t", "v"), delay).groupBy(*key).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    kept = ", ".join(f"_{k} array<{kind}>" for k, (_, kind) in enumerate(columns))
+    dealt = frames.select(*key, "t", "v", F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("_bucket"))
+    return in_frame_time(dealt, delay).groupBy("_bucket").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def streaming_fir(frames: DataFrame, kernel: list[float], key: list[str], delay: int = 0) -> DataFrame:
+def streaming_fir(frames: DataFrame, kernel: list[float], key: list[str], delay: int = 0, buckets: int = BUCKETS) -> DataFrame:
     """The temporal filter over frames (key, t, v), t from 0, as they come, up to `delay` frames out of order. A
     key's state is its last len(kernel) - 1 frames and those that wait; output equals fir_filter() of the frames with
     gaps as zeros."""
@@ -97,17 +128,17 @@ def streaming_fir(frames: DataFrame, kernel: list[float], key: list[str], delay:
         out = np.correlate(held, taps, "valid") if len(held) >= n and len(values) else np.empty(0)
         return (held[len(held) - min(n - 1, len(held)) :].tolist(),), t - len(own[0]), out
 
-    return _ordered(frames, key, delay, "v", "held array<double>", ([],), work)
+    return _ordered(frames, key, delay, "v", "held array<double>", ([],), work, buckets)
 
 
 def _quartile_baseline(values: np.ndarray) -> tuple[float, float | None]:
     """Median and noise of one pixel's block, by the rules of baseline()."""
     high, low = np.percentile(values, [50, 25])
     noise = (high - low) / QUARTILE_SIGMA or float(np.std(values))
-    return float(high), noise or None
+    return float(high), float(noise) or None
 
 
-def streaming_lagged_snr(frames: DataFrame, key: list[str], first: int, size: int, delay: int = 0) -> DataFrame:
+def streaming_lagged_snr(frames: DataFrame, key: list[str], first: int, size: int, delay: int = 0, buckets: int = BUCKETS) -> DataFrame:
     """Z-scores of frames (key, t, v), t from 0, as they come, up to `delay` frames out of order: each block against
     the baseline of the block before (block 0, the first `first` frames, against its own, and so only when it is
     complete). A key's state is one block of values, one baseline and the frames that wait; output equals
@@ -137,7 +168,7 @@ def streaming_lagged_snr(frames: DataFrame, key: list[str], first: int, size: in
             at, start = at[len(take) :], block_end
         return (at.tolist(), med, noise), out_from, np.concatenate([*out, np.empty(0)])
 
-    return _ordered(frames, key, delay, "snr", "held array<double>, med double, noise double", ([], 0.0, None), work)
+    return _ordered(frames, key, delay, "snr", "held array<double>, med double, noise double", ([], 0.0, None), work, buckets)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -80,6 +80,21 @@ def test_streaming_baseline_over_batches(spark):
     assert {(r.k, r.t): r.snr for r in got} == want and len(got) == len(want)
 
 
+def test_keys_that_share_a_row_of_state(spark):
+    """All keys in one group, by two columns, a key of nulls beginning in a later batch: the results of a group a key."""
+    full, parts = signal()
+    rows = [[(f"u{k}", k, t, v) for k, t, v in part] for part in parts]
+    rows[6] = rows[6] + [(None, None, t, 2.0) for t in range(30, 35)]
+    stream = lambda: write_files(spark, rows, "name string, k long, t long, v double")
+    got = run(spark, online.streaming_fir(stream(), KERNEL, ["name", "k"], DELAY, 1)).filter("k > 0 or k is null").collect()
+    full[None] = np.r_[np.zeros(30), np.full(5, 2.0)]
+    want = {(k and f"u{k}", k, t): sum(v[t + i] * w for i, w in enumerate(KERNEL)) for k, v in full.items() for t in range(len(v) - 2)}
+    assert {(r.name, r.k, r.t): pytest.approx(r.v) for r in got} == want and len(got) == len(want)
+    by_key = {(r.name, r.k, r.t): r.snr for r in run(spark, online.streaming_lagged_snr(stream(), ["name", "k"], 8, 7, DELAY)).collect()}
+    shared = run(spark, online.streaming_lagged_snr(stream(), ["name", "k"], 8, 7, DELAY, 1)).collect()
+    assert {(r.name, r.k, r.t): r.snr for r in shared} == by_key and len(shared) == len(by_key)
+
+
 def packed(spark, video=3):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter(F.col("label") == video).orderBy("vec_id").collect()
     return [(video, t, [float(x) for x in r.embedding]) for t, r in enumerate(e)]
