@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,18 +59,41 @@ def region_traces(frames: DataFrame, pixels: DataFrame, ly: int, sectors: int =
 def factorised(s: np.ndarray, tol: float, max_rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
     """Non-negative w, h with w @ h near s, by multiplicative updates: (w, h, rounds, converged). Every tenth round asks whether the
     error fell by less than tol of the first error, or is nothing beside the data."""
+    w, h, rounds, converged = factorised_all(s[None], tol, max_rounds, seed)
+    return w[0], h[0], int(rounds[0]), bool(converged[0])
+
+
+def factorised_all(s: np.ndarray, tol: float, max_rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """factorised() of each of many matrices of one shape, side by side; each stops by itself."""
+    def norms(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.square(x).reshape(len(x), -1).sum(1))
+
+    n, rows, width = s.shape
     rng = np.random.default_rng(seed)
-    w, h = rng.random((len(s), len(s))) + 0.1, rng.random((len(s), s.shape[1])) + 0.1
-    first = last = np.linalg.norm(s - w @ h)
+    w, h = (np.repeat(x[None], n, 0) for x in (rng.random((rows, rows)) + 0.1, rng.random((rows, width)) + 0.1))
+    out_w, out_h, rounds, converged = np.empty_like(w), np.empty_like(h), np.full(n, max_rounds), np.zeros(n, bool)
+    first = last = norms(s - w @ h)
+    size, at = norms(s), np.arange(n)
     for k in range(1, max_rounds + 1):
-        h *= (w.T @ s) / np.maximum(w.T @ w @ h, 1e-12)
-        w *= (s @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+        wt = w.swapaxes(1, 2)
+        h *= (wt @ s) / np.maximum(wt @ w @ h, 1e-12)
+        ht = h.swapaxes(1, 2)
+        w *= (s @ ht) / np.maximum(w @ (h @ ht), 1e-12)
         if k % 10 == 0:
-            error = np.linalg.norm(s - w @ h)
-            if last - error <= tol * first or error <= 1e-12 * np.linalg.norm(s):
-                return w, h, k, True
+            error = norms(s - w @ h)
+            done = (last - error <= tol * first) | (error <= 1e-12 * size)
             last = error
-    return w, h, max_rounds, False
+            if done.any():
+                out_w[at[done]], out_h[at[done]], rounds[at[done]], converged[at[done]] = w[done], h[done], k, True
+                s, w, h, first, last, size, at = (x[~done] for x in (s, w, h, first, last, size, at))
+                if not len(at):
+                    break
+    out_w[at], out_h[at] = w, h
+    return out_w, out_h, rounds, converged
+
+
+#: Values of masks, about, that components() factorises together.
+CHUNK_ROWS = 40_000
 
 
 def components(traces: DataFrame, tol: float = 1e-4, max_rounds: int = 20_000, seed: int = 0) -> DataFrame:
@@ -77,33 +103,60 @@ def components(traces: DataFrame, tol: float = 1e-4, max_rounds: int = 20_000, s
     Traces are shifted to be >= 0 and divided by their median; mixing columns sum to 1, so a share says how much of a component lies
     in region 0; equal shares are ranked by the component's number. part is what the component adds to the mask's own trace,
     in its units: the parts of all ranks plus level, the shift, are the factorised trace. Frames that a region lacks count as
-    the lowest value; null values are left out; masks without region 0 give no rows. A mask's few regions are one group of a
-    value a frame and region.
+    the lowest value; null values are left out; masks without region 0 give no rows. A task takes its masks one after the
+    other, and factorises about CHUNK_ROWS of their values together; a mask's few regions are held whole, a value a frame and
+    region.
     """
-    def run(table: pa.Table) -> pa.Table:
-        t, ti = np.unique(np.asarray(table.column("t")), return_inverse=True)
-        r, ri = np.unique(np.asarray(table.column("region")), return_inverse=True)
-        v = np.asarray(table.column("v"))
-        if r[0] != 0:
-            return pa.table({f.name: pa.array([], f.type) for f in OUT})
-        level = v.min()
-        s = np.zeros((len(r), len(t)))
-        s[ri, ti] = v - level
-        scale = float(np.median(s)) or 1.0
-        w, h, rounds, converged = factorised(s / scale, tol, max_rounds, seed)
-        share = w[0] / np.maximum(w.sum(0), 1e-300)
-        order = np.argsort(-share, kind="stable")
-        n, m = len(t), len(order)
-        columns = {
-            "video_id": np.full(n * m, table.column("video_id")[0].as_py()), "mask_id": np.full(n * m, table.column("mask_id")[0].as_py()),
-            "rank": np.repeat(np.arange(m), n), "share": np.repeat(share[order], n), "t": np.tile(t, m),
-            "part": (w[0, order, None] * h[order] * scale).ravel(), "level": np.full(n * m, level), "rounds": np.full(n * m, rounds), "converged": np.full(n * m, converged),
-        }
-        return pa.table({f.name: pa.array(columns[f.name], f.type) for f in OUT})
-
     OUT = pa.schema([("video_id", pa.int64()), ("mask_id", pa.int64()), ("rank", pa.int64()), ("share", pa.float64()), ("t", pa.int64()), ("part", pa.float64()), ("level", pa.float64()), ("rounds", pa.int64()), ("converged", pa.bool_())])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Columns of rows in the order of their masks, cut between masks."""
+        held, n_held, last = [], 0, None
+        for batch in batches:
+            x = [np.asarray(c) for c in batch.columns]
+            if not len(x[0]):
+                continue
+            new = np.flatnonzero((np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)) + 1
+            new = new if last in (None, (x[0][0], x[1][0])) else np.append(0, new)
+            last = x[0][-1], x[1][-1]
+            if n_held + len(x[0]) >= CHUNK_ROWS and len(new):
+                held.append([c[: new[-1]] for c in x])
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                x, held, n_held = [c[new[-1] :] for c in x], [], 0
+            held.append(x)
+            n_held += len(x[0])
+        if held:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for video, mask, region, frame, value in whole(batches):
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(video) != 0) | (np.diff(mask) != 0)) + 1, [len(video)]])
+            alike = defaultdict(list)
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                t, ti = np.unique(frame[x:y], return_inverse=True)
+                r, ri = np.unique(region[x:y], return_inverse=True)
+                if r[0] == 0:
+                    v = value[x:y]
+                    level = v.min()
+                    s = np.zeros((len(r), len(t)))
+                    s[ri, ti] = v - level
+                    scale = float(np.median(s)) or 1.0
+                    alike[s.shape].append((s / scale, x, t, scale, level))
+            for (m, n), found in alike.items():
+                s, at, t, scale, level = (np.stack(x) for x in zip(*found, strict=True))
+                w, h, rounds, converged = factorised_all(s, tol, max_rounds, seed)
+                share = w[:, 0] / np.maximum(w.sum(1), 1e-300)
+                order = np.argsort(-share, axis=1, kind="stable")
+                part = np.take_along_axis(w[:, 0], order, 1)[:, :, None] * np.take_along_axis(h, order[:, :, None], 1) * scale[:, None, None]
+                each = lambda x: np.repeat(x, m * n)  # noqa: B023, E731
+                columns = [
+                    each(video[at]), each(mask[at]), np.tile(np.repeat(np.arange(m), n), len(at)), np.repeat(np.take_along_axis(share, order, 1).ravel(), n),
+                    np.repeat(t[:, None], m, 1).ravel(), part.ravel(), each(level), each(rounds), each(converged),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, OUT, strict=True)], schema=OUT)
+
     typed = traces.filter("v is not null").select(*[F.col(c).cast("long") for c in (*MASK, "region", "t")], F.col("v").cast("double"))
-    return typed.groupBy(*MASK).applyInArrow(run, "video_id long, mask_id long, rank long, share double, t long, part double, level double, rounds long, converged boolean")
+    return typed.repartition(*MASK).sortWithinPartitions(*MASK).mapInArrow(run, "video_id long, mask_id long, rank long, share double, t long, part double, level double, rounds long, converged boolean")
 
 
 def separate(traces: DataFrame, tol: float = 1e-4, max_rounds: int = 20_000, seed: int = 0) -> DataFrame:

@@ -87,3 +87,29 @@ def test_components_are_ranked_and_add_up(spark):
     unmixed = traces.separate(df, tol=1e-7).filter("mask_id = 1").orderBy("t").toPandas().unmixed
     best = got[(got.mask_id == 1) & (got["rank"] == 0)].sort_values("t")
     assert np.allclose(unmixed, best.part + best.level)
+
+
+def test_masks_factorised_together_are_as_each_alone(spark, monkeypatch):
+    """Masks of several shapes, over borders of record batches and of chunks: each as factorised by itself."""
+    rng = np.random.default_rng(9)
+    s = {m: rng.random((2 + m % 3, 12)) * m for m in range(1, 41)}
+    w, h, rounds, converged = traces.factorised_all(np.stack([s[m] for m in range(3, 40, 3)]), 1e-4, 300, 0)
+    for k, m in enumerate(range(3, 40, 3)):
+        one = traces.factorised(s[m], 1e-4, 300, 0)
+        assert np.array_equal(w[k], one[0]) and np.array_equal(h[k], one[1]) and (rounds[k], converged[k]) == one[2:]
+    assert len(set(rounds.tolist())) > 1 and not converged.all()
+    monkeypatch.setattr(traces, "CHUNK_ROWS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        rows = [(7, m, r, t, float(s[m][r, t])) for m in s for r in range(len(s[m])) for t in range(12)]
+        got = traces.components(spark.createDataFrame(rows, "video_id int, mask_id int, region int, t int, v double").repartition(8), max_rounds=300).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and set(got.video_id) == {7}
+    for m, x in s.items():
+        level, one = x.min(), got[got.mask_id == m].sort_values(["rank", "t"])
+        scale = np.median(x - level)
+        w, h, rounds, converged = traces.factorised((x - level) / scale, 1e-4, 300, 0)
+        order = np.argsort(-w[0] / w.sum(0), kind="stable")
+        assert np.allclose(one.part, (w[0, order, None] * h[order] * scale).ravel()) and np.allclose(one.share, np.repeat((w[0] / w.sum(0))[order], 12))
+        assert (one.rounds == rounds).all() and (one.converged == converged).all() and np.allclose(one.level, level)
