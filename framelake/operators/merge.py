@@ -92,7 +92,8 @@ def _as_masks(pixels: DataFrame) -> DataFrame:
 def iou_merge(m: Masks, threshold_mask: float, threshold_iou: float) -> Masks:
     """M4: masks joined by chains of IoU >= threshold become one, led by the smallest id."""
     masks = materialise(_as_masks(binarised(m.pixels, threshold_mask)), "masks")
-    return gather(m.pixels, m.times, classes(*class_pairs(masks, threshold_iou, "iou")))
+    pairs, member = class_pairs(masks, threshold_iou, "iou", links=True)
+    return gather(m.pixels, m.times, classes(materialise(pairs, "pairs"), member))
 
 
 def contained(pairs: DataFrame, member: DataFrame, avg_area: float | Column) -> DataFrame:
@@ -108,7 +109,7 @@ def contained(pairs: DataFrame, member: DataFrame, avg_area: float | Column) ->
 
 def containment_classes(masks: DataFrame, avg_area: float, threshold: float) -> DataFrame:
     """M5 over masks: pairs with inter / area_b >= threshold."""
-    pairs, member = class_pairs(masks, threshold, "contain")
+    pairs, member = class_pairs(masks, threshold, "contain", links=True, top=avg_area)
     return contained(materialise(pairs, "contain"), materialise(member, "members"), avg_area)
 
 

@@ -245,7 +245,8 @@ def chains(pairs: str) -> str:
 @query(f"WITH RECURSIVE {MU}, {chains('SELECT a, b FROM pn WHERE inter / (na + nb - inter) >= 0.6')} SELECT leader, count(DISTINCT cls.id) AS members, count(DISTINCT p) AS pixels FROM cls JOIN mu ON mu.id = cls.id GROUP BY leader")
 def iou_merge(spark, sf_dir):
     masks = materialise(m_user(spark, sf_dir), "masks")
-    member = merge.classes(*joins.class_pairs(masks, 0.6, "iou"))
+    pairs, each = joins.class_pairs(masks, 0.6, "iou", links=True)
+    member = merge.classes(materialise(pairs, "pairs"), each)
     px = masks.select("video_id", F.col("mask_id").alias("id"), F.explode("px").alias("p"))
     return px.join(member, ["video_id", "id"]).groupBy("leader").agg(F.countDistinct("id").alias("members"), F.countDistinct("p").alias("pixels"))
 
